@@ -239,7 +239,7 @@ def filter_tiles(
         "slide_id", "points", "__cx", cells("y", "h").alias("__cy"))
     hits = points.join(spread, ["slide_id", "__cx", "__cy"]).filter(
         geo.strictly_inside(F.col("points"), F.col("px"), F.col("py")))
-    found = hits.groupBy("slide_id", *keys).agg(F.bit_or(F.shiftleft(F.lit(1), F.col("corner"))).alias("__bits"))
+    found = hits.groupBy("slide_id", *keys).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("corner"))).alias("__bits"))
     need = 15 if mode == "all" else 0
     good = found.filter(F.col("__bits") == need) if need else found
     return tiles.join(good.select("slide_id", *keys), ["slide_id", *keys], "left_semi")

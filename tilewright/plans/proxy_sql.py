@@ -93,7 +93,7 @@ select vec_id, label, k,
 from embeddings, range(10) c(k)"""
 
 CTE["probs"] = """
-select vec_id, label, k, round(exp(z - max(z) over v) / sum(exp(z - max_z)) over v, 12) as p
+select vec_id, label, k, exp(z - max_z) / sum(exp(z - max_z)) over v as p
 from (select *, max(z) over (partition by vec_id) as max_z from logits)
 window v as (partition by vec_id)"""
 

@@ -155,10 +155,13 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
     corner = F.transform("points", lambda p, i: F.concat(
         F.lit('<Coordinate Order="'), i.cast("string"), F.lit('" X="'), p["x"].cast("string"), F.lit('.75" Y="'),
         p["y"].cast("string"), F.lit('.25" />')))
-    lines = proxies.contours(spark, sf).select("slide_id", F.concat(
+    marks = proxies.contours(spark, sf).select("slide_id", F.concat(
         F.lit('<Annotation Name="'), F.col("slide_id").cast("string"), F.lit('"><Coordinates>'), F.array_join(corner, ""),
         F.lit("</Coordinates></Annotation>")).alias("line"))
-    lines.select("line").write.text(path)
+    # One file per slide, as a slide viewer saves them; a slide has three annotations here.
+    documents = marks.groupBy("slide_id").agg(F.array_join(F.collect_list("line"), "").alias("body")).select(
+        "slide_id", F.concat(F.lit("<Root><Annotations>"), F.col("body"), F.lit("</Annotations></Root>")).alias("line"))
+    documents.write.partitionBy("slide_id").text(path)
     rows = annotations.contours_from_xml(spark, path, keep=["_Name"])
     ranked = geo.sort_by_area(rows.withColumnRenamed("_Name", "slide"), ["slide"])
     # Areas: the L and the triangle exceed the rectangle, so the ranks name the three shapes.
@@ -661,7 +664,8 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s21_package_case", sql("""
 select record_id || '-' || redcap_repeat_instance as instance, coalesce(h_e_slide_filename, '') as f0, coalesce(p53_slide_filename, '') as f1, coalesce(tff3_slide_filename, '') as f2
-from looked where record_id is not null and not coalesce(he_numb_gastric_tile_alg > 0, false)""", "tiles", "slides", extra=COLLATE))
+from looked where record_id is not null and record_id || '-' || redcap_repeat_instance not in
+  (select record_id || '-' || redcap_repeat_instance from looked where record_id is not null and he_numb_gastric_tile_alg > 0)""", "tiles", "slides", extra=COLLATE))
 def s21(spark: SparkSession, sf: str) -> DataFrame:
     looked = collate.lookup_ids(j2(spark, sf), *participant_lists(spark, sf))
     packaged = looked.filter(F.col("record_id").isNotNull() & (F.col("he_numb_gastric_tile_alg") > 0)).select(
