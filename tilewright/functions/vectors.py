@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -13,15 +15,24 @@ def dot(a: Column, b: Column) -> Column:
     return array_total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once for ``body``, so that it is not computed again at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    peak = F.array_max(logits)
-    powers = F.transform(logits, lambda v: F.exp(v - peak))
-    return F.transform(powers, lambda p: p / array_total(powers))
+    def shifted(z: Column) -> Column:
+        return let(F.array_max(z), lambda peak: F.transform(z, lambda v: F.exp(v - peak)))
+
+    def scaled(powers: Column) -> Column:
+        return let(array_total(powers), lambda total: F.transform(powers, lambda p: p / total))
+
+    return let(let(logits, shifted), scaled)
 
 
 def argmax(values: Column) -> Column:
     """Zero-based index of the first maximum."""
-    return F.array_position(values, F.array_max(values)) - 1
+    return let(values, lambda v: F.array_position(v, F.array_max(v)) - 1)
 
 
 def one_hot(label: Column, n_classes: int) -> Column:

@@ -178,28 +178,25 @@ def a36(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_patches(proxies.tile_scores(spark, sf), 20).select("slide_id", "tile_id", "rank")
 
 
-LEVEL_SIZES = "select slide_id, 64.0::double as d, 250 as width, 187 as height from slides"
-
-
 def sizes(spark: SparkSession, sf: str) -> DataFrame:
     return proxies.slides(spark, sf).select(
-        "slide_id", F.lit(64.0).alias("dx"), F.lit(64.0).alias("dy"), F.lit(250).cast("bigint").alias("width"),
-        F.lit(187).cast("bigint").alias("height"))
+        "slide_id", F.lit(256.0).alias("dx"), F.lit(256.0).alias("dy"), F.lit(62).cast("bigint").alias("width"),
+        F.lit(46).cast("bigint").alias("height"))
 
 
 def _cells(source: str, shift: str, value: str, w: str, h: str) -> str:
-    return f"""select slide_id, cx as cell_x, cy as cell_y, {value} as v from (select *, ceil((x_min - {shift})/64.0::double)::bigint as ax, ceil((y_min - {shift})/64.0::double)::bigint as ay from {source}),
-lateral (select unnest(range(ax, least(ax + 7, {w}))) as cx), lateral (select unnest(range(ay, least(ay + 7, {h}))) as cy)"""
+    return f"""select slide_id, cx as cell_x, cy as cell_y, {value} as v from (select *, ceil((x_min - {shift})/256.0::double)::bigint as ax, ceil((y_min - {shift})/256.0::double)::bigint as ay from {source}),
+lateral (select unnest(range(ax, least(ax + 2, {w}))) as cx), lateral (select unnest(range(ay, least(ay + 2, {h}))) as cy)"""
 
 
 @query("a37_heat_grid", sql("""
 select 'mean' as kind, slide_id, cell_x, cell_y, round(avg(v), 9) as value from plain group by all
 union all select 'binary', slide_id, cell_x, cell_y, round_even(avg(v), 0) from hot group by all
 union all select 'roi', slide_id, cell_x, cell_y, round(avg(v), 9) from roi group by all""", "tiles", extra={
-    "plain": _cells("tiles", "0", "score/100", "250", "187"),
-    "hot": _cells("(select *, 1.0::double / count(*) over (partition by slide_id) as cut from tiles)", "0", "case when score/100 >= cut then 1.0::double else 0 end", "250", "187"),
+    "plain": _cells("tiles", "0", "score/100", "62", "46"),
+    "hot": _cells("(select *, 1.0::double / count(*) over (partition by slide_id) as cut from tiles)", "0", "case when score/100 >= cut then 1.0::double else 0 end", "62", "46"),
     "coarse": COARSE, "ranked": RANKED.replace("from coarse", "from coarse where x_min between 1600 and 8000 and y_min between 1600 and 8000"),
-    "roi": _cells("ranked", "1600", "percentile/100", "100", "100")}))
+    "roi": _cells("ranked", "1600", "percentile/100", "25", "25")}))
 def a37(spark: SparkSession, sf: str) -> DataFrame:
     tiles, level = proxies.tile_scores(spark, sf), sizes(spark, sf)
     parts = {
