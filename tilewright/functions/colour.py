@@ -82,6 +82,9 @@ def in_pen_range(r: Column, g: Column, b: Column, colour: str) -> Column:
     for low, high in PEN_RANGES[colour]:
         inside = F.lit(True)
         for c, lo, hi in zip(channels, low, high):
-            inside = inside & c.between(lo, hi)
+            if lo > 0:
+                inside = inside & (c >= lo)
+            if hi < 255:
+                inside = inside & (c <= hi)
         hit = hit | inside
     return hit

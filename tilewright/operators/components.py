@@ -8,8 +8,9 @@ grows with the logarithm of the component size.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tilewright.session import shared_folder
 
@@ -19,11 +20,14 @@ def _store(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _digest(edges: DataFrame, keys: list[str]) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*keys, "u", "v")).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _store_round(edges: DataFrame, keys: list[str], path: str) -> tuple[DataFrame, tuple]:
+    """Write one round; its size and digest are observed by the same job."""
+    seen = Observation()
+    watched = edges.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*keys, "u", "v")).alias("h"))
+    stored = _store(watched, path)
+    values = seen.get
+    return stored, (values["n"], values["h"])
 
 
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,27 +55,28 @@ def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def connected_components(
-    nodes: DataFrame, edges: DataFrame, keys: list[str], ident: str = "id", name: str = "component", max_rounds: int = 60
+    nodes: DataFrame, edges: Callable[[DataFrame], DataFrame], keys: list[str], ident: str = "id", name: str = "component", max_rounds: int = 60
 ) -> DataFrame:
     """``nodes`` with the smallest id of their component.
 
-    ``edges`` holds ``keys, src, dst``. Not lazy: it runs one job per round.
+    ``edges`` turns the stored nodes into ``keys, src, dst``. Not lazy: one job per round, and the
+    nodes and the result are stored, since callers use them more than once.
     """
     home = f"{shared_folder(nodes.sparkSession)}/components-{uuid.uuid4().hex}"
-    links = edges.select(
+    nodes = _store(nodes, f"{home}/nodes")
+    links = edges(nodes).select(
         *keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     ).filter(F.col("u") > F.col("v")).distinct()
-    links = _store(links, f"{home}/round-0")
-    seen = _digest(links, keys)
+    links, seen = _store_round(links, keys, f"{home}/round-0")
     for step in range(1, max_rounds + 1):
-        links = _store(_small_star(_large_star(links, keys), keys), f"{home}/round-{step}")
-        now = _digest(links, keys)
+        links, now = _store_round(_small_star(_large_star(links, keys), keys), keys, f"{home}/round-{step}")
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.select(*keys, F.col("u").alias(ident), F.col("v").alias("__root"))
-    return nodes.join(roots, [*keys, ident], "left").withColumn(
+    labelled = nodes.join(roots, [*keys, ident], "left").withColumn(
         name, F.coalesce(F.col("__root"), F.col(ident))
     ).drop("__root")
+    return _store(labelled, f"{home}/labelled")

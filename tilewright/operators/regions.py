@@ -26,23 +26,28 @@ def cluster_regions(regions: DataFrame, max_dist: float, keys: list[str] = KEYS)
     placed = area_order(regions, keys).withColumns({
         "__r": F.floor(F.col("centroid_row") / side), "__c": F.floor(F.col("centroid_col") / side)})
     cell = [*keys, "__r", "__c"]
-    points = placed.select(*cell, "place", "centroid_row", "centroid_col")
-    heads = points.groupBy(*cell).agg(F.min("place").alias("head"))
-    inside = points.join(heads, cell).select(*keys, F.col("head").alias("src"), F.col("place").alias("dst"))
     # Half of the cells within two steps; the other half is met from the other side.
     offsets = F.array(*[
         F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
         for a in range(0, 3) for b in range(-2, 3) if (a, b) > (0, 0)])
-    shifted = points.select(
-        *keys, F.inline(offsets), "__r", "__c", F.col("place").alias("src"), F.col("centroid_row").alias("__y"),
-        F.col("centroid_col").alias("__x")
-    ).select(
-        *keys, (F.col("__r") + F.col("a")).alias("__r"), (F.col("__c") + F.col("b")).alias("__c"), "a", "b", "src", "__y", "__x")
-    dy, dx = F.col("centroid_row") - F.col("__y"), F.col("centroid_col") - F.col("__x")
-    near = shifted.join(points, cell).filter(dy * dy + dx * dx <= max_dist * max_dist)
-    across = near.groupBy(*cell, "a", "b").agg(F.min(F.struct("src", F.col("place").alias("dst"))).alias("e")).select(
-        *keys, "e.src", "e.dst")
-    merged = connected_components(placed, inside.unionByName(across), keys, "place", "__first")
+
+    def edges(nodes: DataFrame) -> DataFrame:
+        points = nodes.select(*cell, "place", "centroid_row", "centroid_col")
+        heads = points.groupBy(*cell).agg(F.min("place").alias("head"))
+        inside = points.join(heads, cell).select(*keys, F.col("head").alias("src"), F.col("place").alias("dst"))
+        shifted = points.select(
+            *keys, F.inline(offsets), "__r", "__c", F.col("place").alias("src"), F.col("centroid_row").alias("__y"),
+            F.col("centroid_col").alias("__x"),
+        ).select(
+            *keys, (F.col("__r") + F.col("a")).alias("__r"), (F.col("__c") + F.col("b")).alias("__c"), "a", "b", "src",
+            "__y", "__x")
+        dy, dx = F.col("centroid_row") - F.col("__y"), F.col("centroid_col") - F.col("__x")
+        near = shifted.join(points, cell).filter(dy * dy + dx * dx <= max_dist * max_dist)
+        across = near.groupBy(*cell, "a", "b").agg(
+            F.min(F.struct("src", F.col("place").alias("dst"))).alias("e")).select(*keys, "e.src", "e.dst")
+        return inside.unionByName(across)
+
+    merged = connected_components(placed, edges, keys, "place", "__first")
     firsts = merged.select(*keys, "__first").distinct()
     # One row per cluster: the number of earlier clusters is its label.
     labels = row_index(firsts, keys, [F.col("__first")], "cluster")

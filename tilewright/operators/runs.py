@@ -95,12 +95,15 @@ def run_id() -> Column:
 def label_runs(runs: DataFrame, keys: list[str] = KEYS, connectivity: int = 8, name: str = "region") -> DataFrame:
     """Runs with the id of their region. Not lazy: see ``connected_components``."""
     reach = 1 if connectivity == 8 else 0
-    nodes = runs.withColumn("id", run_id())
-    above = nodes.select(
-        *keys, (F.col("row") + 1).alias("row"), F.col("start").alias("__a"), F.col("stop").alias("__b"),
-        F.col("id").alias("src"))
-    touching = (F.col("__a") <= F.col("stop") + reach) & (F.col("start") <= F.col("__b") + reach)
-    edges = nodes.join(above, [*keys, "row"]).filter(touching).select(*keys, "src", F.col("id").alias("dst"))
+
+    def edges(nodes: DataFrame) -> DataFrame:
+        above = nodes.select(
+            *keys, (F.col("row") + 1).alias("row"), F.col("start").alias("__a"), F.col("stop").alias("__b"),
+            F.col("id").alias("src"))
+        touching = (F.col("__a") <= F.col("stop") + reach) & (F.col("start") <= F.col("__b") + reach)
+        return nodes.join(above, [*keys, "row"]).filter(touching).select(*keys, "src", F.col("id").alias("dst"))
+
+    nodes = runs.select(*keys, "row", "start", "stop", run_id().alias("id"))
     return connected_components(nodes, edges, keys, "id", name).drop("id")
 
 

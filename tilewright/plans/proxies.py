@@ -190,6 +190,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 32 x 24 image per slide: ``slide_id, row, col, r, g, b``."""
     grid = (
         slides(spark, sf_dir)
+        .select("slide_id")
+        .repartition("slide_id")
         .select("slide_id", F.explode(F.sequence(F.lit(0), F.lit(IMG_H - 1))).alias("row"))
         .select("slide_id", "row", F.explode(F.sequence(F.lit(0), F.lit(IMG_W - 1))).alias("col"))
         .select("slide_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
@@ -210,7 +212,11 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return grid.withColumn("h", (row * 7919 + col * 104729 + sid * 48271) % 97).select(
         "slide_id", "row", "col",
-        channel(150 - h % 20, (20, 30, 30, 200), 240 - h % 6).alias("r"),
-        channel(80 + h % 15, (20, 40, 140, 30), 238 - h % 4).alias("g"),
-        channel(140 - h % 10, (25, 180, 60, 40), 242 - h % 5).alias("b"),
+        # A generator keeps the colour formulas out of the expressions of later steps, as a
+        # stored pixel table would.
+        F.inline(F.array(F.struct(
+            channel(150 - h % 20, (20, 30, 30, 200), 240 - h % 6).alias("r"),
+            channel(80 + h % 15, (20, 40, 140, 30), 238 - h % 4).alias("g"),
+            channel(140 - h % 10, (25, 180, 60, 40), 242 - h % 5).alias("b"),
+        ))),
     )

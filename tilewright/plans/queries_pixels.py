@@ -102,11 +102,10 @@ union select slide_id, row, col from pens where pen_blue or pen_green""",
 @query("x6_morphology", sql("""
 select 'open' as kind, slide_id, row, col from black_open union all select 'dilate', slide_id, row, col from grown""", "pixels", extra=OPENED))
 def x6(spark: SparkSession, sf: str) -> DataFrame:
-    image = proxies.pixels(spark, sf)
-    sizes = px.image_sizes(image)
+    image, extent = proxies.pixels(spark, sf), sizes(spark, sf)
     black = runs.from_pixels(px.pen_flags(image, ("black",)).filter("pen_black"))
-    opened = runs.to_pixels(runs.opened(black, sizes)).select(F.lit("open").alias("kind"), "slide_id", "row", "col")
-    grown = runs.to_pixels(px.pen_marker_runs(image, sizes, grow=3))
+    opened = runs.to_pixels(runs.opened(black, extent)).select(F.lit("open").alias("kind"), "slide_id", "row", "col")
+    grown = runs.to_pixels(px.pen_marker_runs(image, extent, grow=3))
     return opened.unionByName(grown.select(F.lit("dilate").alias("kind"), "slide_id", "row", "col"))
 
 
@@ -115,12 +114,11 @@ select 'tissue' as kind, slide_id, row, col from tissue t where fg and not exist
 union all select 'inverted', slide_id, row, col from tissue t where not fg or exists (select 1 from red_blue m where m.slide_id = t.slide_id and m.row = t.row and m.col = t.col)""",
     "pixels", extra={**CHAIN, **OPENED, "red_blue": "select slide_id, row, col from red_open union select slide_id, row, col from pens where pen_blue"}))
 def x7(spark: SparkSession, sf: str) -> DataFrame:
-    image = proxies.pixels(spark, sf)
-    sizes = px.image_sizes(image)
+    image, extent = proxies.pixels(spark, sf), sizes(spark, sf)
     tissue = runs.from_pixels(px.foreground(px.tissue_mask(image)))
-    marks = px.pen_marker_runs(image, sizes, ("blue", "red"))
-    kept = runs.to_pixels(px.combine(tissue, marks, sizes)).select(F.lit("tissue").alias("kind"), "slide_id", "row", "col")
-    rest = runs.to_pixels(px.combine(tissue, marks, sizes, invert=True))
+    marks = px.pen_marker_runs(image, extent, ("blue", "red"))
+    kept = runs.to_pixels(px.combine(tissue, marks, extent)).select(F.lit("tissue").alias("kind"), "slide_id", "row", "col")
+    rest = runs.to_pixels(px.combine(tissue, marks, extent, invert=True))
     return kept.unionByName(rest.select(F.lit("inverted").alias("kind"), "slide_id", "row", "col"))
 
 
