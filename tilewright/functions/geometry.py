@@ -61,32 +61,46 @@ def scale_points(points: Column, sx: Column, sy: Column, truncate: bool = True)
     return F.transform(points, lambda p: F.struct(value(p["x"] * sx).alias("x"), value(p["y"] * sy).alias("y")))
 
 
-def on_edge(points: Column, px: Column, py: Column) -> Column:
-    return F.exists(edges(points), lambda e: (
-        ((e["x2"] - e["x1"]) * (py - e["y1"]) == (px - e["x1"]) * (e["y2"] - e["y1"]))
+def _touches(e: Column, px: Column, py: Column, turn: Column) -> Column:
+    return (
+        (turn == 0)
         & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
         & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-    ))
+    )
+
+
+def position(ring: Column, px: Column, py: Column) -> Column:
+    """2 on an edge, 1 inside, 0 outside; ``ring`` is the result of ``edges``.
 
+    One pass over the edges: a hit on an edge sticks, otherwise every crossing of the ray to the
+    right flips the state. Edges that do not span the row of the point are skipped at once.
+    """
 
-def odd_crossings(points: Column, px: Column, py: Column) -> Column:
-    def crosses(e: Column) -> Column:
+    def step(state: Column, e: Column) -> Column:
         turn = (e["x2"] - e["x1"]) * (py - e["y1"]) - (px - e["x1"]) * (e["y2"] - e["y1"])
-        rising = e["y2"] > e["y1"]
-        return ((e["y1"] > py) != (e["y2"] > py)) & F.when(rising, turn > 0).otherwise(turn < 0)
+        spans = (e["y1"] > py) != (e["y2"] > py)
+        crosses = spans & F.when(e["y2"] > e["y1"], turn > 0).otherwise(turn < 0)
+        near = (F.least(e["y1"], e["y2"]) <= py) & (py <= F.greatest(e["y1"], e["y2"]))
+        return (
+            F.when((state == 2) | ~near, state)
+            .when(_touches(e, px, py, turn), 2)
+            .when(crosses, 1 - state)
+            .otherwise(state)
+        )
 
-    return F.aggregate(edges(points), F.lit(False), lambda odd, e: odd != crosses(e))
+    return F.aggregate(ring, F.lit(0), step)
 
 
-def inside_or_edge(points: Column, px: Column, py: Column) -> Column:
-    return odd_crossings(points, px, py) | on_edge(points, px, py)
+def inside_or_edge(ring: Column, px: Column, py: Column) -> Column:
+    return position(ring, px, py) >= 1
 
 
-def strictly_inside(points: Column, px: Column, py: Column) -> Column:
-    return odd_crossings(points, px, py) & ~on_edge(points, px, py)
+def strictly_inside(ring: Column, px: Column, py: Column) -> Column:
+    return position(ring, px, py) == 1
 
 
-# A contour predicate takes (points, x, y, patch) columns and returns a boolean column.
+# A contour predicate takes (ring, x, y, patch) columns, the ring being the edge list of the
+# contour, and returns a boolean column.
 Predicate = Callable[[Column, Column, Column, Column], Column]
 
 
@@ -107,20 +121,20 @@ def _four(x: Column, y: Column, patch: Column) -> Column:
     ).otherwise(F.array(at(cx, cy)))
 
 
-def in_corner(points: Column, x: Column, y: Column, patch: Column) -> Column:
-    return inside_or_edge(points, x, y)
+def in_corner(ring: Column, x: Column, y: Column, patch: Column) -> Column:
+    return inside_or_edge(ring, x, y)
 
 
-def in_center(points: Column, x: Column, y: Column, patch: Column) -> Column:
-    return inside_or_edge(points, x + _half(patch), y + _half(patch))
+def in_center(ring: Column, x: Column, y: Column, patch: Column) -> Column:
+    return inside_or_edge(ring, x + _half(patch), y + _half(patch))
 
 
-def in_four_any(points: Column, x: Column, y: Column, patch: Column) -> Column:
-    return F.exists(_four(x, y, patch), lambda p: inside_or_edge(points, p["x"], p["y"]))
+def in_four_any(ring: Column, x: Column, y: Column, patch: Column) -> Column:
+    return F.exists(_four(x, y, patch), lambda p: inside_or_edge(ring, p["x"], p["y"]))
 
 
-def in_four_all(points: Column, x: Column, y: Column, patch: Column) -> Column:
-    return F.forall(_four(x, y, patch), lambda p: inside_or_edge(points, p["x"], p["y"]))
+def in_four_all(ring: Column, x: Column, y: Column, patch: Column) -> Column:
+    return F.forall(_four(x, y, patch), lambda p: inside_or_edge(ring, p["x"], p["y"]))
 
 
 PREDICATES: dict[str, Predicate] = {

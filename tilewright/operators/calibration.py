@@ -6,6 +6,9 @@ One scan buckets every score on the grid; the counts per threshold follow from a
 
 from __future__ import annotations
 
+import bisect
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -27,18 +30,31 @@ def band_grid(lower: list[float], upper: list[float], step: list[float]) -> list
     return out
 
 
-def grid_bucket(score: Column, grid: list[float]) -> Column:
-    """How many grid values are at or below ``score`` (binary decision tree, stays in codegen)."""
-
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(score >= F.lit(grid[mid]), pick(mid + 1, hi)).otherwise(pick(lo, mid))
+def grid_bucket(score: Column, grid: list[float], max_cells: int = 4096) -> Column:
+    """How many grid values are at or below ``score``.
 
+    The range is cut into equal cells. The cell of a score is monotone in the score, so every grid
+    value of an earlier cell is below it and every value of a later cell above it; only the few
+    values of its own cell are compared.
+    """
     if any(a >= b for a, b in zip(grid, grid[1:])):
         raise ValueError("the grid must increase")
-    return pick(0, len(grid))
+    low, span = grid[0], grid[-1] - grid[0]
+    gap = min((b - a for a, b in zip(grid, grid[1:])), default=1.0)
+    cells = max(1, min(max_cells, math.ceil(span / gap)))
+    factor = cells / span if span else 1.0
+    own = [math.floor((t - low) * factor) for t in grid]
+    last = own[-1]
+    before = [bisect.bisect_left(own, c) for c in range(last + 1)]
+    most = max(bisect.bisect_right(own, c) - bisect.bisect_left(own, c) for c in range(last + 1))
+    starts = F.expr("array(" + ",".join(map(str, before)) + ")")
+    values = F.expr("array(" + ",".join(f"{t!r}D" for t in grid) + ")")
+    cell = F.floor((score - F.lit(low)) * F.lit(factor))
+    start = F.get(starts, F.least(F.greatest(cell, F.lit(0)), F.lit(last)).cast("int"))
+    found = start
+    for i in range(most):
+        found = found + F.when(score >= F.get(values, start + i), 1).otherwise(0)
+    return F.when(score < low, 0).when(score >= grid[-1], len(grid)).otherwise(found)
 
 
 def sweep(tiles: DataFrame, score: str, grid: list[float] | None = None, slide: str = "slide_id") -> DataFrame:

@@ -31,12 +31,15 @@ def _store_round(edges: DataFrame, keys: list[str], path: str) -> tuple[DataFram
 
 
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Every node links its larger neighbours to the smallest node it can see."""
+    """Every node links its larger neighbours to the smallest node it can see.
+
+    Repeated links are left to the small star, which removes them.
+    """
     both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     return (
         both.join(lowest, [*keys, "u"]).filter(F.col("v") > F.col("u"))
-        .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        .select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
     )
 
 

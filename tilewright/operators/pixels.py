@@ -98,15 +98,15 @@ def pen_marker_runs(
     grow: int = 0, keys: list[str] = KEYS,
 ) -> DataFrame:
     """Pen marks as runs: black and red are opened first; ``grow`` widens all by a square."""
-    flagged = pen_flags(pixels, colours)
-    total = None
-    for c in colours:
-        part = runs.from_pixels(flagged.filter(F.col(f"pen_{c}")).select(*keys, "row", "col"), keys)
-        if c in ("black", "red"):
-            part = runs.opened(part, sizes, runs.ELLIPSE_5, keys)
-        cols = [*keys, "row", "start", "stop"]
-        total = part.select(*cols) if total is None else total.unionByName(part.select(*cols))
-    marks = runs.merge(total, keys)
+    named = F.array_compact(F.array(*[
+        F.when(colour.in_pen_range(*_rgb(), c), F.lit(c)) for c in colours]))
+    marked = pixels.select(*keys, "row", "col", F.explode(named).alias("pen"))
+    inner = [*keys, "pen"]
+    lines = runs.from_pixels(marked, inner)
+    rough = F.col("pen").isin("black", "red")
+    images = sizes.withColumn("pen", F.explode(F.array(F.lit("black"), F.lit("red"))))
+    clean = runs.opened(lines.filter(rough), images, runs.ELLIPSE_5, inner)
+    marks = runs.union(clean, lines.filter(~rough), keys)
     return runs.dilate(marks, sizes, runs.square(grow), keys) if grow else marks
 
 

@@ -59,6 +59,7 @@ def grid_bounds(
 
     out = df.select(
         *contours.columns,
+        geo.edges(F.col("points")).alias("ring"),
         start("x", 0).alias("start_x"), stop("x", "w", "__iw", ref_x, 0).alias("stop_x"),
         start("y", 1).alias("start_y"), stop("y", "h", "__ih", ref_y, 1).alias("stop_y"),
         (F.col("__dx") * step_size).alias("step_x"), (F.col("__dy") * step_size).alias("step_y"),
@@ -70,8 +71,8 @@ def grid_bounds(
 
 
 def tile_grid(bounds: DataFrame, keys: tuple[str, ...] = ("slide_id", "cont_idx")) -> DataFrame:
-    """One row per candidate, with everything ``bounds`` carries."""
-    strips = bounds.withColumn("x", F.explode(steps(F.col("start_x"), F.col("stop_x"), F.col("step_x"))))
+    """One row per candidate, with everything ``bounds`` carries but the points."""
+    strips = bounds.drop("points").withColumn("x", F.explode(steps(F.col("start_x"), F.col("stop_x"), F.col("step_x"))))
     spread = strips.repartition(*keys, "x")
     return spread.withColumn("y", F.explode(steps(F.col("start_y"), F.col("stop_y"), F.col("step_y")))).drop(
         "start_x", "stop_x", "step_x", "start_y", "stop_y", "step_y")
@@ -79,8 +80,8 @@ def tile_grid(bounds: DataFrame, keys: tuple[str, ...] = ("slide_id", "cont_idx"
 
 def in_contour(candidates: DataFrame, test: str | geo.Predicate = "four_pt") -> DataFrame:
     """Candidates that pass the contour test; rows without a contour pass."""
-    ok = geo.predicate(test)(F.col("points"), F.col("x"), F.col("y"), F.col("ref_patch"))
-    return candidates.filter(F.col("points").isNull() | ok)
+    ok = geo.predicate(test)(F.col("ring"), F.col("x"), F.col("y"), F.col("ref_patch"))
+    return candidates.filter(F.col("ring").isNull() | ok)
 
 
 def outside_holes(candidates: DataFrame, holes: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def outside_holes(candidates: DataFrame, holes: DataFrame) -> DataFrame:
     """
     doubled = holes.select(
         F.col("slide_id").alias("__s"), F.col("cont_idx").alias("__c"),
-        geo.scale_points(F.col("points"), F.lit(2), F.lit(2)).alias("__hole"),
+        geo.edges(geo.scale_points(F.col("points"), F.lit(2), F.lit(2))).alias("__hole"),
     )
     cx, cy = F.col("x") * 2 + F.col("ref_patch"), F.col("y") * 2 + F.col("ref_patch")
     return candidates.join(
@@ -236,9 +237,9 @@ def filter_tiles(
         return F.explode(F.sequence(lo, F.floor((rect[origin] + rect[extent]) / cell)))
 
     spread = polygons.select("slide_id", "points", cells("x", "w").alias("__cx")).select(
-        "slide_id", "points", "__cx", cells("y", "h").alias("__cy"))
+        "slide_id", geo.edges(F.col("points")).alias("ring"), "__cx", cells("y", "h").alias("__cy"))
     hits = points.join(spread, ["slide_id", "__cx", "__cy"]).filter(
-        geo.strictly_inside(F.col("points"), F.col("px"), F.col("py")))
+        geo.strictly_inside(F.col("ring"), F.col("px"), F.col("py")))
     found = hits.groupBy("slide_id", *keys).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("corner"))).alias("__bits"))
     need = 15 if mode == "all" else 0
     good = found.filter(F.col("__bits") == need) if need else found
@@ -285,11 +286,11 @@ def random_offset(key: Column, low: Column, high: Column, seed: int, axis: int)
 def polygon_pixels(polygons: DataFrame, keys: list[str]) -> DataFrame:
     """Pixels covered by each polygon, edge included."""
     rect = geo.bounding_rect(F.col("points"))
-    strips = polygons.select(*keys, "points", rect.alias("__r")).withColumn(
+    strips = polygons.select(*keys, geo.edges(F.col("points")).alias("ring"), rect.alias("__r")).withColumn(
         "row", F.explode(F.sequence(F.col("__r.y"), F.col("__r.y") + F.col("__r.h") - 1)))
     full = strips.repartition(*keys, "row").withColumn(
         "col", F.explode(F.sequence(F.col("__r.x"), F.col("__r.x") + F.col("__r.w") - 1)))
-    return full.filter(geo.inside_or_edge(F.col("points"), F.col("col"), F.col("row"))).select(*keys, "row", "col")
+    return full.filter(geo.inside_or_edge(F.col("ring"), F.col("col"), F.col("row"))).select(*keys, "row", "col")
 
 
 def raster(contours: DataFrame, holes: DataFrame | None = None) -> DataFrame:

@@ -108,9 +108,9 @@ g4d = _contour_test("g4d_contour_four_pt_hard", "four_pt_hard")
 @query("u3_custom_predicate", sql("""
 select slide_id, cont_idx, x, y from hit group by all having count(*) filter (where odd or on_edge) >= 3""", "edges", extra=tested("four_pt")))
 def u3(spark: SparkSession, sf: str) -> DataFrame:
-    def most_points(points, x, y, patch):
+    def most_points(ring, x, y, patch):
         s = F.floor(patch / 4).cast("bigint")
-        hits = [geo.inside_or_edge(points, x + a * s, y + b * s).cast("int") for a in (1, 3) for b in (1, 3)]
+        hits = [geo.inside_or_edge(ring, x + a * s, y + b * s).cast("int") for a in (1, 3) for b in (1, 3)]
         return sum(hits[1:], hits[0]) >= 3
 
     return candidates_in(spark, sf, most_points).select("slide_id", "cont_idx", "x", "y")
