@@ -76,12 +76,12 @@ PEN_RANGES = {
 }
 
 
-def in_pen_range(r: Column, g: Column, b: Column, colour: str) -> Column:
-    channels = hsv_bytes(r, g, b)
+def in_pen_range(h: Column, s: Column, v: Column, colour: str) -> Column:
+    """Does a (hue, saturation, value) byte triple lie in a range of this pen colour."""
     hit = F.lit(False)
     for low, high in PEN_RANGES[colour]:
         inside = F.lit(True)
-        for c, lo, hi in zip(channels, low, high):
+        for c, lo, hi in zip((h, s, v), low, high):
             if lo > 0:
                 inside = inside & (c >= lo)
             if hi < 255:

@@ -89,8 +89,18 @@ def tissue_mask(
     return joined.withColumn("fg", F.when(F.col("__gray"), by_gray).otherwise(by_eosin)).drop("__gray", "mean_gray")
 
 
+def _with_hsv_bytes(pixels: DataFrame) -> DataFrame:
+    """Computed once per pixel as columns, since every pen range looks at all three."""
+    h, s, v = colour.hsv_bytes(*_rgb())
+    return pixels.withColumns({"__h": h, "__s": s, "__v": v})
+
+
+def _pen(name: str) -> Column:
+    return colour.in_pen_range(F.col("__h"), F.col("__s"), F.col("__v"), name)
+
+
 def pen_flags(pixels: DataFrame, colours: tuple[str, ...] = ("black", "blue", "green", "red")) -> DataFrame:
-    return pixels.withColumns({f"pen_{c}": colour.in_pen_range(*_rgb(), c) for c in colours})
+    return _with_hsv_bytes(pixels).withColumns({f"pen_{c}": _pen(c) for c in colours}).drop("__h", "__s", "__v")
 
 
 def pen_marker_runs(
@@ -98,9 +108,8 @@ def pen_marker_runs(
     grow: int = 0, keys: list[str] = KEYS,
 ) -> DataFrame:
     """Pen marks as runs: black and red are opened first; ``grow`` widens all by a square."""
-    named = F.array_compact(F.array(*[
-        F.when(colour.in_pen_range(*_rgb(), c), F.lit(c)) for c in colours]))
-    marked = pixels.select(*keys, "row", "col", F.explode(named).alias("pen"))
+    hits = F.inline(F.array(*[F.struct(F.lit(c).alias("pen"), _pen(c).alias("hit")) for c in colours]))
+    marked = _with_hsv_bytes(pixels).select(*keys, "row", "col", hits).filter("hit")
     inner = [*keys, "pen"]
     lines = runs.from_pixels(marked, inner)
     rough = F.col("pen").isin("black", "red")

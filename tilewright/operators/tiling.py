@@ -1,7 +1,8 @@
 """Tile grids inside contours, contour and hole filters, windows and placements.
 
 Candidates of a contour are generated column by column: the strips are spread over the cluster
-before their rows are generated, so one large contour does not end up in one task.
+before their rows are generated, so one large contour does not end up in one task. The width is
+explicit: strips are small in bytes, and adaptive execution would otherwise pack them together.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright.functions import geometry as geo, pyramid as pyr
 from tilewright.operators.ordering import top_rows
+from tilewright.session import shuffle_width
 
 
 def steps(start: Column, stop: Column, step: Column) -> Column:
@@ -73,7 +75,7 @@ def grid_bounds(
 def tile_grid(bounds: DataFrame, keys: tuple[str, ...] = ("slide_id", "cont_idx")) -> DataFrame:
     """One row per candidate, with everything ``bounds`` carries but the points."""
     strips = bounds.drop("points").withColumn("x", F.explode(steps(F.col("start_x"), F.col("stop_x"), F.col("step_x"))))
-    spread = strips.repartition(*keys, "x")
+    spread = strips.repartition(shuffle_width(bounds.sparkSession), *keys, "x")
     return spread.withColumn("y", F.explode(steps(F.col("start_y"), F.col("stop_y"), F.col("step_y")))).drop(
         "start_x", "stop_x", "step_x", "start_y", "stop_y", "step_y")
 
@@ -288,7 +290,7 @@ def polygon_pixels(polygons: DataFrame, keys: list[str]) -> DataFrame:
     rect = geo.bounding_rect(F.col("points"))
     strips = polygons.select(*keys, geo.edges(F.col("points")).alias("ring"), rect.alias("__r")).withColumn(
         "row", F.explode(F.sequence(F.col("__r.y"), F.col("__r.y") + F.col("__r.h") - 1)))
-    full = strips.repartition(*keys, "row").withColumn(
+    full = strips.repartition(shuffle_width(polygons.sparkSession), *keys, "row").withColumn(
         "col", F.explode(F.sequence(F.col("__r.x"), F.col("__r.x") + F.col("__r.w") - 1)))
     return full.filter(geo.inside_or_edge(F.col("ring"), F.col("col"), F.col("row"))).select(*keys, "row", "col")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tilewright import config
+from tilewright.session import shuffle_width
 
 LATTICE = 40
 TILE = 400
@@ -191,7 +192,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = (
         slides(spark, sf_dir)
         .select("slide_id")
-        .repartition("slide_id")
+        .repartition(shuffle_width(spark), "slide_id")
         .select("slide_id", F.explode(F.sequence(F.lit(0), F.lit(IMG_H - 1))).alias("row"))
         .select("slide_id", "row", F.explode(F.sequence(F.lit(0), F.lit(IMG_W - 1))).alias("col"))
         .select("slide_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
