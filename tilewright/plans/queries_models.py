@@ -79,13 +79,13 @@ def a27(spark: SparkSession, sf: str) -> DataFrame:
 @query("a28_early_stopping", sql("""
 select fold, min(epoch) filter (where stopped) as stopped_at, arg_max(checkpoint, epoch) as checkpoint_epoch, round(arg_max(best, epoch), 9) as best_loss from walk group by fold""",
     "train_log", recursive=True, extra={
-        "losses": "select y as fold, epoch, round(avg(loss), 9) as loss from train_log where split = 'val' group by all",
+        "losses": "select *, row_number() over (partition by fold order by epoch) as rn from (select y as fold, epoch, round(avg(loss), 9) as loss from train_log where split = 'val' group by all)",
         "walk": """
-select fold, epoch, loss as best, 0 as counter, epoch as checkpoint, false as stopped from losses l where epoch = (select min(epoch) from losses m where m.fold = l.fold)
+select fold, rn, epoch, loss as best, 0 as counter, epoch as checkpoint, false as stopped from losses where rn = 1
 union all
-select w.fold, l.epoch, least(w.best, l.loss), case when l.loss <= w.best then 0 else w.counter + 1 end,
+select w.fold, l.rn, l.epoch, least(w.best, l.loss), case when l.loss <= w.best then 0 else w.counter + 1 end,
   case when l.loss <= w.best then l.epoch else w.checkpoint end, l.loss > w.best and w.counter + 1 >= 4 and l.epoch > 8
-from walk w join losses l on l.fold = w.fold and l.epoch = w.epoch + 1 where not w.stopped"""}))
+from walk w join losses l on l.fold = w.fold and l.rn = w.rn + 1 where not w.stopped"""}))
 def a28(spark: SparkSession, sf: str) -> DataFrame:
     val = proxies.train_log(spark, sf).filter(F.col("split") == "val")
     losses = val.groupBy(F.col("y").alias("fold"), "epoch").agg(F.round(F.avg("loss"), 9).alias("loss"))
