@@ -24,13 +24,14 @@ def min_max_scale(df: DataFrame, column: str, name: str, keys: list[str] | None
 
 
 def cosine_neighbours(
-    features: DataFrame, k: int, ident: str = "tile_id", vector: str = "features", block_rows: int = 4096
+    features: DataFrame, k: int, ident: str = "tile_id", vector: str = "features", block_rows: int = 16384, strip: int = 1024
 ) -> DataFrame:
     """The ``k`` most similar other rows of each row, exactly: ``ident, neighbour, similarity, rank``.
 
-    Rows are hashed to blocks of about ``block_rows``; every pair of blocks is one matrix product
-    that keeps its ``k`` best per row, so no task holds more than two blocks and no pair of rows
-    is ever emitted. Counts the rows once to size the blocks.
+    Rows are hashed to blocks of about ``block_rows``; every pair of blocks is compared in strips
+    of matrix products that keep the ``k`` best per row, so a task holds two blocks and one strip,
+    and of all pairs only the ``k`` best per row and block are emitted. Copies spread over the
+    blocks like any other row. Counts the rows once to size the blocks.
     """
     blocks = max(1, math.ceil(features.count() / block_rows))
     keyed = features.select(
@@ -49,16 +50,31 @@ def cosine_neighbours(
         if lhs.empty or rhs.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "similarity": []}).astype(
                 {"id": "int64", "neighbour": "int64", "similarity": "float64"})
+        rhs = rhs.sort_values("id")
         a, b = lhs["id"].to_numpy(), rhs["id"].to_numpy()
-        sims = unit(lhs["v"]) @ unit(rhs["v"]).T
-        sims[a[:, None] == b[None, :]] = -np.inf
+        lvec, rvec = unit(lhs["v"]), unit(rhs["v"])
         keep = min(k, len(b))
-        # Order by similarity, then id, so that ties do not depend on the block layout.
-        by_id = np.argsort(b, kind="stable")
-        picked = by_id[np.argsort(-sims[:, by_id], axis=1, kind="stable")[:, :keep]]
-        value = np.take_along_axis(sims, picked, axis=1)
-        out = pd.DataFrame({
-            "id": np.repeat(a, keep), "neighbour": b[picked].ravel(), "similarity": value.ravel()})
+        found = []
+        for at in range(0, len(a), strip):
+            ids = a[at:at + strip]
+            sims = lvec[at:at + strip] @ rvec.T
+            sims[ids[:, None] == b[None, :]] = -np.inf
+            # Columns are in id order, so ties go to the smaller id whatever the block layout.
+            if keep <= 16:
+                rows = np.arange(len(ids))
+                picked = np.empty((len(ids), keep), dtype=np.int64)
+                value = np.empty((len(ids), keep))
+                for place in range(keep):
+                    best_col = sims.argmax(axis=1)
+                    picked[:, place] = best_col
+                    value[:, place] = sims[rows, best_col]
+                    sims[rows, best_col] = -np.inf
+            else:
+                picked = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
+                value = np.take_along_axis(sims, picked, axis=1)
+            found.append(pd.DataFrame({
+                "id": np.repeat(ids, keep), "neighbour": b[picked].ravel(), "similarity": value.ravel()}))
+        out = pd.concat(found)
         return out[np.isfinite(out["similarity"])]
 
     partial = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(

@@ -61,8 +61,12 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name:
     """The first ``k`` rows of each group with their one-based rank.
 
     Filtering on ``row_number`` lets Spark cut each partition to ``k`` rows per group before the
-    shuffle, so a hot group sends at most ``k`` rows per input partition.
+    shuffle, so a hot group sends at most ``k`` rows per input partition. Spark does so up to a
+    configured ``k``; beyond it the rows are indexed by range partitions instead.
     """
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        placed = row_index(df, keys, order, name).withColumn(name, F.col(name) + 1)
+        return placed.filter(F.col(name) <= k)
     w = W.partitionBy(*keys).orderBy(*order) if keys else W.orderBy(*order)
     return (
         df.withColumn(name, F.row_number().over(w).cast("bigint"))

@@ -136,16 +136,29 @@ def _split_table(counts: DataFrame, keys: list[str]) -> DataFrame:
     n, s = F.sum("n").over(below), F.sum(F.col("v") * F.col("n")).over(below)
     N, S = F.sum("n").over(whole), F.sum(F.col("v") * F.col("n")).over(whole)
     t = counts.select(*keys, "v", n.alias("a"), s.alias("sa"), (N - n).alias("b"), (S - s).alias("sb"))
-    gap = F.col("sa") / F.col("a") - F.try_divide(F.col("sb").cast("double"), F.col("b"))
+    gap = F.col("sa") / F.col("a") - F.try_divide(F.col("sb"), F.col("b").cast("double"))
     return t.withColumn("between", F.coalesce(F.col("a") * F.col("b") * gap * gap, F.lit(0.0)))
 
 
+WHOLE_NUMBERS = {"r", "g", "b", "R", "G", "B", "L"}
+
+
+def histogram(pixels: DataFrame, channel: str, keys: list[str] = KEYS, bins: int = 256) -> DataFrame:
+    """``keys, v, n``: one row per byte value, or per centre of equal bins for other channels."""
+    if channel in WHOLE_NUMBERS:
+        return pixels.groupBy(*keys, F.col(channel).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    span = pixels.groupBy(*keys).agg(F.min(channel).alias("__lo"), F.max(channel).alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    index = F.coalesce(F.least(F.floor(F.try_divide(F.col(channel) - F.col("__lo"), width)), F.lit(bins - 1)), F.lit(0))
+    centre = F.col("__lo") + (index + 0.5) * width
+    return pixels.join(span, keys).groupBy(*keys, centre.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def otsu_threshold(pixels: DataFrame, channel: str, keys: list[str] = KEYS) -> DataFrame:
-    """The first value with the largest between-class variance, for integer channels."""
-    counts = pixels.groupBy(*keys, F.col(channel).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    table = _split_table(counts, keys).withColumn("between", F.round("between", 6))
+    """The first histogram value with the largest between-class variance."""
+    table = _split_table(histogram(pixels, channel, keys), keys).withColumn("between", F.round("between", 6))
     best = table.groupBy(*keys).agg(F.max(F.struct(F.col("between"), (-F.col("v")).alias("neg"))).alias("m"))
-    return best.select(*keys, (-F.col("m.neg")).cast("double").alias("threshold"))
+    return best.select(*keys, (-F.col("m.neg")).alias("threshold"))
 
 
 def mean_threshold(pixels: DataFrame, channel: str, keys: list[str] = KEYS) -> DataFrame:
