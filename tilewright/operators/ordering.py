@@ -83,4 +83,4 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_ra
         *keys, value, (F.col("__upto") - (F.col("__ties") - 1) / 2.0).alias(name)
     )
     joined = df.join(ranked, [*keys, value])
-    return joined.join(sizes, keys) if keys else joined.crossJoin(F.broadcast(sizes))
+    return joined.join(sizes, keys) if keys else joined.withColumn(total, sizes.scalar())

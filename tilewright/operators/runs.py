@@ -93,15 +93,30 @@ def run_id() -> Column:
 
 
 def label_runs(runs: DataFrame, keys: list[str] = KEYS, connectivity: int = 8, name: str = "region") -> DataFrame:
-    """Runs with the id of their region. Not lazy: see ``connected_components``."""
+    """Runs with the id of their region; the runs must be merged. Not lazy: see ``connected_components``."""
     reach = 1 if connectivity == 8 else 0
 
     def edges(nodes: DataFrame) -> DataFrame:
-        above = nodes.select(
-            *keys, (F.col("row") + 1).alias("row"), F.col("start").alias("__a"), F.col("stop").alias("__b"),
-            F.col("id").alias("src"))
-        touching = (F.col("__a") <= F.col("stop") + reach) & (F.col("start") <= F.col("__b") + reach)
-        return nodes.join(above, [*keys, "row"]).filter(touching).select(*keys, "src", F.col("id").alias("dst"))
+        """Links of neighbouring rows, one look back per run.
+
+        Two rows are sorted together by start. Runs of a row do not touch, so of the other row
+        only the last run before this one can reach it; later runs look back themselves.
+        """
+        here = F.struct("stop", "id")
+        pair = nodes.select(
+            *keys, "start", "stop", "id",
+            F.inline(F.array(
+                F.struct(F.col("row").alias("__pair"), F.lit(0).alias("__side")),
+                F.struct((F.col("row") + 1).alias("__pair"), F.lit(1).alias("__side")))))
+        w = W.partitionBy(*keys, "__pair").orderBy("start", "__side").rowsBetween(W.unboundedPreceding, -1)
+
+        def last_of(side: int) -> Column:
+            return F.last(F.when(F.col("__side") == side, here), ignorenulls=True).over(w)
+
+        seen = pair.withColumns({"__zero": last_of(0), "__one": last_of(1)}).withColumn(
+            "__other", F.when(F.col("__side") == 0, F.col("__one")).otherwise(F.col("__zero")))
+        return seen.filter(F.col("__other.stop") + reach >= F.col("start")).select(
+            *keys, F.col("__other.id").alias("src"), F.col("id").alias("dst"))
 
     nodes = runs.select(*keys, "row", "start", "stop", run_id().alias("id"))
     return connected_components(nodes, edges, keys, "id", name).drop("id")

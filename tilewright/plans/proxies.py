@@ -138,10 +138,6 @@ def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slides(spark, sf_dir).select("slide_id", F.inline(listed))
 
 
-def slide_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tile_scores(spark, sf_dir)
-
-
 def truth_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``slide_id, code`` with the codes of the slide-level label map."""
     sid = F.col("slide_id")

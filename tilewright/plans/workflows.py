@@ -1,4 +1,4 @@
-"""The reference tasks from end to end, each one plan over all slides of a study."""
+"""The tasks of a study from end to end, each over all its slides at once."""
 
 from __future__ import annotations
 
