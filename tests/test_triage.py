@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tilewright import config
 from tilewright.operators import triage
+from tilewright.plans import proxies
 
 
 def test_cut_off_boundaries(spark):
@@ -59,3 +62,14 @@ def test_tff3_class_cannot_be_overridden(spark):
     rows = spark.createDataFrame([("he",), ("tff3",)], "stain string")
     got = {r.stain: r.ranked_class for r in config.with_stain_config(rows, ranked_class=F.lit("Negative")).collect()}
     assert got == {"he": "Negative", "tff3": "Positive"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not mounted")
+def test_known_counts_of_the_stand_in(spark):
+    tiles = proxies.tile_scores(spark, "/root/testdata/sf0.01")
+    counts = triage.positive_tiles(tiles, "score", 0.99).cache()
+    by_rest = {r.k: r.n for r in counts.groupBy((F.col("slide_id") % 5).alias("k")).agg(F.sum("positive_tiles").alias("n")).collect()}
+    assert by_rest == {0: 101, 1: 68, 2: 25, 3: 0, 4: 0}
+    for (lcp, hcp), want in {(0, 10): (49, 48, 3), (0, 95): (49, 51, 0), (0, 2): (49, 10, 41), (3, 40): (73, 27, 0)}.items():
+        tally = triage.run_tally(triage.triage(counts, lcp, hcp)).first()
+        assert (tally.negative, tally.low, tally.high) == want
