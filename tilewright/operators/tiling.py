@@ -238,10 +238,13 @@ def filter_tiles(
         lo = F.floor(rect[origin] / cell)
         return F.explode(F.sequence(lo, F.floor((rect[origin] + rect[extent]) / cell)))
 
-    spread = polygons.select("slide_id", "points", cells("x", "w").alias("__cx")).select(
-        "slide_id", geo.edges(F.col("points")).alias("ring"), "__cx", cells("y", "h").alias("__cy"))
+    spread = polygons.select("slide_id", "points", rect.alias("__r"), cells("x", "w").alias("__cx")).select(
+        "slide_id", geo.edges(F.col("points")).alias("ring"), "__r.x", "__r.y", "__r.w", "__r.h", "__cx",
+        cells("y", "h").alias("__cy"))
+    # Plain comparisons with the bounding box come first and settle most points.
+    boxed = F.col("px").between(F.col("x"), F.col("x") + F.col("w")) & F.col("py").between(F.col("y"), F.col("y") + F.col("h"))
     hits = points.join(spread, ["slide_id", "__cx", "__cy"]).filter(
-        geo.strictly_inside(F.col("ring"), F.col("px"), F.col("py")))
+        boxed & geo.strictly_inside(F.col("ring"), F.col("px"), F.col("py")))
     found = hits.groupBy("slide_id", *keys).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("corner"))).alias("__bits"))
     need = 15 if mode == "all" else 0
     good = found.filter(F.col("__bits") == need) if need else found
