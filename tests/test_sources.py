@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,32 @@ def test_channel_cut_offs(spark):
         pixels.channel_mask(image, {})
 
 
+def test_named_cut_offs_match_histogram_loops(spark):
+    rng = np.random.default_rng(8)
+    data = {1: np.concatenate([rng.normal(60, 9, 300), rng.normal(170, 20, 200)]).clip(0, 255).astype(int),
+            2: rng.integers(10, 90, 150), 3: np.full(5, 7)}
+    rows = [(s, int(v)) for s, values in data.items() for v in values]
+    image = spark.createDataFrame(rows, "slide_id int, r int")
+    got = {name: {r.slide_id: r.threshold for r in pixels.NAMED[name](image, "r").collect()} for name in ("otsu", "yen", "isodata")}
+    for s, values in data.items():
+        low = values.min()
+        counts = np.bincount(values - low).astype(float)
+        centres = np.arange(low, values.max() + 1).astype(float)
+        if len(counts) == 1:
+            assert all(got[n][s] == low for n in got)
+            continue
+        n1, total = np.cumsum(counts)[:-1], counts.sum()
+        s1, whole = np.cumsum(counts * centres)[:-1], (counts * centres).sum()
+        m1, m2 = s1 / n1, (whole - s1) / (total - n1)
+        assert got["otsu"][s] == centres[np.argmax(np.round(n1 * (total - n1) * (m1 - m2) ** 2, 6))]
+        p = counts / total
+        q1, q2 = np.cumsum(p ** 2)[:-1], (p ** 2).sum() - np.cumsum(p ** 2)[:-1]
+        share = np.cumsum(p)[:-1]
+        assert got["yen"][s] == centres[np.argmax(np.round(np.log((share * (1 - share)) ** 2 / (q1 * q2)), 6))]
+        distance = (m1 + m2) / 2 - centres[:-1]
+        assert got["isodata"][s] == centres[:-1][(distance >= 0) & (distance < 1)][0]
+
+
 def test_segmentation_finds_two_discs(spark):
     cells = [(1, r, c, *((150, 80, 140) if (r - 15) ** 2 + (c - 15) ** 2 <= 49 or (r - 15) ** 2 + (c - 60) ** 2 <= 36 else (240, 240, 242)))
              for r in range(32) for c in range(80)]

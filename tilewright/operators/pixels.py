@@ -129,43 +129,76 @@ Threshold = float | str | Callable[[DataFrame, str], DataFrame]
 
 
 def _split_table(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Between-class variance of every cut of a histogram with at most 256 values per image."""
+    """Both sides of every cut of a histogram with at most 256 values per image.
+
+    ``n, s, q`` of each side: pixels, sum of values, sum of squared counts; ``next`` is the value
+    after the cut. The last value is no cut and has an empty upper side.
+    """
     w = W.partitionBy(*keys).orderBy("v")
     below = w.rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*keys)
-    n, s = F.sum("n").over(below), F.sum(F.col("v") * F.col("n")).over(below)
-    N, S = F.sum("n").over(whole), F.sum(F.col("v") * F.col("n")).over(whole)
-    t = counts.select(*keys, "v", n.alias("a"), s.alias("sa"), (N - n).alias("b"), (S - s).alias("sb"))
-    gap = F.col("sa") / F.col("a") - F.try_divide(F.col("sb"), F.col("b").cast("double"))
-    return t.withColumn("between", F.coalesce(F.col("a") * F.col("b") * gap * gap, F.lit(0.0)))
+    parts = {"n": F.col("n"), "s": F.col("v") * F.col("n"), "q": (F.col("n") * F.col("n")).cast("double")}
+    sides = {}
+    for name, value in parts.items():
+        sides[f"low_{name}"] = F.sum(value).over(below)
+        sides[f"high_{name}"] = F.sum(value).over(whole) - F.sum(value).over(below)
+    return counts.select(*keys, "v", "width", F.lead("v").over(w).alias("next"), *[c.alias(k) for k, c in sides.items()])
+
+
+def _first_best(table: DataFrame, score: Column, keys: list[str]) -> DataFrame:
+    """The smallest value with the largest score; an image with one value keeps that value."""
+    scored = table.withColumn("__score", F.round(score, 6))
+    best = scored.groupBy(*keys).agg(F.max(F.when(
+        F.col("__score").isNotNull(), F.struct("__score", (-F.col("v")).alias("neg")))).alias("m"), F.min("v").alias("only"))
+    return best.select(*keys, F.coalesce(-F.col("m.neg"), F.col("only")).alias("threshold"))
 
 
 WHOLE_NUMBERS = {"r", "g", "b", "R", "G", "B", "L"}
 
 
 def histogram(pixels: DataFrame, channel: str, keys: list[str] = KEYS, bins: int = 256) -> DataFrame:
-    """``keys, v, n``: one row per byte value, or per centre of equal bins for other channels."""
+    """``keys, v, n, width``: one row per byte value, or per centre of equal bins for other channels."""
     if channel in WHOLE_NUMBERS:
-        return pixels.groupBy(*keys, F.col(channel).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        counted = pixels.groupBy(*keys, F.col(channel).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        return counted.withColumn("width", F.lit(1.0))
     span = pixels.groupBy(*keys).agg(F.min(channel).alias("__lo"), F.max(channel).alias("__hi"))
     width = (F.col("__hi") - F.col("__lo")) / bins
     index = F.coalesce(F.least(F.floor(F.try_divide(F.col(channel) - F.col("__lo"), width)), F.lit(bins - 1)), F.lit(0))
     centre = F.col("__lo") + (index + 0.5) * width
-    return pixels.join(span, keys).groupBy(*keys, centre.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return pixels.join(span, keys).groupBy(*keys, centre.alias("v"), width.alias("width")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def otsu_threshold(pixels: DataFrame, channel: str, keys: list[str] = KEYS) -> DataFrame:
     """The first histogram value with the largest between-class variance."""
-    table = _split_table(histogram(pixels, channel, keys), keys).withColumn("between", F.round("between", 6))
-    best = table.groupBy(*keys).agg(F.max(F.struct(F.col("between"), (-F.col("v")).alias("neg"))).alias("m"))
-    return best.select(*keys, (-F.col("m.neg")).alias("threshold"))
+    table = _split_table(histogram(pixels, channel, keys), keys)
+    gap = F.col("low_s") / F.col("low_n") - F.try_divide(F.col("high_s"), F.col("high_n").cast("double"))
+    return _first_best(table, F.col("low_n") * F.col("high_n") * gap * gap, keys)
+
+
+def yen_threshold(pixels: DataFrame, channel: str, keys: list[str] = KEYS) -> DataFrame:
+    """The first histogram value with the largest entropic correlation of both sides."""
+    table = _split_table(histogram(pixels, channel, keys), keys)
+    total = (F.col("low_n") + F.col("high_n")).cast("double")
+    share = F.col("low_n") / total
+    odds = F.try_divide(F.pow(share * (1 - share), F.lit(2.0)), F.col("low_q") / total / total * (F.col("high_q") / total / total))
+    return _first_best(table, F.when(F.col("high_n") > 0, F.log(odds)), keys)
+
+
+def isodata_threshold(pixels: DataFrame, channel: str, keys: list[str] = KEYS) -> DataFrame:
+    """The first histogram value that lies within one bin below the middle of both side means."""
+    table = _split_table(histogram(pixels, channel, keys), keys)
+    middle = (F.col("low_s") / F.col("low_n") + F.try_divide(F.col("high_s"), F.col("high_n").cast("double"))) / 2
+    hops = F.floor((middle - F.col("v")) / F.col("width"))
+    fits = (middle >= F.col("v")) & (hops < F.round((F.col("next") - F.col("v")) / F.col("width"), 0))
+    found = F.min(F.when(fits, F.col("v") + hops * F.col("width")))
+    return table.groupBy(*keys).agg(F.coalesce(found, F.min("v")).alias("threshold"))
 
 
 def mean_threshold(pixels: DataFrame, channel: str, keys: list[str] = KEYS) -> DataFrame:
     return pixels.groupBy(*keys).agg(F.avg(channel).alias("threshold"))
 
 
-NAMED = {"otsu": otsu_threshold, "mean": mean_threshold}
+NAMED = {"otsu": otsu_threshold, "mean": mean_threshold, "yen": yen_threshold, "isodata": isodata_threshold}
 
 
 def channel_mask(
@@ -195,6 +228,8 @@ def channel_mask(
         if isinstance(rule, (int, float)):
             cuts[channel] = F.lit(float(rule))
             continue
+        if isinstance(rule, str) and rule.lower() not in NAMED:
+            raise ValueError(f"named rules are {sorted(NAMED)}; pass a callable for another")
         fn = NAMED[rule.lower()] if isinstance(rule, str) else rule
         found = fn(source, channel).withColumnRenamed("threshold", f"__t_{channel}")
         df = df.join(found, keys)
