@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright.operators import runs
 from tilewright.operators.components import connected_components
@@ -20,7 +20,8 @@ def cluster_regions(regions: DataFrame, max_dist: float, keys: list[str] = KEYS)
     """``regions`` with ``place`` and ``cluster``, numbered by the first member in area order.
 
     Centroids go to cells whose diagonal is below ``max_dist``: members of a cell are linked
-    without comparing them, and two neighbouring cells need one link, kept by a partial minimum.
+    without comparing them. Two neighbouring cells need one link, and the boxes around their
+    members settle most pairs of cells.
     """
     side = max_dist / 1.4143
     placed = area_order(regions, keys).withColumns({
@@ -31,21 +32,48 @@ def cluster_regions(regions: DataFrame, max_dist: float, keys: list[str] = KEYS)
         F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
         for a in range(0, 3) for b in range(-2, 3) if (a, b) > (0, 0)])
 
+    def gap(lo: str, hi: str, other_lo: str, other_hi: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(lo) - F.col(other_hi), F.col(other_lo) - F.col(hi))
+
+    def to_box(axis: str, side: str) -> Column:
+        value = F.col(axis)
+        return F.greatest(F.lit(0.0), F.col(f"{side}_{axis}_lo") - value, value - F.col(f"{side}_{axis}_hi"))
+
+    limit = max_dist * max_dist
+
     def edges(nodes: DataFrame) -> DataFrame:
-        points = nodes.select(*cell, "place", "centroid_row", "centroid_col")
-        heads = points.groupBy(*cell).agg(F.min("place").alias("head"))
-        inside = points.join(heads, cell).select(*keys, F.col("head").alias("src"), F.col("place").alias("dst"))
-        shifted = points.select(
-            *keys, F.inline(offsets), "__r", "__c", F.col("place").alias("src"), F.col("centroid_row").alias("__y"),
-            F.col("centroid_col").alias("__x"),
-        ).select(
-            *keys, (F.col("__r") + F.col("a")).alias("__r"), (F.col("__c") + F.col("b")).alias("__c"), "a", "b", "src",
-            "__y", "__x")
-        dy, dx = F.col("centroid_row") - F.col("__y"), F.col("centroid_col") - F.col("__x")
-        near = shifted.join(points, cell).filter(dy * dy + dx * dx <= max_dist * max_dist)
-        across = near.groupBy(*cell, "a", "b").agg(
-            F.min(F.struct("src", F.col("place").alias("dst"))).alias("e")).select(*keys, "e.src", "e.dst")
-        return inside.unionByName(across)
+        points = nodes.select(*cell, "place", F.col("centroid_row").alias("y"), F.col("centroid_col").alias("x"))
+        boxes = points.groupBy(*cell).agg(
+            F.min("place").alias("head"), F.min("y").alias("y_lo"), F.max("y").alias("y_hi"),
+            F.min("x").alias("x_lo"), F.max("x").alias("x_hi"))
+        inside = points.join(boxes, cell).select(*keys, F.col("head").alias("src"), F.col("place").alias("dst"))
+
+        facts = ["head", "y_lo", "y_hi", "x_lo", "x_hi"]
+        first = boxes.select(
+            *keys, F.inline(offsets), F.col("__r").alias("a_r"), F.col("__c").alias("a_c"),
+            *[F.col(c).alias(f"a_{c}") for c in facts],
+        ).withColumns({"__r": F.col("a_r") + F.col("a"), "__c": F.col("a_c") + F.col("b")}).drop("a", "b")
+        pairs = first.join(boxes.withColumnsRenamed({c: f"b_{c}" for c in facts}), cell)
+        wide_y = F.greatest(F.col("a_y_hi") - F.col("b_y_lo"), F.col("b_y_hi") - F.col("a_y_lo"))
+        wide_x = F.greatest(F.col("a_x_hi") - F.col("b_x_lo"), F.col("b_x_hi") - F.col("a_x_lo"))
+        near_y = gap("a_y_lo", "a_y_hi", "b_y_lo", "b_y_hi")
+        near_x = gap("a_x_lo", "a_x_hi", "b_x_lo", "b_x_hi")
+        sure = wide_y * wide_y + wide_x * wide_x <= limit
+        open_pairs = pairs.filter(~sure & (near_y * near_y + near_x * near_x <= limit))
+
+        def reachable(side: str) -> Column:
+            return to_box("y", side) * to_box("y", side) + to_box("x", side) * to_box("x", side) <= limit
+
+        # Only pairs of cells that their boxes leave open compare members, and only members that
+        # can reach the box of the other cell.
+        ours = points.withColumnsRenamed({"__r": "a_r", "__c": "a_c"}).join(open_pairs, [*keys, "a_r", "a_c"]).filter(
+            reachable("b")).withColumnsRenamed({"y": "a_y", "x": "a_x"}).drop("place", "b_head", *[f"b_{c}" for c in facts])
+        theirs = points.join(boxes.select(*cell, F.col("head").alias("b_head")), cell)
+        met = ours.join(theirs, cell).filter(reachable("a"))
+        dy, dx = F.col("y") - F.col("a_y"), F.col("x") - F.col("a_x")
+        close = met.filter(dy * dy + dx * dx <= limit).select(*keys, "a_head", "b_head")
+        across = pairs.filter(sure).select(*keys, "a_head", "b_head").unionByName(close).distinct()
+        return inside.unionByName(across.select(*keys, F.col("a_head").alias("src"), F.col("b_head").alias("dst")))
 
     merged = connected_components(placed, edges, keys, "place", "__first")
     firsts = merged.select(*keys, "__first").distinct()
