@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tilewright.operators import runs
 from tilewright.operators.components import connected_components
 from tilewright.operators.ordering import row_index, top_rows
+from tilewright.session import materialise
 
 KEYS = ["slide_id"]
 
@@ -43,9 +44,9 @@ def cluster_regions(regions: DataFrame, max_dist: float, keys: list[str] = KEYS)
 
     def edges(nodes: DataFrame) -> DataFrame:
         points = nodes.select(*cell, "place", F.col("centroid_row").alias("y"), F.col("centroid_col").alias("x"))
-        boxes = points.groupBy(*cell).agg(
+        boxes = materialise(points.groupBy(*cell).agg(
             F.min("place").alias("head"), F.min("y").alias("y_lo"), F.max("y").alias("y_hi"),
-            F.min("x").alias("x_lo"), F.max("x").alias("x_hi"))
+            F.min("x").alias("x_lo"), F.max("x").alias("x_hi")), "cells")
         inside = points.join(boxes, cell).select(*keys, F.col("head").alias("src"), F.col("place").alias("dst"))
 
         facts = ["head", "y_lo", "y_hi", "x_lo", "x_hi"]
@@ -58,8 +59,10 @@ def cluster_regions(regions: DataFrame, max_dist: float, keys: list[str] = KEYS)
         wide_x = F.greatest(F.col("a_x_hi") - F.col("b_x_lo"), F.col("b_x_hi") - F.col("a_x_lo"))
         near_y = gap("a_y_lo", "a_y_hi", "b_y_lo", "b_y_hi")
         near_x = gap("a_x_lo", "a_x_hi", "b_x_lo", "b_x_hi")
-        sure = wide_y * wide_y + wide_x * wide_x <= limit
-        open_pairs = pairs.filter(~sure & (near_y * near_y + near_x * near_x <= limit))
+        pairs = materialise(
+            pairs.filter(near_y * near_y + near_x * near_x <= limit).withColumn(
+                "sure", wide_y * wide_y + wide_x * wide_x <= limit), "cell-pairs")
+        open_pairs = pairs.filter(~F.col("sure"))
 
         def reachable(side: str) -> Column:
             return to_box("y", side) * to_box("y", side) + to_box("x", side) * to_box("x", side) <= limit
@@ -72,7 +75,7 @@ def cluster_regions(regions: DataFrame, max_dist: float, keys: list[str] = KEYS)
         met = ours.join(theirs, cell).filter(reachable("a"))
         dy, dx = F.col("y") - F.col("a_y"), F.col("x") - F.col("a_x")
         close = met.filter(dy * dy + dx * dx <= limit).select(*keys, "a_head", "b_head")
-        across = pairs.filter(sure).select(*keys, "a_head", "b_head").unionByName(close).distinct()
+        across = pairs.filter("sure").select(*keys, "a_head", "b_head").unionByName(close).distinct()
         return inside.unionByName(across.select(*keys, F.col("a_head").alias("src"), F.col("b_head").alias("dst")))
 
     merged = connected_components(placed, edges, keys, "place", "__first")
