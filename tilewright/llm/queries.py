@@ -25,3 +25,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query("op7_simhash_near_dedup")
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.simhash import as_hex, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), max_distance=4, width=4)
+    return found.select("doc_id", as_hex(found.fp).alias("fingerprint"), "component_id")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
