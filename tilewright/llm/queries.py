@@ -41,3 +41,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_fuzzy_lines")
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.linededup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -93,8 +93,8 @@ class Scorer:
         return sum(weights[f] for f in sorted(found))
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list:
-    """A fixed sample of at most ``per_class`` labelled rows per label value, as hashed features.
+def _training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Labels, features and counts of a fixed sample of at most ``per_class`` labelled rows per label.
 
     A document labelled more than once counts with its highest label.
     """
@@ -105,7 +105,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: in
         part = graded.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
-        return []
+        return np.zeros(0, dtype=np.int64), [], []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = FeatureReader()
@@ -118,9 +118,15 @@ def _training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     # At most 16 x per_class rows of two numbers: small enough to be sent to every task.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    rows = joined.mapInArrow(run, "doc_id long, y int, features array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.y, r.features))
-    return rows
+    found = joined.mapInArrow(run, "doc_id long, y int, features array<int>, counts array<int>").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("y", "ascending")])
+
+    def lists(name: str) -> list[np.ndarray]:
+        column = found.column(name).combine_chunks()
+        flat, cuts = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()])
+        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    return found.column("y").to_numpy().astype(np.int64), lists("features"), lists("counts")
 
 
 def severity_grades(y: np.ndarray, features: list[np.ndarray], counts: list[np.ndarray], grades: int = 3) -> np.ndarray:
@@ -214,12 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     Rows with a null label or id are not used. Without positives the model has no thresholds and
     gives every document severity zero.
     """
-    rows = _training_rows(docs, labels, label, per_class)
-    if not rows:
+    y, features, counts = _training_rows(docs, labels, label, per_class)
+    if not len(y):
         return OrdinalModel({}, ())
-    features = [np.array(r.features, dtype=np.int64) for r in rows]
-    counts = [np.array(r["counts"], dtype=np.int64) for r in rows]
-    return fit_cumulative_link(features, severity_grades(np.array([r.y for r in rows]), features, counts, grades))
+    return fit_cumulative_link(features, severity_grades(y, features, counts, grades))
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
