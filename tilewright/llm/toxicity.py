@@ -22,7 +22,7 @@ FEATURES = 1 << 19
 #: Lengths of the word beginnings that are features too, for inflected and compound words.
 PREFIXES = (3, 5)
 #: A document is toxic from this P(severity > 0) on.
-CUT = 0.3
+CUT = 0.35
 _MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
 
@@ -154,11 +154,11 @@ def severity_grades(y: np.ndarray, features: list[np.ndarray], counts: list[np.n
 
 
 def fit_cumulative_link(
-    features: list[np.ndarray], y: np.ndarray, steps: int = 400, l1: float = 2e-3, min_docs: int = 3, max_share: float = 0.2
+    features: list[np.ndarray], y: np.ndarray, steps: int = 400, l1: float = 0.09, min_docs: int = 3, max_share: float = 0.2
 ) -> OrdinalModel:
     """Penalised maximum likelihood of the cumulative-link model by accelerated proximal gradient steps.
 
-    Features are presences. ``l1`` keeps the weights sparse; a feature of fewer than ``min_docs``
+    Features are presences. ``l1``, over the root of the sample's size, keeps the weights sparse; a feature of fewer than ``min_docs``
     documents, or of more than ``max_share`` of them, is left out.
     """
     top = int(y.max()) if len(y) else 0
@@ -174,6 +174,7 @@ def fit_cumulative_link(
     rows, cols = rows[keep], place[flat[keep]]
     weight = np.full(len(y), 1 / len(y))
     n, size = len(y), len(names)
+    l1 = l1 / math.sqrt(n)
 
     def times(w: np.ndarray) -> np.ndarray:
         return np.bincount(rows, weights=w[cols], minlength=n)
