@@ -55,3 +55,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_personal_data")
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
