@@ -46,18 +46,13 @@ def linked_groups(
     first = connected_components(items.select("id"), lambda _: held, [], "id", "grp")
 
     spread = keyed(items.join(first, "id"))
-    whole = W.partitionBy("key")
+    whole, largest = W.partitionBy("key"), W.partitionBy("key").orderBy(F.col("n").desc(), "grp")
     mixed = materialise(
-        spread.withColumns({"lo": F.min("grp").over(whole), "hi": F.max("grp").over(whole)})
-        .filter("lo <> hi").select("key", "grp", _of("me", columns)), "mixed")
-    largest = W.partitionBy("key").orderBy(F.col("n").desc(), "grp")
-    minor = (
-        mixed.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("place", F.row_number().over(largest)).filter("place > 1").select("key", "grp")
-    )
-    one = mixed.join(minor, ["key", "grp"]).select("key", F.col("grp").alias("src_grp"), F.col("me").alias("one"))
+        spread.withColumns({"lo": F.min("grp").over(whole), "hi": F.max("grp").over(whole)}).filter("lo <> hi")
+        .withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key", "grp")))
+        .select("key", "grp", _of("me", columns), (F.first("grp").over(largest) != F.col("grp")).alias("minor")), "mixed")
+    one = mixed.filter("minor").select("key", F.col("grp").alias("src_grp"), F.col("me").alias("one"))
     two = mixed.select(F.col("key").alias("key_two"), F.col("grp").alias("dst_grp"), F.col("me").alias("two"))
-    # Both orders of a pair of minor groups meet; the second is left out where both could be seen.
     across = one.join(two, (F.col("key") == F.col("key_two")) & (F.col("src_grp") != F.col("dst_grp")) & near("one", "two", F.col("key")))
     cross = across.select(
         F.col("one.id").alias("src"), F.col("two.id").alias("dst"), "src_grp", "dst_grp")
