@@ -69,3 +69,30 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.pii import report
 
     return report(table(spark, sf_dir, "documents"))
+
+
+# All pairs by exact cosine; the closure walks from every vector to the vectors it reaches.
+OP1_SQL = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS src, b.vec_id AS dst FROM sound a JOIN sound b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(src, dst) AS (
+    SELECT vec_id, vec_id FROM embeddings
+    UNION SELECT r.src, l.dst FROM reach r JOIN links l ON r.dst = l.src
+), named AS (SELECT src, min(dst) AS component_id FROM reach GROUP BY src),
+degrees AS (SELECT src, count(*) AS n FROM links GROUP BY src)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN named m ON e.vec_id = m.src LEFT JOIN degrees d ON e.vec_id = d.src
+"""
+
+
+@query("op1_pivot_near_vectors", OP1_SQL)
+def op1_pivot_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.pivots import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
