@@ -18,8 +18,9 @@ from tilewright.session import materialise
 
 #: Bits that may differ between the fingerprints of candidate lines.
 DISTANCE = 3
-_BYTES = 0x0101010101010101
-_HALVES = 0x0000000100000001
+#: Counter fields of one long: how many words they can count, their width, and the lowest bit of each.
+_NARROW = (127, 8, 0x0101010101010101)
+_WIDE = (32767, 16, 0x0001000100010001)
 
 
 def normalised(line: Column) -> Column:
@@ -27,47 +28,75 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _packed(hashes: str, shift: int, mask: int) -> Column:
-    """Counts of several bits at once: the fields of one long each count one bit of all hashes."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda total, h: total + F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask)))
-
-
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def simhash(lines: DataFrame, words: str, name: str) -> DataFrame:
-    """Majority of each bit over the XXH64 of the words in array ``words``; no words give zero.
+def _packed(hashes: str, fields: tuple[int, int, int]) -> Column:
+    """Bit counts over all hashes: long number k counts bits k, k + width, ... in its fields."""
+    _, width, mask = fields
+
+    def count(k: Column) -> Column:
+        return F.aggregate(
+            hashes, F.lit(0).cast("long"), lambda total, h: total + F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(mask)))
+
+    return F.transform(F.array(*[F.lit(k) for k in range(width)]), count)
 
-    Up to 127 words are counted in bytes, longer lines in 32-bit fields.
+
+def _majority(counts: Column, n: Column, fields: tuple[int, int, int]) -> Column:
+    """Bits whose count exceeds half of ``n``.
+
+    Every other field is widened, so that adding 2^width minus the least majority carries into the bit
+    above a field exactly where its count reaches it.
     """
-    narrow = lines.withColumn("__hs", F.transform(words, lambda w: F.xxhash64(w))).withColumn("__n", F.size("__hs"))
-    short = F.col("__n") <= 127
-    narrow = narrow.withColumns({f"__b{k}": F.when(short, _packed("__hs", k, _BYTES)) for k in range(8)})
-    narrow = narrow.withColumns({f"__w{k}": F.when(~short, _packed("__hs", k, _HALVES)) for k in range(32)})
+    width = fields[1]
+    lanes = sum(((1 << width) - 1) << at for at in range(0, 64, 2 * width))
+    ones = sum(1 << at for at in range(0, 64, 2 * width))
+    lift = (F.lit(1 << width) - F.floor(n / 2) - 1) * F.lit(ones)
+
+    def bits(count: Column, k: Column) -> Column:
+        def half(field: Column) -> Column:
+            return F.shiftrightunsigned(field.bitwiseAND(F.lit(lanes)) + lift, width).bitwiseAND(F.lit(ones))
+
+        both = half(count).bitwiseOR(F.shiftleft(half(F.shiftrightunsigned(count, width)), width))
+        return F.call_function("shiftleft", both, k)
+
+    return F.aggregate(F.transform(counts, bits), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
-    def bits(prefix: str, step: int) -> Column:
-        out = F.lit(0).cast("long")
-        field = (1 << step) - 1
-        for k in range(step):
-            for at in range(0, 64, step):
-                count = F.shiftrightunsigned(F.col(f"{prefix}{k}"), at).bitwiseAND(F.lit(field))
-                out = out.bitwiseOR(F.when(count * 2 > F.col("__n"), F.lit(_signed(1 << (at + k)))).otherwise(F.lit(0)))
-        return out
 
-    helpers = ["__hs", "__n", *[f"__b{k}" for k in range(8)], *[f"__w{k}" for k in range(32)]]
-    return narrow.withColumn(name, F.when(short, bits("__b", 8)).otherwise(bits("__w", 32))).drop(*helpers)
+def _bit_by_bit(hashes: str, n: Column) -> Column:
+    """The same for lines of any length, one bit after the other."""
+    def bit(b: Column) -> Column:
+        seen = F.size(F.filter(hashes, lambda h: F.call_function("getbit", h, b) == 1))
+        return F.when(seen.cast("long") * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def simhash(lines: DataFrame, words: str, name: str) -> DataFrame:
+    """Majority of each bit over the XXH64 of the words in array ``words``; no words give zero.
+
+    Short lines are counted in bytes, longer ones in 16-bit fields, and beyond those bit by bit.
+    """
+    n = F.col("__n")
+    out = lines.withColumn("__hs", F.transform(words, lambda w: F.xxhash64(w))).withColumn("__n", F.size("__hs").cast("long"))
+    counts = F.when(n <= _NARROW[0], _packed("__hs", _NARROW)).when(n <= _WIDE[0], _packed("__hs", _WIDE))
+    out = out.withColumn("__counts", counts)
+    value = F.when(n <= _NARROW[0], _majority(F.col("__counts"), n, _NARROW)).when(
+        n <= _WIDE[0], _majority(F.col("__counts"), n, _WIDE)).otherwise(_bit_by_bit("__hs", n))
+    return out.withColumn(name, value).drop("__hs", "__n", "__counts")
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row per line with ``min_words`` words or more: its place, key, fingerprint and text."""
+    """One row per line with ``min_words`` words or more: its place, key, fingerprint and length."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = base.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("norm", normalised(F.col("line"))).withColumn("words", F.split("norm", " ")).filter(F.size("words") >= min_words)
-    marked = simhash(lines.filter("norm <> ''"), "words", "fp")
+    # Normalising inside the generator keeps the filter from doing it a second time.
+    norm = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), normalised(line).alias("norm")))
+    lines = base.select("doc_id", F.xxhash64("text").alias("text_key"), F.inline(norm))
+    lines = lines.filter(F.col("norm").rlike("^[^ ]+" + " [^ ]+" * (min_words - 1))).withColumn("words", F.split("norm", " "))
+    marked = simhash(lines, "words", "fp")
     return marked.select(
-        "doc_id", "text_key", "line_no", F.xxhash64("norm").alias("a"), F.xxhash64("norm", F.lit(1)).alias("b"),
-        "fp", F.length("norm").alias("chars"), "norm")
+        "doc_id", "text_key", "line_no", F.xxhash64("norm").alias("a"), F.hash("norm").alias("b"), "fp", F.length("norm").alias("chars"))
 
 
 def block_masks(items: int, distance: int = DISTANCE) -> list[int]:
@@ -89,21 +118,19 @@ def block_masks(items: int, distance: int = DISTANCE) -> list[int]:
     raise AssertionError
 
 
-def candidate_pairs(items: DataFrame, masks: list[int], similarity: float, distance: int = DISTANCE) -> DataFrame:
-    """Pairs ``a, b, a2, b2`` of distinct lines that may be similar, each once."""
-    keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(masks)]))
-    one = items.select("a", "b", "fp", "chars", keyed.alias("key")).select("a", "b", "fp", "chars", "key.no", "key.part")
-    two = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns])
+def candidate_pairs(items: DataFrame, masks: list[int], distance: int = DISTANCE) -> DataFrame:
+    """Pairs ``a, a2`` of distinct lines whose fingerprints are within ``distance``, each once."""
+    low = (1 << 6) - 1  # the low bits of a key number its mask
+    keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(m)))).bitwiseAND(F.lit(~low)).bitwiseOR(F.lit(i)) for i, m in enumerate(masks)]
+    one = items.select("a", "fp", F.explode(F.array(*keys)).alias("key"))
+    two = one.select(F.col("a").alias("a2"), F.col("fp").alias("fp2"), F.col("key").alias("key2"))
     differ = F.col("fp").bitwiseXOR(F.col("fp2"))
     # A pair that agrees in several keys is taken at the first of them.
     first = F.lit(True)
-    for i, m in enumerate(masks):
-        first = first & ((F.col("no") <= i) | (differ.bitwiseAND(F.lit(_signed(m))) != 0))
-    ordered = (F.col("a") < F.col("a2")) | ((F.col("a") == F.col("a2")) & (F.col("b") < F.col("b2")))
-    lengths = F.abs(F.col("chars") - F.col("chars2")) <= F.greatest("chars", "chars2") * (1 - similarity)
+    for i, m in enumerate(masks[:-1]):
+        first = first & ((F.col("key").bitwiseAND(F.lit(low)) <= i) | (differ.bitwiseAND(F.lit(_signed(m))) != 0))
     return one.join(
-        two, (F.col("no") == F.col("no2")) & (F.col("part") == F.col("part2")) & ordered & lengths & (F.bit_count(differ) <= distance) & first
-    ).select("a", "b", "a2", "b2")
+        two, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("a2")) & (F.bit_count(differ) <= distance) & first).select("a", "a2")
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3) -> DataFrame:
@@ -112,33 +139,32 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
     ``text_key`` is the XXH64 of the text, which tells rows with one id and different texts apart; rows
     that repeat both are one document. The first occurrence is that of the smallest document id; null
     ids come last. Lines of fewer than ``min_words`` words, blank lines and null texts are never
-    duplicates. Not lazy: steps are stored in the shared folder.
+    duplicates. Equal lines are those with equal 96-bit hashes of the normalised text. Not lazy: steps
+    are stored in the shared folder.
     """
     lines = materialise(line_table(docs, min_words), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key", "line_no")
     items = materialise(
         lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.count(F.lit(1)).alias("n")),
         "line-items")
-    pairs = materialise(candidate_pairs(items, block_masks(items.count()), similarity), "line-pairs")
-    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("a2").alias("a"), F.col("b2").alias("b"))).distinct()
-    shown = materialise(items.join(ends, ["a", "b"]).select("first", "a", "b"), "line-ends")
-    # One text per line: only its first occurrence is read.
-    texts = materialise(
-        lines.select("a", "b", "norm", place.alias("first")).join(shown, ["a", "b", "first"]).groupBy("a", "b").agg(F.first("norm").alias("norm")),
-        "line-texts")
-    both = pairs.join(texts, ["a", "b"]).join(
-        texts.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("norm").alias("norm2")), ["a2", "b2"])
+    size = items.select("a", F.col("chars"))
+    pairs = candidate_pairs(items, block_masks(items.count()))
+    pairs = pairs.join(size, "a").join(size.select(F.col("a").alias("a2"), F.col("chars").alias("chars2")), "a2")
+    pairs = materialise(pairs.filter(F.abs(F.col("chars") - F.col("chars2")) <= F.greatest("chars", "chars2") * (1 - similarity)).select("a", "a2"), "line-pairs")
+    ends = pairs.select("a").unionByName(pairs.select(F.col("a2").alias("a"))).distinct()
+    shown = materialise(items.join(ends, "a").select("first", "a"), "line-ends")
+    texts = materialise(_line_texts(docs, shown), "line-texts")
+    both = pairs.join(texts, "a").join(texts.select(F.col("a").alias("a2"), F.col("norm").alias("norm2")), "a2")
     allowed = F.floor(F.greatest(F.length("norm"), F.length("norm2")) * F.lit(1 - similarity) + 1e-9).cast("int")
     links = (
         both.withColumn("allowed", allowed).filter("levenshtein(norm, norm2, allowed) >= 0")
-        .select(F.struct("a", "b").alias("src"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")).alias("dst"))
+        .select(F.col("a").alias("src"), F.col("a2").alias("dst"))
     )
-    nodes = shown.select(F.struct("a", "b").alias("id"))
-    grouped = connected_components(nodes, lambda _: links, [], "id", "grp")
-    named = shown.select(F.struct("a", "b").alias("id"), "first").join(grouped, "id")
+    grouped = connected_components(shown.select(F.col("a").alias("id")), lambda _: links, [], "id", "grp")
+    named = shown.join(grouped, F.col("a") == F.col("id")).select("a", "first", "grp")
     heads = named.groupBy("grp").agg(F.min("first").alias("keep"))
-    linked = named.join(heads, "grp").select("id.a", "id.b", "keep")
-    kept = items.join(linked, ["a", "b"], "left").withColumn("keep", F.coalesce("keep", "first"))
+    linked = named.join(heads, "grp").select("a", "keep")
+    kept = items.join(linked, "a", "left").withColumn("keep", F.coalesce("keep", "first"))
     kept = kept.filter("n > 1 or keep <> first").select("a", "b", "keep")
     return (
         lines.select("a", "b", "doc_id", "text_key", "line_no", place.alias("here")).join(kept, ["a", "b"])
@@ -146,6 +172,17 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
     )
 
 
+def _line_texts(docs: DataFrame, shown: DataFrame) -> DataFrame:
+    """``a, norm``: the normalised text of each line in ``shown``, cut out of the document it first occurs in."""
+    wanted = shown.groupBy(F.col("first.doc_id").alias("__doc"), F.col("first.text_key").alias("__key")).agg(
+        F.collect_list(F.struct("a", F.col("first.line_no").alias("line_no"))).alias("__lines"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    joined = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key")))
+    cut = joined.select(F.split("text", "\n").alias("parts"), "__lines").select(
+        F.inline(F.transform("__lines", lambda x: F.struct(x["a"].alias("a"), normalised(F.element_at(F.col("parts"), x["line_no"] + 1)).alias("norm")))))
+    return cut.groupBy("a").agg(F.first("norm").alias("norm"))
+
+
 def drop_duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3, drop_emptied: bool = True) -> DataFrame:
     """``docs`` with duplicate lines cut out of ``text`` (and ``n_chars`` measured anew, if there is one).
 

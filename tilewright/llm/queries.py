@@ -76,8 +76,8 @@ OP1_SQL = """
 WITH RECURSIVE sound AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0
 ), links AS (
     SELECT a.vec_id AS src, b.vec_id AS dst FROM sound a JOIN sound b
     ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
@@ -96,3 +96,31 @@ def op1_pivot_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.pivots import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# Windows as lists of words; a word goes if any window over it started in an earlier document.
+OP9_SQL = """
+WITH words AS (
+    SELECT doc_id, text IS NULL AS empty,
+           [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF w <> ''] AS w FROM documents
+), windows AS (
+    SELECT doc_id, i AS start, array_to_string(w[i:i + 12], ' ') AS span
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
+), firsts AS (SELECT span, min(doc_id) AS first FROM windows GROUP BY span),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(start, start + 13)) AS pos
+    FROM windows JOIN firsts USING (span) WHERE first < doc_id
+), kept AS (
+    SELECT p.doc_id, p.word, p.pos FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words) p
+    ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos
+), texts AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, len(w.w) - coalesce(t.n, 0) AS n_removed, sha256(coalesce(t.t, '')) AS kept_sha256
+FROM words w LEFT JOIN texts t ON w.doc_id = t.doc_id
+"""
+
+
+@query("op9_fm_index_substrings", OP9_SQL)
+def op9_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
