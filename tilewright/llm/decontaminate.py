@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,23 +44,24 @@ class LatentIndex:
     answers: list[list[str]]
 
 
-class WordNumbers:
+class WordNumbers(dict):
     """Vocabulary numbers of a text's words, -1 for others; punctuation-only words are dropped."""
 
     def __init__(self, vocabulary: dict[str, int], keep: int = 400_000) -> None:
+        super().__init__()
         self._vocabulary, self._keep = vocabulary, keep
-        self._known: dict[str, int] = {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        words, known = text.split(), self._known
-        if len(known) > self._keep:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                core = w.strip(_MARKS).lower()
-                known[w] = self._vocabulary.get(core, -1) if core else -2
-        out = np.array([known[w] for w in words], dtype=np.int64)
-        return out[out > -2]
+    def __missing__(self, word: str) -> int:
+        core = word.strip(_MARKS).lower()
+        number = self._vocabulary.get(core, -1) if core else -2
+        if len(self) < self._keep:
+            self[word] = number
+        return number
+
+    def of(self, text: str) -> np.ndarray:
+        words = text.split()
+        out = np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+        return out[out > -2] if len(out) and out.min() == -2 else out
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -71,8 +73,8 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
         counts, n = np.zeros(size + 1, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                seen = np.unique(numbers(text.as_py() or ""))
-                counts[seen[seen >= 0]] += 1
+                seen = {numbers[w] for w in set((text.as_py() or "").split())}
+                counts[[i for i in seen if i >= 0]] += 1
                 n += 1
         counts[size] = n
         some = np.flatnonzero(counts)
@@ -113,9 +115,7 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndar
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows), pa.array(list(total[rows]), pa.list_(pa.float64()))], names=["word", "part"])
 
-    def add(key: tuple, rows):
-        import pandas as pd
-
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"word": [key[0]], "part": [np.sum(rows["part"].tolist(), axis=0)]})
 
     source = passages.select("text")
@@ -144,7 +144,7 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndar
     return basis @ vectors[:, keep]
 
 
-def build_index(docs: DataFrame, block: DataFrame, rank: int = 256, answer_words: int = 5, has_answer: bool = False) -> LatentIndex | None:
+def build_index(docs: DataFrame, block: DataFrame, rank: int = 128, answer_words: int = 5, has_answer: bool = False) -> LatentIndex | None:
     """Index one block of the benchmark; None if it has no words. ``block`` is stored and bounded."""
     rows = sorted(block.collect(), key=lambda r: (r.item_id, r.text))
     words = [plain_words(r.text) for r in rows]
@@ -207,7 +207,7 @@ def leaks(
 
     def _search(part: pa.RecordBatch, numbers: WordNumbers, square: np.ndarray, queries: np.ndarray, rows: list[tuple]) -> None:
         texts = [t.as_py() or "" for t in part.column(1)]
-        found = [numbers(t) for t in texts]
+        found = [numbers.of(t) for t in texts]
         ids = part.column(0).to_pylist()
         lo = 0
         while lo < len(found):
@@ -216,34 +216,34 @@ def leaks(
             while hi < len(found) and (hi == lo or total + len(found[hi]) <= 100_000):
                 total += len(found[hi])
                 hi += 1
-            heads, words = [], []
-            for k in range(lo, hi):
-                n = len(found[k])
-                for s in range(0, n, block):
-                    heads.append((k, s, s + block >= n))
-                words.append(found[k])
-            lo = hi
-            if not heads:
+            words = found[lo:hi]
+            sizes = np.array([len(w) for w in words])
+            blocks = -(-sizes // block)
+            total_blocks = int(blocks.sum())
+            first_doc, lo = lo, hi
+            if not total_blocks:
                 continue
             flat = np.concatenate(words)
-            first = np.cumsum([0] + [len(w) for w in words])
-            base = {k: int(first[i]) for i, k in enumerate(range(hi - len(words), hi))}
-            starts = np.array([base[k] + s for k, s, _ in heads])
+            owners = np.repeat(np.arange(len(words)), blocks)
+            inner = (np.arange(total_blocks) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * block
+            starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + inner
+            last = np.append(owners[1:] != owners[:-1], True)
             weight = np.add.reduceat(square[flat], starts)
-            latent = np.zeros((len(starts), index.basis.shape[1]), dtype=np.float32)
+            latent = np.zeros((total_blocks, index.basis.shape[1]), dtype=np.float32)
             inside = np.flatnonzero(flat >= 0)
             if len(inside):
                 owner = np.searchsorted(starts, inside, side="right") - 1
                 cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 latent[owner[cut]] = np.add.reduceat(index.basis[flat[inside]], cut, axis=0)
-            last = np.array([end for _, _, end in heads])
             latent[:-1] += np.where(last[:-1, None], 0, latent[1:])
             weight = weight + np.where(last, 0, np.append(weight[1:], 0))
-            score = latent @ queries
-            score /= np.sqrt(np.maximum(weight, 1e-12))[:, None]
+            # No cosine exceeds the share of the window that lies in the latent space.
+            able = np.flatnonzero(np.einsum("ij,ij->i", latent, latent) >= cosine**2 * weight)
+            score = latent[able] @ queries
+            score /= np.sqrt(np.maximum(weight[able], 1e-12))[:, None]
             best: dict = {}
             for w, i in zip(*np.nonzero(score >= cosine)):
-                k, s, _ = heads[w]
+                k, s = first_doc + int(owners[able[w]]), int(inner[able[w]])
                 item = index.items[i]
                 mine = found[k][max(0, s - len(item)):s + 2 * block + len(item)].tolist()
                 wanted = [index.vocabulary[x] for x in item]
