@@ -18,9 +18,10 @@ from tilewright.session import materialise
 
 #: Bits that may differ between the fingerprints of candidate lines.
 DISTANCE = 3
-#: Counter fields of one long: how many words they can count, their width, and the lowest bit of each.
-_NARROW = (127, 8, 0x0101010101010101)
-_WIDE = (32767, 16, 0x0001000100010001)
+#: Counts of four bits share one long; a group of words counted so is at most _CHUNK words.
+_CHUNK = 32_000
+_FIELDS = 0x0001000100010001
+_LANES, _ONES = 0x0000FFFF0000FFFF, 0x0000000100000001
 
 
 def normalised(line: Column) -> Column:
@@ -32,59 +33,33 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _packed(hashes: str, fields: tuple[int, int, int]) -> Column:
-    """Bit counts over all hashes: long number k counts bits k, k + width, ... in its fields."""
-    _, width, mask = fields
+def _majority(count: Column, n: Column, k: int) -> Column:
+    """Bits k, k + 16, k + 32 and k + 48 of which one long holds the counts, set where they exceed half of ``n``.
 
-    def count(k: Column) -> Column:
-        return F.aggregate(
-            hashes, F.lit(0).cast("long"), lambda total, h: total + F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(mask)))
-
-    return F.transform(F.array(*[F.lit(k) for k in range(width)]), count)
-
-
-def _majority(counts: Column, n: Column, fields: tuple[int, int, int]) -> Column:
-    """Bits whose count exceeds half of ``n``.
-
-    Every other field is widened, so that adding 2^width minus the least majority carries into the bit
-    above a field exactly where its count reaches it.
+    Adding 2^16 minus the least majority carries into the bit above a count exactly where it is reached.
     """
-    width = fields[1]
-    lanes = sum(((1 << width) - 1) << at for at in range(0, 64, 2 * width))
-    ones = sum(1 << at for at in range(0, 64, 2 * width))
-    lift = (F.lit(1 << width) - F.floor(n / 2) - 1) * F.lit(ones)
-
-    def bits(count: Column, k: Column) -> Column:
-        def half(field: Column) -> Column:
-            return F.shiftrightunsigned(field.bitwiseAND(F.lit(lanes)) + lift, width).bitwiseAND(F.lit(ones))
-
-        both = half(count).bitwiseOR(F.shiftleft(half(F.shiftrightunsigned(count, width)), width))
-        return F.call_function("shiftleft", both, k)
-
-    return F.aggregate(F.transform(counts, bits), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-
+    lift = (F.lit(1 << 16) - F.floor(n / 2) - 1) * F.lit(_ONES)
 
-def _bit_by_bit(hashes: str, n: Column) -> Column:
-    """The same for lines of any length, one bit after the other."""
-    def bit(b: Column) -> Column:
-        seen = F.size(F.filter(hashes, lambda h: F.call_function("getbit", h, b) == 1))
-        return F.when(seen.cast("long") * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+    def half(field: Column) -> Column:
+        return F.shiftrightunsigned(field.bitwiseAND(F.lit(_LANES)) + lift, 16).bitwiseAND(F.lit(_ONES))
 
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.shiftleft(half(count).bitwiseOR(F.shiftleft(half(F.shiftrightunsigned(count, 16)), 16)), k)
 
 
-def simhash(lines: DataFrame, words: str, name: str) -> DataFrame:
-    """Majority of each bit over the XXH64 of the words in array ``words``; no words give zero.
+def simhash(lines: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``keys`` and the majority of each bit over the XXH64 of the words of ``norm``.
 
-    Short lines are counted in bytes, longer ones in 16-bit fields, and beyond those bit by bit.
+    Words become rows and are counted by one aggregation, whose partial step leaves one row per line;
+    rows that repeat a key count every bit twice alike. A line beyond a chunk gives a row per chunk.
     """
-    n = F.col("__n")
-    out = lines.withColumn("__hs", F.transform(words, lambda w: F.xxhash64(w))).withColumn("__n", F.size("__hs").cast("long"))
-    counts = F.when(n <= _NARROW[0], _packed("__hs", _NARROW)).when(n <= _WIDE[0], _packed("__hs", _WIDE))
-    out = out.withColumn("__counts", counts)
-    value = F.when(n <= _NARROW[0], _majority(F.col("__counts"), n, _NARROW)).when(
-        n <= _WIDE[0], _majority(F.col("__counts"), n, _WIDE)).otherwise(_bit_by_bit("__hs", n))
-    return out.withColumn(name, value).drop("__hs", "__n", "__counts")
+    words = lines.select(*keys, F.posexplode(F.split("norm", " ")).alias("__at", "__word"))
+    hashed = words.select(*keys, F.floor(F.col("__at") / _CHUNK).alias("__chunk"), F.xxhash64("__word").alias("__h"))
+    sums = [F.sum(F.shiftrightunsigned("__h", k).bitwiseAND(F.lit(_FIELDS))).alias(f"__c{k}") for k in range(16)]
+    counted = hashed.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"), *sums)
+    value = F.lit(0).cast("long")
+    for k in range(16):
+        value = value.bitwiseOR(_majority(F.col(f"__c{k}"), F.col("__n"), k))
+    return counted.select(*keys, value.alias(name))
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
@@ -93,10 +68,9 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     # Normalising inside the generator keeps the filter from doing it a second time.
     norm = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), normalised(line).alias("norm")))
     lines = base.select("doc_id", F.xxhash64("text").alias("text_key"), F.inline(norm))
-    lines = lines.filter(F.col("norm").rlike("^[^ ]+" + " [^ ]+" * (min_words - 1))).withColumn("words", F.split("norm", " "))
-    marked = simhash(lines, "words", "fp")
-    return marked.select(
-        "doc_id", "text_key", "line_no", F.xxhash64("norm").alias("a"), F.hash("norm").alias("b"), "fp", F.length("norm").alias("chars"))
+    lines = lines.filter(F.col("norm").rlike("^[^ ]+" + " [^ ]+" * (min_words - 1)))
+    lines = lines.withColumns({"a": F.xxhash64("norm"), "b": F.hash("norm"), "chars": F.length("norm")})
+    return simhash(lines, ["doc_id", "text_key", "line_no", "a", "b", "chars"], "fp")
 
 
 def block_masks(items: int, distance: int = DISTANCE) -> list[int]:
@@ -139,8 +113,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
     ``text_key`` is the XXH64 of the text, which tells rows with one id and different texts apart; rows
     that repeat both are one document. The first occurrence is that of the smallest document id; null
     ids come last. Lines of fewer than ``min_words`` words, blank lines and null texts are never
-    duplicates. Equal lines are those with equal 96-bit hashes of the normalised text. Not lazy: steps
-    are stored in the shared folder.
+    duplicates. Equal lines are those with equal 96-bit hashes of the normalised text; a line of over
+    32,000 words goes by the smallest fingerprint of its parts. Not lazy: steps are stored in the
+    shared folder.
     """
     lines = materialise(line_table(docs, min_words), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key", "line_no")
