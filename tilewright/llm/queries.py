@@ -124,3 +124,14 @@ def op9_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op8_site_quality")
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources of ``documents``, paths their languages: the table has no finer address."""
+    from pyspark.sql import functions as F
+
+    from tilewright.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
