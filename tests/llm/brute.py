@@ -54,3 +54,97 @@ def personal(text: str | None) -> tuple[int, int, int, int, str]:
             groups[3].append(("phone", m.start(), m.end()))
     joined = ",".join(f"{k}:{a}:{b}" for g in groups for k, a, b in g)
     return (*[len(g) for g in groups], _sha(joined))
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    import xxhash
+
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(n: int, links: list[tuple[int, int]]) -> list[int]:
+    """Root of each of ``n`` nodes: the smallest reachable."""
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def removed_lines(docs: list[tuple[int, str | None]], similarity: float = 0.8, min_words: int = 3, distance: int = 3) -> dict[int, list[int]]:
+    """Line numbers to remove per document, from all pairs of distinct lines."""
+    import xxhash
+
+    first: dict[str, tuple[int, int]] = {}
+    places: list[tuple[str, int, int]] = []
+    for doc, text in sorted(docs):
+        for i, line in enumerate((text or "").split("\n") if text is not None else []):
+            norm = " ".join(re.sub(r"[\W_]+", " ", line.lower()).split())
+            if len(norm.split()) >= min_words:
+                places.append((norm, doc, i))
+                first.setdefault(norm, (doc, i))
+    texts = list(first)
+    marks = []
+    for t in texts:
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split()]
+        marks.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    links = [
+        (i, j) for i in range(len(texts)) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= distance
+        and edit_distance(texts[i], texts[j]) <= int(max(len(texts[i]), len(texts[j])) * (1 - similarity) + 1e-9)]
+    root = components(len(texts), links)
+    keep: dict[int, tuple[int, int]] = {}
+    for i, t in enumerate(texts):
+        keep[root[i]] = min(keep.get(root[i], first[t]), first[t])
+    number = {t: i for i, t in enumerate(texts)}
+    out: dict[int, list[int]] = {}
+    for norm, doc, i in places:
+        if keep[root[number[norm]]] != (doc, i):
+            out.setdefault(doc, []).append(i)
+    return out
+
+
+def without_repeats(docs: list[tuple[int, str | None]], width: int = 13) -> dict[int, tuple[int, int, str]]:
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in docs}
+    first: dict[tuple, int] = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - width + 1):
+            first.setdefault(tuple(words[d][i:i + width]), d)
+    out = {}
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if first[tuple(w[i:i + width])] < d:
+                gone.update(range(i, i + width))
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        out[d] = (len(w), len(gone), _sha(" ".join(kept)))
+    return out
+
+
+def subsequence(a: list, b: list) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]

@@ -37,8 +37,8 @@ def _identity(vector: Column) -> Column:
 def choose_pivots(items: DataFrame, pivots: int, sample: int, apart: float) -> dict[int, np.ndarray]:
     """At most ``pivots`` reference points per vector length, from a fixed sample of ``sample`` vectors.
 
-    Points closer than cosine ``apart`` to one already taken are passed over, so a dense group of
-    vectors yields one pivot; if too few remain, the passed-over ones fill up.
+    Points closer than cosine ``apart`` to one already taken are passed over: a dense group of vectors
+    yields one pivot, and near vectors do not differ by which of many close pivots is nearest.
     """
     sizes = [r.dim for r in items.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "dim").limit(DIMENSIONS).collect()]
     out = {}
@@ -51,9 +51,6 @@ def choose_pivots(items: DataFrame, pivots: int, sample: int, apart: float) -> d
                 break
             if not taken or (points[taken] @ points[i]).max() < apart:
                 taken.append(i)
-        if len(taken) < pivots:
-            rest = [i for i in range(len(points)) if i not in set(taken)]
-            taken += rest[:pivots - len(taken)]
         out[dim] = points[taken]
     return out
 
