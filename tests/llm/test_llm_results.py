@@ -110,6 +110,24 @@ def test_every_choice_of_blocks_finds_the_same_pairs(spark):
         assert len(found) == len(set(found)) and set(found) == wanted
 
 
+def test_edit_similarity(spark):
+    from tilewright.llm.linededup import similar_texts
+
+    rnd = random.Random(7)
+    pairs = []
+    for _ in range(400):
+        w = [rnd.choice("aa bb abc d ee f".split()) for _ in range(rnd.randint(1, 12))]
+        v = list(w)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(v) + 1)
+            v[at:at + rnd.randint(0, 1)] = [rnd.choice("aa x yy abc".split())] * rnd.randint(0, 2)
+        pairs.append((" ".join(w), " ".join(v)))
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, norm string, norm2 string")
+    for s in (0.6, 0.8, 0.9):
+        wanted = {i for i, (a, b) in enumerate(pairs) if brute.edit_distance(a, b) <= int(max(len(a), len(b)) * (1 - s) + 1e-9)}
+        assert {r.i for r in similar_texts(frame, s).collect()} == wanted
+
+
 def test_leaks(corpus, spark):
     from tilewright.llm.decontaminate import common_subsequence, drop_contaminated, find_leaks
 

@@ -130,11 +130,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
     shown = materialise(items.join(ends, "a").select("first", "a"), "line-ends")
     texts = materialise(_line_texts(docs, shown), "line-texts")
     both = pairs.join(texts, "a").join(texts.select(F.col("a").alias("a2"), F.col("norm").alias("norm2")), "a2")
-    allowed = F.floor(F.greatest(F.length("norm"), F.length("norm2")) * F.lit(1 - similarity) + 1e-9).cast("int")
-    links = (
-        both.withColumn("allowed", allowed).filter("levenshtein(norm, norm2, allowed) >= 0")
-        .select(F.col("a").alias("src"), F.col("a2").alias("dst"))
-    )
+    links = similar_texts(both, similarity).select(F.col("a").alias("src"), F.col("a2").alias("dst"))
     grouped = connected_components(shown.select(F.col("a").alias("id")), lambda _: links, [], "id", "grp")
     named = shown.join(grouped, F.col("a") == F.col("id")).select("a", "first", "grp")
     heads = named.groupBy("grp").agg(F.min("first").alias("keep"))
@@ -147,6 +143,29 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
     )
 
 
+def similar_texts(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Rows whose ``norm`` and ``norm2`` have an edit similarity (one less distance over length) of ``similarity``.
+
+    Words that both begin or end with do not change the distance and are left out before it is
+    computed; where what is left is short enough, it need not be.
+    """
+    allowed = F.floor(F.greatest(F.length("norm"), F.length("norm2")) * F.lit(1 - similarity) + 1e-9).cast("int")
+    cut = pairs.withColumns({"__allowed": allowed, "__x": F.split("norm", " "), "__y": F.split("norm2", " ")})
+
+    def shared() -> Column:
+        differ = F.array_position(F.zip_with("__x", "__y", lambda x, y: x.eqNullSafe(y)), False)
+        return F.when(differ == 0, F.size("__x")).otherwise(differ - 1).cast("int")
+
+    for _ in range(2):  # from the front, then from the back
+        cut = cut.withColumn("__n", shared())
+        cut = cut.withColumns({c: F.reverse(F.slice(c, F.col("__n") + 1, F.size(c))) for c in ("__x", "__y")})
+    # Each word counts with a blank after it, so that a word left out takes one along.
+    rest = {c: F.when(F.size(c) > 0, F.concat(F.array_join(c, " "), F.lit(" "))).otherwise("") for c in ("__x", "__y")}
+    cut = cut.withColumns(rest)
+    near = (F.greatest(F.length("__x"), F.length("__y")) <= F.col("__allowed")) | F.expr("levenshtein(__x, __y, __allowed) >= 0")
+    return cut.filter(near).select(*pairs.columns)
+
+
 def _line_texts(docs: DataFrame, shown: DataFrame) -> DataFrame:
     """``a, norm``: the normalised text of each line in ``shown``, cut out of the document it first occurs in."""
     wanted = shown.groupBy(F.col("first.doc_id").alias("__doc"), F.col("first.text_key").alias("__key")).agg(
