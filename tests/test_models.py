@@ -90,3 +90,30 @@ def test_stream_ends_at_the_batch_result_and_resumes(spark, tmp_path):
     got = {r.slide_id: (r.positive_tiles, r.algorithm_result) for r in triage_stream.current_results(spark, out).collect()}
     want = triage.triage(triage.positive_tiles(tiles, "p", 0.5), 3, 20)
     assert got == {r.slide_id: (r.positive_tiles, r.algorithm_result) for r in want.collect()}
+
+
+def test_null_keys_and_null_scores_keep_their_rows(spark):
+    from tilewright.operators.ordering import top_rows
+
+    rows = spark.createDataFrame(
+        [(None if i % 3 == 0 else i % 3, i, None if i % 4 == 0 else i / 10) for i in range(24)], "slide_id int, tile_id int, score double")
+    ranked = {r.tile_id: r.percentile for r in sampling.percentiles(rows).collect()}
+    assert len(ranked) == 24 and all((ranked[i] is None) == (i % 4 == 0) for i in range(24))
+    assert max(ranked[i] for i in range(24) if i % 3 == 0 and i % 4) == 100
+    limit = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    order = [F.col("score").desc(), F.col("tile_id")]
+    wanted = sorted(map(str, top_rows(rows, ["slide_id"], order, 5).collect()))
+    try:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
+        assert sorted(map(str, top_rows(rows, ["slide_id"], order, 5).collect())) == wanted
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", limit)
+
+
+def test_vectors_with_nan_are_no_neighbours(spark):
+    rnd = np.random.default_rng(1)
+    rows = [(i, [float("nan")] * 4 if i % 9 == 0 else rnd.standard_normal(4).tolist()) for i in range(45)]
+    frame = spark.createDataFrame(rows, "tile_id long, features array<double>")
+    for k in (5, 16, 17):
+        found = embeddings.cosine_neighbours(frame, k).collect()
+        assert len(found) == 40 * k and all(r.tile_id % 9 and r.neighbour % 9 for r in found)

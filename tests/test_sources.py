@@ -141,3 +141,23 @@ def test_segmentation_finds_two_discs(spark):
     found = sorted((r.cluster, r.min_col, r.max_col, r.members) for r in boxes.collect())
     assert found == [(0, 5, 26, 1), (1, 51, 70, 1)]
     assert mask.select("cluster").distinct().count() == 2
+
+
+def test_repeated_writes_add_nothing(spark, tmp_path):
+    tiles = spark.createDataFrame([("he", "v1", 1, 7, 0.5), ("he", "v1", 2, 8, 0.25)], "stain string, model_ver string, slide_id int, tile_id int, score double")
+    for _ in range(2):
+        tables.write_predictions(tiles, str(tmp_path / "p"))
+    assert tables.read_predictions(spark, str(tmp_path / "p")).count() == 2
+    lines = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "slide_id int, line_no int, line string")
+    for _ in range(2):
+        annotations.write_lines(lines, str(tmp_path / "l"))
+    assert spark.read.text(str(tmp_path / "l")).count() == 3
+    for n in (1, 2):
+        tables.write_results(spark.createDataFrame([(i,) for i in range(n)], "slide_id int"), str(tmp_path / "r"), "he", F.to_date(F.lit("2024-01-05")))
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+
+
+def test_small_scores_have_no_exponent(spark):
+    rows = spark.createDataFrame([(0.0001,), (0.00012,), (0.5,), (1.0,), (1e-9,)], "x double")
+    got = [r[0] for r in rows.select(annotations.plain_number(F.col("x"))).collect()]
+    assert got == ["0.0001", "0.00012", "0.5", "1.0", "0.000000001"]

@@ -31,7 +31,7 @@ def cosine_neighbours(
     Rows are hashed to blocks of about ``block_rows``; every pair of blocks is compared in strips
     of matrix products that keep the ``k`` best per row, so a task holds two blocks and one strip,
     and of all pairs only the ``k`` best per row and block are emitted. Copies spread over the
-    blocks like any other row. Counts the rows once to size the blocks.
+    blocks like any other row. A vector with a non-finite component is no neighbour and has none. Counts the rows once to size the blocks.
     """
     blocks = max(1, math.ceil(features.count() / block_rows))
     keyed = features.select(
@@ -58,20 +58,11 @@ def cosine_neighbours(
         for at in range(0, len(a), strip):
             ids = a[at:at + strip]
             sims = lvec[at:at + strip] @ rvec.T
-            sims[ids[:, None] == b[None, :]] = -np.inf
+            # A vector with a non-finite component has no similarity to any other.
+            sims[(ids[:, None] == b[None, :]) | ~np.isfinite(sims)] = -np.inf
             # Columns are in id order, so ties go to the smaller id whatever the block layout.
-            if keep <= 16:
-                rows = np.arange(len(ids))
-                picked = np.empty((len(ids), keep), dtype=np.int64)
-                value = np.empty((len(ids), keep))
-                for place in range(keep):
-                    best_col = sims.argmax(axis=1)
-                    picked[:, place] = best_col
-                    value[:, place] = sims[rows, best_col]
-                    sims[rows, best_col] = -np.inf
-            else:
-                picked = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
-                value = np.take_along_axis(sims, picked, axis=1)
+            picked = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
+            value = np.take_along_axis(sims, picked, axis=1)
             found.append(pd.DataFrame({
                 "id": np.repeat(ids, keep), "neighbour": b[picked].ravel(), "similarity": value.ravel()}))
         out = pd.concat(found)

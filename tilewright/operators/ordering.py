@@ -16,6 +16,15 @@ from tilewright.session import shuffle_width
 _CHUNK = "__chunk"
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys of ``left`` stay."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(named, same, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],
@@ -45,7 +54,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"__sum_{name}").over(before), F.lit(0)).alias(f"__off_{name}") for name in sums],
     )
     inside = W.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = chunked.join(offsets, [*keys, _CHUNK]).withColumns(
+    out = join_null_safe(chunked, offsets, [*keys, _CHUNK]).withColumns(
         {name: F.sum(f"__in_{name}").over(inside) + F.col(f"__off_{name}") for name in sums}
     )
     return out.drop(_CHUNK, *work, *[f"__off_{name}" for name in sums])
@@ -75,12 +84,15 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name:
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_rank", total: str = "n_rows") -> DataFrame:
-    """Average rank of ``value`` (ties share the mean rank) and the group size, joined to every row."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__ties"))
+    """Average rank of ``value`` (ties share the mean rank) and how many rows of the group have one.
+
+    A row without a value stays, with a null rank, and is not counted; a null key is a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__ties"))
     ranked = running_totals(counts, keys, [F.col(value)], {"__upto": F.col("__ties")})
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total))
+    sizes = df.groupBy(*keys).agg(F.count(value).alias(total))
     ranked = ranked.select(
         *keys, value, (F.col("__upto") - (F.col("__ties") - 1) / 2.0).alias(name)
     )
-    joined = df.join(ranked, [*keys, value])
-    return joined.join(sizes, keys) if keys else joined.withColumn(total, sizes.scalar())
+    joined = join_null_safe(df, ranked, [*keys, value], "left")
+    return join_null_safe(joined, sizes, keys) if keys else joined.withColumn(total, sizes.scalar())

@@ -14,7 +14,8 @@ KEYS = ["slide_id"]
 # Half width of a kernel at each row offset.
 ELLIPSE_5 = {-2: 0, -1: 2, 0: 2, 1: 2, 2: 0}
 DISC_3 = {-3: 0, -2: 2, -1: 2, 0: 3, 1: 2, 2: 2, 3: 0}
-_ROW_SPAN = 1 << 24
+# Wider than any image, and rows times this stay within 63 bits.
+_ROW_SPAN = 1 << 31
 
 
 def square(size: int) -> dict[int, int]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tilewright.operators.ordering import average_rank, running_totals, top_rows
+from tilewright.operators.ordering import average_rank, join_null_safe, running_totals, top_rows
 
 
 def seeded_order(seed: int, *keys: str) -> Column:
@@ -16,7 +16,7 @@ def seeded_order(seed: int, *keys: str) -> Column:
 
 
 def percentiles(scored: DataFrame, score: str = "score", keys: list[str] | None = None, name: str = "percentile") -> DataFrame:
-    """Average rank over group size, times 100."""
+    """Average rank over the scored rows of the group, times 100; null where the score is null."""
     ranked = average_rank(scored, keys or ["slide_id"], score)
     return ranked.withColumn(name, F.col("avg_rank") / F.col("n_rows") * 100).drop("avg_rank", "n_rows")
 
@@ -26,7 +26,7 @@ def quantiles(scored: DataFrame, score: str, keys: list[str], probs: dict[str, f
     counts = scored.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__ties"))
     upto = running_totals(counts, keys, [F.col(score)], {"__upto": F.col("__ties")})
     sizes = counts.groupBy(*keys).agg(F.sum("__ties").alias("__n"))
-    placed = upto.join(sizes, keys)
+    placed = join_null_safe(upto, sizes, keys)
     first, last = F.col("__upto") - F.col("__ties"), F.col("__upto") - 1
 
     def at(index: Column) -> Column:
@@ -58,7 +58,7 @@ def window_sample(
     keys = keys or ["slide_id"]
     if as_quantiles:
         limits = quantiles(scored, score, keys, {"__lo": start, "__hi": end})
-        inside = scored.join(limits, keys).filter(F.col(score).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+        inside = join_null_safe(scored, limits, keys).filter(F.col(score).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
     else:
         inside = scored.filter(F.col(score).between(start, end))
     return top_rows(inside, keys, [seeded_order(seed, *keys, ident), F.col(ident)], k)

@@ -322,11 +322,11 @@ def g22(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g23_mosaic_layout", sql("""
 select slide_id, tile_id, (n % 10)*64 as cell_x, (n // 10)*64 as cell_y from (
-  select slide_id, tile_id, row_number() over (partition by slide_id order by score desc, x_min, y_min, tile_id) - 1 as n from tiles where score > 0.9)""", "tiles"))
+  select slide_id, tile_id, row_number() over (partition by slide_id order by score desc, x_min, y_min, tile_id) - 1 as n from tiles where score > -1)""", "tiles"))
 def g23(spark: SparkSession, sf: str) -> DataFrame:
     from tilewright.operators.triage import positives_ordered
 
-    placed = positives_ordered(proxies.tile_scores(spark, sf), "score", 0.9)
+    placed = positives_ordered(proxies.tile_scores(spark, sf), "score", -1.0)
     x, y = tiling.mosaic_cell(F.col("place") - 1)
     return placed.select("slide_id", "tile_id", x.alias("cell_x"), y.alias("cell_y"))
 

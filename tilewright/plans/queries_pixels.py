@@ -152,7 +152,7 @@ def u4(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- regions
 
 MASK = "select slide_id, row, col from pixels where r < 200 and g < 200"
-SPAN = 16777216
+SPAN = 2147483648
 EIGHT = "(values (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) o(dr,dc)"
 FOUR = "(values (-1,0),(0,-1),(0,1),(1,0)) o(dr,dc)"
 

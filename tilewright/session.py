@@ -26,12 +26,14 @@ def build_session(master: str = "local[*]", app: str = "tilewright", **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; falls back to a private one only where none is set."""
+    """The folder every executor can reach; without one, a private folder in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tilewright-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -26,10 +26,18 @@ def _document(placed: DataFrame, line: Column, head: str, tail: str, slide: str)
     return body.unionByName(ends)
 
 
+def plain_number(value: Column) -> Column:
+    """Decimal text of a number, without an exponent where it has up to eighteen decimal places."""
+    text = value.cast("string")
+    fixed = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
+    return F.when(text.contains("E"), F.regexp_replace(fixed, r"\.$", ".0")).otherwise(text)
+
+
 def write_lines(lines: DataFrame, path: str, slide: str = "slide_id") -> None:
-    """One folder per slide; its part files, in name order, hold the document."""
+    """One folder per slide; its part files, in name order, hold the document. A slide's folder is replaced."""
     ordered = lines.repartitionByRange(F.col(slide), F.col("line_no")).sortWithinPartitions(slide, "line_no")
-    ordered.select(slide, "line").write.mode("append").partitionBy(slide).text(path)
+    ordered.select(slide, "line").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(slide).text(path)
 
 
 def geojson(tiles: DataFrame, score: str, threshold: float, class_name: str, slide: str = "slide_id") -> DataFrame:
@@ -44,7 +52,7 @@ def geojson(tiles: DataFrame, score: str, threshold: float, class_name: str, sli
         point("x_min", "y_min"),
     )
     name = F.concat_ws(
-        "_", F.lit(class_name), F.round(F.col(score), 4).cast("string"),
+        "_", F.lit(class_name), plain_number(F.round(F.col(score), 4)),
         F.col("x_min").cast("string"), F.col("y_min").cast("string"),
     )
     feature = F.to_json(F.struct(
@@ -73,7 +81,7 @@ def asap_xml(tiles: DataFrame, score: str, threshold: float, class_name: str, sl
         + "</Coordinates></Annotation>"
     )
     line = F.format_string(
-        pattern, F.lit(class_name), F.col(score).cast("string"), F.lit(class_name),
+        pattern, F.lit(class_name), plain_number(F.col(score)), F.lit(class_name),
         *[F.col(c) for pair in corners for c in pair],
     )
     tail = (

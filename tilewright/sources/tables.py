@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tilewright import config
@@ -18,7 +19,14 @@ def list_slides(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     reader = spark.read.format("binaryFile")
     if extensions:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
-    return reader.load(folder).select(names.basename(F.col("path")).alias("slide_id"), "path", "length")
+    return reader.load(folder).select(names.basename(F.col("path")).alias("slide_id"), "path", "length").orderBy("slide_id")
+
+
+def slide_files(files: DataFrame, extensions: tuple[str, ...] = SLIDE_EXTENSIONS, path: str = "path") -> DataFrame:
+    """The slides among listed files as ``slide_id, path``, in name order."""
+    extension = F.lower(F.substring_index(F.col(path), ".", -1))
+    kept = files.filter(extension.isin(*extensions)) if extensions else files
+    return kept.select(names.basename(F.col(path)).alias("slide_id"), F.col(path).alias("path")).orderBy("slide_id")
 
 
 def read_process_list(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -105,9 +113,27 @@ def round_trip(df: DataFrame, label: str, mode: str = "parquet", partition_by: l
     return reader.format(mode).load(path).select(*df.columns)
 
 
+def not_stored(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet") -> DataFrame:
+    """Rows whose keys the table at ``path`` does not hold yet; all rows while there is no table."""
+    reader = df.sparkSession.read
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    try:
+        stored = reader.format(fmt).load(path).select(*keys).distinct()
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return df
+    return df.join(stored, keys, "left_anti").select(*df.columns)
+
+
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append per-tile predictions, one folder per stain and model version."""
-    writer = df.write.mode("append").partitionBy("stain", "model_ver")
+    """Store per-tile predictions, one folder per stain and model version.
+
+    Slides that have predictions of the stain and version are left as they are, so a repeated run adds
+    nothing.
+    """
+    writer = not_stored(df, path, ["stain", "model_ver", "slide_id"], fmt).write.mode("append").partitionBy("stain", "model_ver")
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
@@ -123,17 +149,9 @@ def read_predictions(spark: SparkSession, path: str, schema: T.StructType | None
 
 
 def append_coords(tiles: DataFrame, tile_sets: DataFrame, path: str) -> None:
-    """Append tile rows; attributes are written only for slides that have none yet."""
-    spark = tiles.sparkSession
-    tiles.write.mode("append").parquet(f"{path}/tiles")
-    try:
-        known = spark.read.parquet(f"{path}/tile_sets").select("slide_id")
-        fresh = tile_sets.join(known, "slide_id", "left_anti")
-    except Exception as err:  # the first call has no attribute table yet
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
-        fresh = tile_sets
-    fresh.write.mode("append").parquet(f"{path}/tile_sets")
+    """Store the tiles that are not stored yet, and before them the attributes of new slides."""
+    for rows, name, keys in ((tile_sets, "tile_sets", ["slide_id"]), (tiles, "tiles", ["slide_id", "x", "y"])):
+        not_stored(rows, f"{path}/{name}", keys).write.mode("append").parquet(f"{path}/{name}")
 
 
 def read_coords(spark: SparkSession, path: str) -> DataFrame:
@@ -147,8 +165,9 @@ def with_attributes(tiles: DataFrame, tile_sets: DataFrame) -> DataFrame:
 
 
 def append_bag(patches: DataFrame, path: str) -> None:
-    """Append ``slide_id, x, y, img`` rows; ``img`` is an opaque binary payload."""
-    patches.select("slide_id", "x", "y", F.col("img").cast("binary").alias("img")).write.mode("append").parquet(path)
+    """Store the ``slide_id, x, y, img`` rows that are not stored yet; ``img`` is an opaque binary payload."""
+    rows = patches.select("slide_id", "x", "y", F.col("img").cast("binary").alias("img"))
+    not_stored(rows, path, ["slide_id", "x", "y"]).write.mode("append").parquet(path)
 
 
 def column_groups(df: DataFrame, groups: dict[str, str | list[str]], keep: list[str] | None = None) -> DataFrame:
@@ -165,10 +184,9 @@ def with_run_date(records: DataFrame, date: Column | None = None, pattern: str =
 
 
 def write_results(records: DataFrame, path: str, stain: str, date: Column | None = None) -> None:
-    """Append a run under its stain and date; the folder of another day is not touched."""
-    with_run_date(records, date).withColumn("stain", F.lit(stain)).write.mode("append").partitionBy(
-        "stain", "run_date"
-    ).parquet(path)
+    """Write a run under its stain and date in place of an earlier run of that day; other folders stay."""
+    with_run_date(records, date).withColumn("stain", F.lit(stain)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("stain", "run_date").parquet(path)
 
 
 def labelled_tiles(paths: DataFrame, cases: DataFrame, classes: list[str] | None = None) -> DataFrame:
