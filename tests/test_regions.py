@@ -115,3 +115,14 @@ def test_clusters_match_single_linkage(spark):
                 stack += [b for b in mine if b[1] not in label and (a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2 <= 144]
             n += 1
         assert {k: got[(s, k)] for k in label} == label
+
+
+def test_tiles_in_mask_are_those_with_their_centre_on_it(spark):
+    from tilewright.plans import workflows
+
+    inside = {(r, c) for r in range(2, 9) for c in range(1, 12) if (r + c) % 7}
+    pixels = spark.createDataFrame([(1, r, c) for r, c in inside], "slide_id int, row bigint, col bigint")
+    boxes = spark.createDataFrame([(1, 0, 1, 2, 11, 8)], "slide_id int, cluster int, x_min int, y_min int, x_max int, y_max int")
+    got = {(r.x, r.y) for r in workflows.tiles_in_mask(runs.from_pixels(pixels), boxes, 10, 5, 4.0).collect()}
+    grid = {(x, y) for x in range(4, 48, 5) for y in range(8, 36, 5)}
+    assert got == {(x, y) for x, y in grid if (int((y + 5) // 4), int((x + 5) // 4)) in inside}

@@ -147,8 +147,11 @@ def sweep_auroc(rated: DataFrame) -> DataFrame:
 
 
 def best_value(scored: DataFrame, value: str, threshold: str = "threshold", digits: int = 6) -> DataFrame:
-    """The first cut-off with the largest value, and the cut-off rounded to ``digits``."""
-    ordered = scored.filter(F.col(value).isNotNull()).orderBy(F.col(value).desc(), threshold)
+    """The first cut-off with the largest value, and the cut-off rounded to ``digits``.
+
+    Values that agree in twelve places are equal, so the order of a sum does not choose the cut-off.
+    """
+    ordered = scored.filter(F.col(value).isNotNull()).orderBy(F.round(value, 12).desc(), threshold)
     return ordered.limit(1).withColumn("cutoff", F.round(threshold, digits))
 
 

@@ -223,7 +223,7 @@ select t_idx, threshold, round(auc, 9) as auc, round(threshold, 6) as cutoff fro
     "swept", "labelled", extra={"sl": SWEPT_LABELLED, "aucs": AUC_BY_T}))
 def a20(spark: SparkSession, sf: str) -> DataFrame:
     auc = curves.roc_auc(swept_labelled(spark, sf), "positive_tiles", "label", ["t_idx", "threshold"])
-    best = cal.best_value(auc.withColumn("auc", F.round("auc", 12)), "auc")
+    best = cal.best_value(auc, "auc")
     return best.select("t_idx", "threshold", F.round("auc", 9).alias("auc"), "cutoff")
 
 
@@ -242,6 +242,6 @@ def s18(spark: SparkSession, sf: str) -> DataFrame:
     from tilewright.sources import tables
 
     auc = curves.roc_auc(swept_labelled(spark, sf), "positive_tiles", "label", ["t_idx", "threshold"])
-    best = cal.best_value(auc.withColumn("auc", F.round("auc", 12)), "auc", digits=7)
+    best = cal.best_value(auc, "auc", digits=7)
     stored = best.select(F.lit("he").alias("stain"), F.col("cutoff").alias("tile_thresh"))
     return tables.round_trip(stored, "cutoffs", mode="json")

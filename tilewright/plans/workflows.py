@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright import config
 from tilewright.functions import geometry as geo
 from tilewright.operators import calibration, collate, curves, pixels, regions, runs, tiling, triage
+from tilewright.session import materialise
 
 
 def segment(
@@ -42,6 +43,27 @@ def tile(
     return tiles, sets.join(tiles.select("slide_id"), "slide_id", "left_semi")
 
 
+def tiles_in_mask(
+    mask: DataFrame, boxes: DataFrame, patch_size: int, step_size: int, scale: float, keys: tuple[str, ...] = ("slide_id",)
+) -> DataFrame:
+    """Tiles of a grid over each box whose centre lies on the mask: ``keys, cluster, x, y`` in full resolution.
+
+    ``mask`` holds runs (``keys, row, start, stop``) and ``boxes`` ``keys, cluster, x_min, y_min, x_max,
+    y_max`` at mask level; ``scale`` is the width of a mask pixel. The grid is spread by its columns before its
+    rows are made, and a tile meets only the runs of its own image row.
+    """
+    def steps(low: str, high: str) -> Column:
+        start = F.floor(F.col(low) * scale).cast("bigint")
+        return F.explode(F.sequence(start, F.greatest(start, F.floor((F.col(high) + 1) * scale).cast("bigint") - 1), F.lit(step_size).cast("bigint")))
+
+    columns = boxes.select(*keys, "cluster", "y_min", "y_max", steps("x_min", "x_max").alias("x")).repartition(*keys, "cluster", "x")
+    grid = columns.select(*keys, "cluster", "x", steps("y_min", "y_max").alias("y"))
+    half = patch_size / 2
+    grid = grid.withColumns({"row": F.floor((F.col("y") + half) / scale).cast("bigint"), "col": F.floor((F.col("x") + half) / scale).cast("bigint")})
+    spans = mask.select(*keys, F.col("row").cast("bigint").alias("row"), "start", "stop")
+    return grid.join(spans, [*keys, "row"]).filter(F.col("col").between(F.col("start"), F.col("stop"))).select(*keys, "cluster", "x", "y")
+
+
 def triage_run(
     predictions: DataFrame, slides: DataFrame, stain: str, version: str, formats: tuple[str, ...] = (),
     ranked_class: str | None = None, threshold: float | None = None, lcp: int | None = None, hcp: int | None = None,
@@ -57,8 +79,8 @@ def triage_run(
 def calibrate(
     predictions: DataFrame, labels: DataFrame, score: str, grid: list[float] | None = None, target: float = 0.7
 ) -> dict[str, DataFrame]:
-    """One sweep, then the tables read off it. ``labels`` holds ``slide_id, label``."""
-    swept = calibration.sweep(predictions, score, grid)
+    """One sweep, stored once, then the tables read off it. ``labels`` holds ``slide_id, label``."""
+    swept = materialise(calibration.sweep(predictions, score, grid), "sweep")
     rated = calibration.rates(calibration.confusion(swept, labels))
     scored = swept.join(labels.filter(F.col("label").isNotNull()), "slide_id")
     keys = ["t_idx", "threshold"]
