@@ -232,13 +232,15 @@ def leaks(
             latent = np.zeros((total_blocks, index.basis.shape[1]), dtype=np.float32)
             inside = np.flatnonzero(flat >= 0)
             if len(inside):
-                owner = np.searchsorted(starts, inside, side="right") - 1
+                owner = np.repeat(np.arange(total_blocks), np.diff(np.append(starts, len(flat))))[inside]
                 cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 latent[owner[cut]] = np.add.reduceat(index.basis[flat[inside]], cut, axis=0)
             latent[:-1] += np.where(last[:-1, None], 0, latent[1:])
             weight = weight + np.where(last, 0, np.append(weight[1:], 0))
             # No cosine exceeds the share of the window that lies in the latent space.
             able = np.flatnonzero(np.einsum("ij,ij->i", latent, latent) >= cosine**2 * weight)
+            if not len(able):
+                continue
             score = latent[able] @ queries
             score /= np.sqrt(np.maximum(weight[able], 1e-12))[:, None]
             best: dict = {}
