@@ -161,14 +161,14 @@ def test_fm_index_counts_occurrences():
     rnd = np.random.default_rng(4)
     entries = [rnd.integers(1, 5, size=n) for n in (30, 1, 17, 40, 30)]
     entries.append(entries[0].copy())
-    index = FMIndex(entries, np.array([7, 3, 9, 2, 8, 5]), 4)
+    index = FMIndex(np.concatenate(entries), np.array([len(e) for e in entries]), np.array([7, 3, 9, 2, 8, 5]), 4)
     for k, e in enumerate(entries):
         for width in (1, 2, 4, 7):
             for i in range(len(e) - width + 1):
                 at = np.array([index.starts[k] + i + width - 1])
                 length, lo, hi = index.match(at, width)
                 where = [j for j, f in enumerate(entries) for s in range(len(f) - width + 1) if (f[s:s + width] == e[i:i + width]).all()]
-                assert length[0] == width and hi[0] - lo[0] == len(where)
+                assert length[0] == width and hi[0] - lo[0] == len(where)  # a single place may be told early
                 assert index.first_documents(lo, hi)[0] == min([7, 3, 9, 2, 8, 5][j] for j in where)
 
 

@@ -123,7 +123,7 @@ FROM words w LEFT JOIN texts t ON w.doc_id = t.doc_id
 def op9_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.substrings import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
 @query("op8_site_quality")

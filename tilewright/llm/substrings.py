@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +42,28 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-class WordHashes:
-    """64-bit hashes of words; words seen before are looked up."""
+class WordHashes(dict):
+    """Places of words in a table of 64-bit hashes, filled as words are met and emptied when full."""
 
-    def __init__(self, keep: int = 400_000) -> None:
-        self._known: dict[bytes, int] = {}
-        self._keep = keep
+    def __init__(self, keep: int = 500_000) -> None:
+        super().__init__()
+        self.table = np.zeros(keep, dtype=np.uint64)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        known = self._known
-        if len(known) > self._keep:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, 11)
-        return np.array([known[w] for w in words], dtype=np.uint64)
+        place = len(self)
+        if place == len(self.table):  # a text may have more words than the table
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[place] = xxhash.xxh64_intdigest(word, 11)
+        self[word] = place
+        return place
+
+    def of(self, words: list[bytes], keep: int = 500_000) -> np.ndarray:
+        if len(self) >= keep:
+            self.clear()
+        places = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.table[places]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,30 +71,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def runs_of(hashes: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, content hash, first window and number of windows of each run of a document's windows."""
-    n = len(hashes) - width + 1
+def runs_of(hashes: np.ndarray, windows: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, content hash, first window and number of windows of each run.
+
+    ``hashes`` are those of several documents one after the other; ``windows`` are the starts of the
+    windows that lie in one document. A run ends where its document's windows end.
+    """
     grams = np.zeros(len(hashes) - gram + 1, dtype=np.uint64)
     for j in range(gram):
         grams = grams * np.uint64(_ODD) + hashes[j:j + len(grams)]
     grams = _mix(grams)
-    reach = width - gram + 1
-    best = np.arange(n)
-    low = grams[:n].copy()
-    for j in range(1, reach):
-        other = grams[j:j + n]
-        less = other < low
-        best[less] = np.flatnonzero(less) + j
-        np.minimum(low, other, out=low)
-    start = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
-    count = np.diff(np.r_[start, n])
-    anchor = low[start]
+    n = len(hashes) - width + 1
+    low, best = grams[:n].copy(), np.arange(n)
+    for j in range(1, width - gram + 1):
+        less = grams[j:j + n] < low
+        np.copyto(low, grams[j:j + n], where=less)
+        np.copyto(best, np.arange(j, j + n), where=less)
+    low, best = low[windows], best[windows]
+    cut = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (windows[1:] != windows[:-1] + 1)])
+    count = np.diff(np.r_[cut, len(windows)])
+    start = windows[cut]
     content = np.zeros(len(start), dtype=np.uint64)
-    for j in range(width + int(count.max()) - 1):
-        inside = j < count + width - 1
-        at = np.minimum(start + j, len(hashes) - 1)
-        content = np.where(inside, content * np.uint64(_ODD) + hashes[at], content)
-    return anchor.view(np.int64), _mix(content + count.astype(np.uint64)).view(np.int64), start, count
+    for j in range(width):
+        content = content * np.uint64(_ODD) + hashes[start + j]
+    for j in range(width, width + int(count.max()) - 1):
+        more = np.flatnonzero(j < count + width - 1)
+        content[more] = content[more] * np.uint64(_ODD) + hashes[start[more] + j]
+    return low[cut].view(np.int64), _mix(content + count.astype(np.uint64)).view(np.int64), start, count
 
 
 def find_runs(docs: DataFrame, width: int) -> DataFrame:
@@ -97,13 +106,36 @@ def find_runs(docs: DataFrame, width: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHashes()
         for batch in batches:
-            parts: list[tuple] = []
-            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            parts: list[list[np.ndarray]] = []
+            rows: list[int] = []
+            found: list[np.ndarray] = []
+
+            def flush() -> None:
+                sizes = np.array([len(h) for h in found])
+                heads = np.cumsum(sizes) - sizes
+                inside = np.arange(int(sizes.sum()))
+                owner = np.repeat(np.arange(len(found)), sizes)
+                windows = inside[inside - heads[owner] <= sizes[owner] - width]
+                anchor, run, start, count = runs_of(np.concatenate(found), windows, width)
+                mine = owner[start]
+                row = np.array(rows)[mine]
+                parts.append([anchor, run, ids[row], (keys[row] << 43) | ((start - heads[mine]) << 8) | count])
+                rows.clear()
+                found.clear()
+
+            pending = 0
+            for i, text in enumerate(batch.column(2)):
                 words = words_of(text.as_py() or "")
-                if len(words) < width:
-                    continue
-                anchor, run, start, count = runs_of(hashed(words), width)
-                parts.append((anchor, run, np.full(len(start), doc), (key << 43) | (start.astype(np.int64) << 8) | count))
+                if len(words) >= width:
+                    rows.append(i)
+                    found.append(hashed.of(words))
+                    pending += len(words)
+                    if pending > 100_000:
+                        flush()
+                        pending = 0
+            if found:
+                flush()
             cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, dtype=np.int64)] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "run", "doc_id", "place"])
 
@@ -148,18 +180,17 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search over entries of words. Every entry ends in a separator of its own."""
 
-    def __init__(self, entries: list[np.ndarray], documents: np.ndarray, size: int) -> None:
-        """``entries`` hold word numbers from one up to ``size``; ``documents`` the first document of each."""
-        n_entries = len(entries)
-        lengths = np.array([len(e) for e in entries])
-        total = int(lengths.sum()) + n_entries
-        owner = np.repeat(np.arange(n_entries), lengths + 1)
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, documents: np.ndarray, size: int) -> None:
+        """``words`` are numbers from one up to ``size``, cut into entries of ``sizes``, each with its first document."""
+        n_entries = len(sizes)
+        total = len(words) + n_entries
+        owner = np.repeat(np.arange(n_entries), sizes + 1)
         text = np.zeros(total, dtype=np.int64)
-        ends = np.cumsum(lengths + 1) - 1
+        ends = np.cumsum(sizes + 1) - 1
         inner = np.ones(total, dtype=bool)
         inner[ends] = False
-        text[inner] = np.concatenate(entries)
-        self.starts = ends - lengths
+        text[inner] = words
+        self.starts = ends - sizes
         # Separators sort below all words, each apart, so no comparison goes beyond its entry.
         rank = np.where(inner, text + n_entries, owner)
         step, order = 1, np.argsort(rank, kind="stable")
@@ -183,13 +214,14 @@ class FMIndex:
     def match(self, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of the patterns that end at ``places``, read backwards up to ``width`` words.
 
-        Gives how many words match and the suffix interval of the match.
+        Gives how many words match and the suffix interval of the match. The patterns come from the
+        text, so one that is found only once is found where it stands, and is not read further.
         """
         symbol = self.text[places]
         lo, hi = self.below[symbol - 1], self.below[symbol]
         length = (hi > lo).astype(np.int64)
         for t in range(1, width):
-            live = np.flatnonzero(length == t)
+            live = np.flatnonzero((length == t) & (hi - lo > 1))
             if not len(live):
                 break
             symbol = self.text[places[live] - t]
@@ -200,60 +232,71 @@ class FMIndex:
             went = live[found]
             lo[went], hi[went] = new_lo[found], new_hi[found]
             length[went] = t + 1
-        return length, lo, hi
+        return np.where(hi - lo == 1, width, length), lo, hi
 
     def first_documents(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Smallest document of each suffix interval; intervals are equal or apart."""
-        starts, back = np.unique(lo, return_inverse=True)
-        ends = np.zeros(len(starts), dtype=np.int64)
-        ends[back] = hi
-        padded = np.append(self.documents, np.iinfo(np.int64).max)
-        cuts = np.stack([starts, ends], axis=1).ravel()
-        return np.minimum.reduceat(padded, cuts)[::2][back]
+        """Smallest document of each suffix interval; intervals of several places are equal or apart."""
+        out = self.documents[lo]
+        many = np.flatnonzero(hi - lo > 1)
+        if len(many):
+            starts, back = np.unique(lo[many], return_inverse=True)
+            ends = np.zeros(len(starts), dtype=np.int64)
+            ends[back] = hi[many]
+            padded = np.append(self.documents, np.iinfo(np.int64).max)
+            cuts = np.stack([starts, ends], axis=1).ravel()
+            out[many] = np.minimum.reduceat(padded, cuts)[::2][back]
+        return out
+
 
+class _Numbers(dict):
+    """Numbers from one for words as they are met."""
 
-def _search_shard(rows: list[dict], width: int) -> list[tuple[int, int, int, list[int]]]:
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) + 1
+        return number
+
+
+def _search_shard(shard: pa.Table, width: int) -> pa.RecordBatch:
     """Index a shard and stream its entries against it: first documents of the windows of each entry."""
-    numbers: dict[bytes, int] = {}
-    entries = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words_of(r["segment"])], dtype=np.int64) for r in rows]
-    index = FMIndex(entries, np.array([r["first"] for r in rows], dtype=np.int64), len(numbers))
-    counts = np.array([len(e) - width + 1 for e in entries])
-    heads = np.repeat(index.starts, counts)
-    inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    length, lo, hi = index.match(heads + inside + width - 1, width)
-    reached = length >= width
+    shard = shard.combine_chunks()
+    numbers = _Numbers()
+    split = [words_of(t) for t in shard.column("segment").to_pylist()]
+    sizes = np.array([len(w) for w in split])
+    flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
+    index = FMIndex(flat, sizes, shard.column("first").to_numpy(), len(numbers))
+    counts = sizes - width + 1
+    ends = np.cumsum(counts)
+    heads = np.repeat(index.starts - (ends - counts), counts)
+    length, lo, hi = index.match(heads + np.arange(int(ends[-1])) + width - 1, width)
     first = np.full(len(length), np.iinfo(np.int64).max)
+    reached = length >= width
     first[reached] = index.first_documents(lo[reached], hi[reached])
-    out, at = [], 0
-    for r, n in zip(rows, counts.tolist()):
-        mine = first[at:at + n]
-        at += n
-        if (mine < r["last"]).any():
-            out.append((r["anchor"], r["run"], r["shift"], mine.tolist()))
-    return out
+    last = np.repeat(shard.column("last").to_numpy(), counts)
+    hit = np.flatnonzero(np.add.reduceat((first < last).astype(np.int64), ends - counts) > 0)
+    offsets = np.cumsum(np.r_[0, counts[hit]])
+    inner = np.arange(int(offsets[-1])) + np.repeat((ends - counts)[hit] - offsets[:-1], counts[hit])
+    firsts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(first[inner], pa.int64()))
+    kept = shard.select(["anchor", "run", "shift"]).take(pa.array(hit))
+    return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in kept.columns], firsts], names=["anchor", "run", "shift", "firsts"])
 
 
 def search_shards(entries: DataFrame, shards: int, width: int) -> DataFrame:
     """``anchor, run, shift, firsts``: the first document of each window of entries that some document repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
+        held: list[pa.RecordBatch] = []
         shard = None
-
-        def pack(found: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*found)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["anchor", "run", "shift", "firsts"])
-
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["shard"] != shard:
-                    if rows:
-                        yield pack(_search_shard(rows, width))
-                    rows, shard = [], row["shard"]
-                rows.append(row)
-        if rows:
-            yield pack(_search_shard(rows, width))
+            names = batch.column(batch.schema.get_field_index("shard")).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else []
+            for a, b in zip(cuts, [*cuts[1:], len(names)]):
+                if names[a] != shard and held:
+                    yield _search_shard(pa.Table.from_batches(held), width)
+                    held = []
+                shard = names[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield _search_shard(pa.Table.from_batches(held), width)
 
     width_now = min(shards, 4 * shuffle_width(entries.sparkSession))
     return entries.repartition(width_now, "shard").sortWithinPartitions("shard").mapInArrow(
@@ -291,7 +334,7 @@ def repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
 
     texts = source.join(wanted, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("doc_key"))).select("doc_id", "text", "es")
     cut = materialise(
-        texts.mapInArrow(segments, "anchor long, run long, first long, last long, segment string").dropDuplicates(["anchor", "run"]), "segments")
+        texts.mapInArrow(segments, "anchor long, run long, first long, last long, segment string"), "segments")
     words = cut.select(F.sum(F.length("segment"))).first()[0] or 0
     shards = max(1, -(-words // (6 * SHARD_WORDS)))
     crowded = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED).select("anchor", F.lit(True).alias("crowded"))
@@ -315,8 +358,8 @@ def repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
         (F.shiftright(F.col("place"), 8).bitwiseAND(F.lit(0x7FFFFFFFF)) + F.col("shift")).alias("start"), bits.alias("mask")).filter("mask <> 0")
 
 
-def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept_text`` of every row of ``docs``.
+def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = True) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` and, if asked for, ``kept_text`` of every row of ``docs``.
 
     Words are parted by ASCII white space and compared as they are. A word goes if a window of
     ``width`` words that covers it also starts in a document with a smaller id; windows are judged on
@@ -343,7 +386,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                     stays = np.cumsum(edge[:total]) == 0
                     words = [w for w, s in zip(words, stays.tolist()) if s]
                 left = b" ".join(words)
-                rows.append((total, total - len(words), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass")))
+                rows.append((total, total - len(words), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass") if with_text else None))
             cols = list(zip(*rows)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -351,5 +394,6 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     both = base.join(hits, (F.col("doc_id") == F.col("doc")) & (_text_key() == F.col("doc_key")), "left")
-    return both.select("doc_id", "text", "hits").mapInArrow(
+    out = both.select("doc_id", "text", "hits").mapInArrow(
         keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return out if with_text else out.drop("kept_text")
