@@ -149,21 +149,31 @@ def similar_texts(pairs: DataFrame, similarity: float) -> DataFrame:
     Words that both begin or end with do not change the distance and are left out before it is
     computed; where what is left is short enough, it need not be.
     """
-    allowed = F.floor(F.greatest(F.length("norm"), F.length("norm2")) * F.lit(1 - similarity) + 1e-9).cast("int")
-    cut = pairs.withColumns({"__allowed": allowed, "__x": F.split("norm", " "), "__y": F.split("norm2", " ")})
+    # Steps over an array of one pair: each binds its value, so no step is computed again in the filter.
+    one = F.array(F.struct(F.split("norm", " ").alias("x"), F.split("norm2", " ").alias("y")))
+
+    def common(s: Column) -> Column:
+        differ = F.array_position(F.zip_with(s["x"], s["y"], lambda a, b: a.eqNullSafe(b)), False)
+        return F.struct(s["x"].alias("x"), s["y"].alias("y"), F.when(differ == 0, F.size(s["x"])).otherwise(differ - 1).cast("int").alias("n"))
 
-    def shared() -> Column:
-        differ = F.array_position(F.zip_with("__x", "__y", lambda x, y: x.eqNullSafe(y)), False)
-        return F.when(differ == 0, F.size("__x")).otherwise(differ - 1).cast("int")
+    def rest(s: Column) -> Column:
+        return F.struct(*[F.reverse(F.slice(s[c], s["n"] + 1, F.size(s[c]))).alias(c) for c in ("x", "y")])
 
     for _ in range(2):  # from the front, then from the back
-        cut = cut.withColumn("__n", shared())
-        cut = cut.withColumns({c: F.reverse(F.slice(c, F.col("__n") + 1, F.size(c))) for c in ("__x", "__y")})
-    # Each word counts with a blank after it, so that a word left out takes one along.
-    rest = {c: F.when(F.size(c) > 0, F.concat(F.array_join(c, " "), F.lit(" "))).otherwise("") for c in ("__x", "__y")}
-    cut = cut.withColumns(rest)
-    near = (F.greatest(F.length("__x"), F.length("__y")) <= F.col("__allowed")) | F.expr("levenshtein(__x, __y, __allowed) >= 0")
-    return cut.filter(near).select(*pairs.columns)
+        one = F.transform(F.transform(one, common), rest)
+
+    def text(words: Column) -> Column:
+        """Each word counts with a blank after it, so that a word left out takes one along."""
+        return F.when(F.size(words) > 0, F.concat(F.array_join(words, " "), F.lit(" "))).otherwise("")
+
+    allowed = F.floor(F.greatest(F.length("norm"), F.length("norm2")) * F.lit(1 - similarity) + 1e-9).cast("int")
+    ends = F.transform(one, lambda s: F.struct(text(s["x"]).alias("x"), text(s["y"]).alias("y"), allowed.alias("most")))
+
+    def near(s: Column) -> Column:
+        short = F.greatest(F.length(s["x"]), F.length(s["y"])) <= s["most"]
+        return short | (F.call_function("levenshtein", s["x"], s["y"], s["most"]) >= 0)
+
+    return pairs.filter(F.exists(ends, near))
 
 
 def _line_texts(docs: DataFrame, shown: DataFrame) -> DataFrame:
