@@ -83,7 +83,7 @@ def components(n: int, links: list[tuple[int, int]]) -> list[int]:
     return [root(i) for i in range(n)]
 
 
-def edit_distance(a: str, b: str) -> int:
+def edit_distance(a: list[str], b: list[str]) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -109,9 +109,10 @@ def removed_lines(docs: list[tuple[int, str | None]], similarity: float = 0.8, m
     for t in texts:
         hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split()]
         marks.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    words = [t.split() for t in texts]
     links = [
         (i, j) for i in range(len(texts)) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= distance
-        and edit_distance(texts[i], texts[j]) <= int(max(len(texts[i]), len(texts[j])) * (1 - similarity) + 1e-9)]
+        and edit_distance(words[i], words[j]) <= int(max(len(words[i]), len(words[j])) * (1 - similarity) + 1e-9)]
     root = components(len(texts), links)
     keep: dict[int, tuple[int, int]] = {}
     for i, t in enumerate(texts):

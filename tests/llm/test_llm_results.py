@@ -124,7 +124,7 @@ def test_edit_similarity(spark):
         pairs.append((" ".join(w), " ".join(v)))
     frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, norm string, norm2 string")
     for s in (0.6, 0.8, 0.9):
-        wanted = {i for i, (a, b) in enumerate(pairs) if brute.edit_distance(a, b) <= int(max(len(a), len(b)) * (1 - s) + 1e-9)}
+        wanted = {i for i, (a, b) in enumerate(pairs) if brute.edit_distance(a.split(), b.split()) <= int(max(len(a.split()), len(b.split())) * (1 - s) + 1e-9)}
         assert {r.i for r in similar_texts(frame, s).collect()} == wanted
 
 

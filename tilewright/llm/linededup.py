@@ -2,7 +2,7 @@
 
 Every line is normalised and gets a 64-bit SimHash of its words. Distinct lines meet in an equality
 join on pigeonhole blocks of the fingerprint; pairs within the allowed distance are verified by edit
-similarity, linked lines form connected groups, and of each group the first occurrence stays. Equal
+similarity of their words, linked lines form connected groups, and of each group the first occurrence stays. Equal
 lines are one item before the join, so a line that a third of the documents share is one row there.
 """
 
@@ -63,14 +63,14 @@ def simhash(lines: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row per line with ``min_words`` words or more: its place, key, fingerprint and length."""
+    """One row per line with ``min_words`` words or more: its place, key and fingerprint."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Normalising inside the generator keeps the filter from doing it a second time.
     norm = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), normalised(line).alias("norm")))
     lines = base.select("doc_id", F.xxhash64("text").alias("text_key"), F.inline(norm))
     lines = lines.filter(F.col("norm").rlike("^[^ ]+" + " [^ ]+" * (min_words - 1)))
-    lines = lines.withColumns({"a": F.xxhash64("norm"), "b": F.hash("norm"), "chars": F.length("norm")})
-    return simhash(lines, ["doc_id", "text_key", "line_no", "a", "b", "chars"], "fp")
+    lines = lines.withColumns({"a": F.xxhash64("norm"), "b": F.hash("norm")})
+    return simhash(lines, ["doc_id", "text_key", "line_no", "a", "b"], "fp")
 
 
 def block_masks(items: int, distance: int = DISTANCE) -> list[int]:
@@ -120,12 +120,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
     lines = materialise(line_table(docs, min_words), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key", "line_no")
     items = materialise(
-        lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.count(F.lit(1)).alias("n")),
+        lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")),
         "line-items")
-    size = items.select("a", F.col("chars"))
-    pairs = candidate_pairs(items, block_masks(items.count()))
-    pairs = pairs.join(size, "a").join(size.select(F.col("a").alias("a2"), F.col("chars").alias("chars2")), "a2")
-    pairs = materialise(pairs.filter(F.abs(F.col("chars") - F.col("chars2")) <= F.greatest("chars", "chars2") * (1 - similarity)).select("a", "a2"), "line-pairs")
+    pairs = materialise(candidate_pairs(items, block_masks(items.count())), "line-pairs")
     ends = pairs.select("a").unionByName(pairs.select(F.col("a2").alias("a"))).distinct()
     shown = materialise(items.join(ends, "a").select("first", "a"), "line-ends")
     texts = materialise(_line_texts(docs, shown), "line-texts")
@@ -144,13 +141,15 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
 
 
 def similar_texts(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Rows whose ``norm`` and ``norm2`` have an edit similarity (one less distance over length) of ``similarity``.
+    """Rows whose ``norm`` and ``norm2`` have an edit similarity of at least ``similarity``.
 
-    Words that both begin or end with do not change the distance and are left out before it is
-    computed; where what is left is short enough, it need not be.
+    That is one less the least number of words put in, left out or replaced, over the words of the
+    longer line. Words that both begin or end with are left out first. The others are numbered within
+    the pair and written as one letter each, so that Spark's own edit distance counts words.
     """
     # Steps over an array of one pair: each binds its value, so no step is computed again in the filter.
     one = F.array(F.struct(F.split("norm", " ").alias("x"), F.split("norm2", " ").alias("y")))
+    allowed = F.floor(F.greatest(F.size(F.split("norm", " ")), F.size(F.split("norm2", " "))) * F.lit(1 - similarity) + 1e-9).cast("int")
 
     def common(s: Column) -> Column:
         differ = F.array_position(F.zip_with(s["x"], s["y"], lambda a, b: a.eqNullSafe(b)), False)
@@ -161,19 +160,22 @@ def similar_texts(pairs: DataFrame, similarity: float) -> DataFrame:
 
     for _ in range(2):  # from the front, then from the back
         one = F.transform(F.transform(one, common), rest)
+    known = F.transform(one, lambda s: F.struct(
+        s["x"].alias("x"), s["y"].alias("y"), F.array_distinct(F.concat(s["x"], s["y"])).alias("names")))
 
-    def text(words: Column) -> Column:
-        """Each word counts with a blank after it, so that a word left out takes one along."""
-        return F.when(F.size(words) > 0, F.concat(F.array_join(words, " "), F.lit(" "))).otherwise("")
+    def letters(words: Column, names: Column) -> Column:
+        # Letters from 256 up to the surrogates; beyond 55,000 different words they repeat.
+        code = lambda w: F.lpad(F.hex(F.array_position(names, w) % 55_000 + 256), 4, "0")
+        return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
 
-    allowed = F.floor(F.greatest(F.length("norm"), F.length("norm2")) * F.lit(1 - similarity) + 1e-9).cast("int")
-    ends = F.transform(one, lambda s: F.struct(text(s["x"]).alias("x"), text(s["y"]).alias("y"), allowed.alias("most")))
+    written = F.transform(known, lambda s: F.struct(
+        letters(s["x"], s["names"]).alias("x"), letters(s["y"], s["names"]).alias("y"), allowed.alias("most")))
 
     def near(s: Column) -> Column:
         short = F.greatest(F.length(s["x"]), F.length(s["y"])) <= s["most"]
         return short | (F.call_function("levenshtein", s["x"], s["y"], s["most"]) >= 0)
 
-    return pairs.filter(F.exists(ends, near))
+    return pairs.filter(F.exists(written, near))
 
 
 def _line_texts(docs: DataFrame, shown: DataFrame) -> DataFrame:
