@@ -144,8 +144,9 @@ def similar_texts(pairs: DataFrame, similarity: float) -> DataFrame:
     """Rows whose ``norm`` and ``norm2`` have an edit similarity of at least ``similarity``.
 
     That is one less the least number of words put in, left out or replaced, over the words of the
-    longer line. Words that both begin or end with are left out first. The others are numbered within
-    the pair and written as one letter each, so that Spark's own edit distance counts words.
+    longer line. Words that both begin or end with are left out first. Where replacing word by word does
+    not settle it, each word is written as one of 55,000 letters by its hash, so that Spark's own edit
+    distance counts words.
     """
     # Steps over an array of one pair: each binds its value, so no step is computed again in the filter.
     one = F.array(F.struct(F.split("norm", " ").alias("x"), F.split("norm2", " ").alias("y")))
@@ -160,22 +161,20 @@ def similar_texts(pairs: DataFrame, similarity: float) -> DataFrame:
 
     for _ in range(2):  # from the front, then from the back
         one = F.transform(F.transform(one, common), rest)
-    known = F.transform(one, lambda s: F.struct(
-        s["x"].alias("x"), s["y"].alias("y"), F.array_distinct(F.concat(s["x"], s["y"])).alias("names")))
+    bounded = F.transform(one, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), allowed.alias("most")))
 
-    def letters(words: Column, names: Column) -> Column:
-        # Letters from 256 up to the surrogates; beyond 55,000 different words they repeat.
-        code = lambda w: F.lpad(F.hex(F.array_position(names, w) % 55_000 + 256), 4, "0")
+    def letters(words: Column) -> Column:
+        # Letters from 256 up to the surrogates.
+        code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(55_000)) + 256), 4, "0")
         return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
 
-    written = F.transform(known, lambda s: F.struct(
-        letters(s["x"], s["names"]).alias("x"), letters(s["y"], s["names"]).alias("y"), allowed.alias("most")))
-
     def near(s: Column) -> Column:
-        short = F.greatest(F.length(s["x"]), F.length(s["y"])) <= s["most"]
-        return short | (F.call_function("levenshtein", s["x"], s["y"], s["most"]) >= 0)
+        short = F.greatest(F.size(s["x"]), F.size(s["y"])) <= s["most"]
+        # Place by place is one way to edit, and the best where words were only replaced.
+        replaced = F.size(F.filter(F.zip_with(s["x"], s["y"], lambda a, b: ~a.eqNullSafe(b)), lambda v: v)) <= s["most"]
+        return short | replaced | (F.call_function("levenshtein", letters(s["x"]), letters(s["y"]), s["most"]) >= 0)
 
-    return pairs.filter(F.exists(written, near))
+    return pairs.filter(F.exists(bounded, near))
 
 
 def _line_texts(docs: DataFrame, shown: DataFrame) -> DataFrame:
