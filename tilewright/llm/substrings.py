@@ -42,28 +42,32 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-class WordHashes(dict):
-    """Places of words in a table of 64-bit hashes, filled as words are met and emptied when full."""
+class WordHashes:
+    """64-bit hashes of all words of a byte string at once, from a polynomial over its bytes.
 
-    def __init__(self, keep: int = 500_000) -> None:
-        super().__init__()
-        self.table = np.zeros(keep, dtype=np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        place = len(self)
-        if place == len(self.table):  # a text may have more words than the table
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[place] = xxhash.xxh64_intdigest(word, 11)
-        self[word] = place
-        return place
+    Powers of an odd number have inverses modulo 2^64, so the sum over a word is brought to the same
+    power wherever the word stands. Equal words have equal hashes.
+    """
 
-    def of(self, words: list[bytes], keep: int = 500_000) -> np.ndarray:
-        if len(self) >= keep:
-            self.clear()
-        places = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.table[places]
+    def __init__(self) -> None:
+        self._letters = np.random.default_rng(11).integers(0, 1 << 64, size=256, dtype=np.uint64)
+        self._white = np.zeros(256, dtype=bool)
+        self._white[[9, 10, 11, 12, 13, 32]] = True
+        self._up = self._down = np.zeros(0, dtype=np.uint64)
+
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and first bytes of the words."""
+        data = np.frombuffer(text, dtype=np.uint8)
+        if len(data) >= len(self._up):
+            n = 2 * len(data) + 1
+            self._up = np.cumprod(np.full(n, _ODD, dtype=np.uint64))
+            self._down = np.cumprod(np.full(n, pow(_ODD, -1, 1 << 64), dtype=np.uint64))
+        edge = np.diff(np.concatenate([[True], self._white[data], [True]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self._letters[data] * self._up[:len(data)], out=sums[1:])
+        values = (sums[ends] - sums[starts]) * self._down[starts]
+        return _mix(values + (ends - starts).astype(np.uint64)), starts
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -108,34 +112,33 @@ def find_runs(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             parts: list[list[np.ndarray]] = []
-            rows: list[int] = []
-            found: list[np.ndarray] = []
-
-            def flush() -> None:
-                sizes = np.array([len(h) for h in found])
+            texts: list[bytes] = []
+
+            def flush(upto: int) -> None:
+                """Runs of the documents gathered, the last of which is row ``upto - 1``."""
+                hashes, starts = hashed.of(b"\n".join(texts))
+                offsets = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+                owner = np.searchsorted(offsets, starts, side="right") - 1
+                sizes = np.bincount(owner, minlength=len(texts))
                 heads = np.cumsum(sizes) - sizes
-                inside = np.arange(int(sizes.sum()))
-                owner = np.repeat(np.arange(len(found)), sizes)
+                inside = np.arange(len(hashes))
                 windows = inside[inside - heads[owner] <= sizes[owner] - width]
-                anchor, run, start, count = runs_of(np.concatenate(found), windows, width)
-                mine = owner[start]
-                row = np.array(rows)[mine]
-                parts.append([anchor, run, ids[row], (keys[row] << 43) | ((start - heads[mine]) << 8) | count])
-                rows.clear()
-                found.clear()
+                if len(windows):
+                    anchor, run, start, count = runs_of(hashes, windows, width)
+                    mine = owner[start]
+                    row = mine + (upto - len(texts))
+                    parts.append([anchor, run, ids[row], (keys[row] << 43) | ((start - heads[mine]) << 8) | count])
+                texts.clear()
 
             pending = 0
             for i, text in enumerate(batch.column(2)):
-                words = words_of(text.as_py() or "")
-                if len(words) >= width:
-                    rows.append(i)
-                    found.append(hashed.of(words))
-                    pending += len(words)
-                    if pending > 100_000:
-                        flush()
-                        pending = 0
-            if found:
-                flush()
+                texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                pending += len(texts[-1])
+                if pending > 500_000:
+                    flush(i + 1)
+                    pending = 0
+            if texts:
+                flush(batch.num_rows)
             cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, dtype=np.int64)] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "run", "doc_id", "place"])
 
