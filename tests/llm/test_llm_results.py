@@ -329,3 +329,41 @@ def test_quality_on_held_out(spark):
     frame = spark.createDataFrame(sites, "doc_id long, text string, source string, lang string")
     posts = {r.doc_id: r.p_path for r in quality.classify(frame, neutral, F.col("source"), F.col("lang")).collect()}
     assert posts[1] != posts[0] and min(posts[0], posts[1]) < posts[399] < max(posts[0], posts[1])
+
+
+def test_leaks_of_many_passages(spark):
+    """Recall must not fall with the size of the benchmark: all passages in all documents by plain LCS."""
+    from tilewright.llm.decontaminate import common_subsequence, find_leaks
+
+    rnd = random.Random(11)
+    common = [rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(1500)]
+    prose = lambda n: [common[int(len(common) * rnd.random() ** 2)] for _ in range(n)]
+    bench = [prose(rnd.randint(15, 59)) for _ in range(2000)]
+    texts = []
+    for i, b in enumerate(bench[:500]):
+        w = list(b)
+        if i % 2:  # a fifth of the words replaced
+            for at in rnd.sample(range(len(w)), len(w) // 5):
+                w[at] = f"x{at}"
+        texts.append(prose(rnd.randint(20, 60)) + w + prose(rnd.randint(20, 60)))
+    number = {w: i for i, w in enumerate(common)}
+    bags = np.zeros((len(bench), len(common)), dtype=np.float32)
+    for i, b in enumerate(bench):
+        for w in b:
+            bags[i, number[w]] += 1
+    wanted = set()
+    for d, t in enumerate(texts):
+        held = np.zeros(len(common), dtype=np.float32)
+        for w in t:
+            if w in number:
+                held[number[w]] += 1
+        for i in np.flatnonzero(np.minimum(bags, held).sum(axis=1) >= 0.8 * bags.sum(axis=1)):
+            # the operator looks at a window and the passage's length on either side
+            spans = (t[max(0, s - len(bench[i])):s + 48 + len(bench[i])] for s in range(0, len(t), 24))
+            if max(common_subsequence(bench[i], span) for span in spans) >= 0.8 * len(bench[i]):
+                wanted.add((d, int(i)))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bench)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(docs, table).filter("lcs_share >= 0.8").collect()}
+    print(len(wanted), len(found), len(wanted & found))
+    assert len(wanted) >= 490 and found <= wanted and len(found) >= 0.98 * len(wanted)

@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The benchmark's passages are weighted by TF-IDF, with document frequencies counted over the whole
-corpus, and a randomised SVD, whose products are formed in Spark tasks, gives their latent space.
+corpus, and a randomised SVD, whose products are formed in Spark tasks, gives their latent space. A
+block of passages has as many dimensions as distinct passages, so none loses weight to the others.
 Every window of every document is projected into it and compared with all passages by cosine;
 candidates are then verified by the longest common subsequence of words, and by the passage's answer
 where the subsequence alone does not settle the case, as with a paraphrase. Benchmarks are taken in
@@ -144,8 +145,12 @@ def randomised_svd(passages: DataFrame, vocabulary: dict[str, int], idf: np.ndar
     return basis @ vectors[:, keep]
 
 
-def build_index(docs: DataFrame, block: DataFrame, rank: int = 128, answer_words: int = 5, has_answer: bool = False) -> LatentIndex | None:
-    """Index one block of the benchmark; None if it has no words. ``block`` is stored and bounded."""
+def build_index(docs: DataFrame, block: DataFrame, rank: int | None = None, answer_words: int = 5, has_answer: bool = False) -> LatentIndex | None:
+    """Index one block of the benchmark; None if it has no words. ``block`` is stored and bounded.
+
+    Without a ``rank`` the latent space holds every passage whole. A smaller one leaves out part of each
+    passage, the more the more passages there are, and copies fall below the cut on the cosine.
+    """
     rows = sorted(block.collect(), key=lambda r: (r.item_id, r.text))
     words = [plain_words(r.text) for r in rows]
     rows, words = zip(*[(r, w) for r, w in zip(rows, words) if w]) if any(words) else ((), ())
@@ -154,7 +159,7 @@ def build_index(docs: DataFrame, block: DataFrame, rank: int = 128, answer_words
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
     counts, n = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / (counts + 1)) + 0.05
-    basis = randomised_svd(block, vocabulary, idf, min(rank, len(rows)))
+    basis = randomised_svd(block, vocabulary, idf, min(rank or len(rows), len({tuple(w) for w in words})))
     passages = []
     for ws in words:
         terms, values = _weighted(ws, vocabulary, idf)
@@ -266,7 +271,7 @@ def leaks(
     return source.mapInArrow(run, LEAKS)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = 2048, **options) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = 256, **options) -> DataFrame:
     """Leaks of all benchmark passages, in blocks of about ``block_items`` passages.
 
     A column ``answer`` of the benchmark is used if there is one; else the last words of a passage are
