@@ -367,3 +367,30 @@ def test_leaks_of_many_passages(spark):
     found = {(r.doc_id, r.item_id) for r in find_leaks(docs, table).filter("lcs_share >= 0.8").collect()}
     print(len(wanted), len(found), len(wanted & found))
     assert len(wanted) >= 490 and found <= wanted and len(found) >= 0.98 * len(wanted)
+
+
+def test_more_labelled_rows_leave_toxic_verdicts(spark):
+    """Four times the same labelled rows fill the sample of both labels; shares and verdicts stay."""
+    from tilewright.llm import toxicity
+
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for i in range(1000):
+        words = [rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(30)]
+        toxic = i % 10 == 0
+        for word, share in (("blarg", 0.5 if toxic else 0.02), ("snorf", 0.5 if toxic else 0.15), ("often", 0.4 if toxic else 0.12)):
+            if rnd.random() < share:
+                words[rnd.randrange(30)] = word
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    verdicts = []
+    for times in (1, 4):
+        docs = spark.createDataFrame([(i + 1000 * k, t) for k in range(times) for i, t in rows], "doc_id long, text string")
+        marks = spark.createDataFrame([(i + 1000 * k, y) for k in range(times) for i, y in labels], "doc_id long, toxic int")
+        model = toxicity.fit(docs, marks, per_class=times * 100 if times > 1 else 4000)
+        verdicts.append({r.doc_id: (r.toxic, r.p_toxic) for r in toxicity.score(docs, model).filter("doc_id < 1000").collect()})
+    flips = sum(verdicts[0][i][0] != verdicts[1][i][0] for i in verdicts[0])
+    apart = abs(np.mean([p for _, p in verdicts[0].values()]) - np.mean([p for _, p in verdicts[1].values()]))
+    print("flips", flips, "mean p apart", apart)
+    # 400 of 3,600 clean rows are drawn, so a few texts near the cut change; equal shares change 373
+    assert flips <= 30 and apart <= 0.02

@@ -93,19 +93,20 @@ class Scorer:
         return sum(weights[f] for f in sorted(found))
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Labels, features and counts of a fixed sample of at most ``per_class`` labelled rows per label.
+def _training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Labels, features, counts and weights of a fixed sample of at most ``per_class`` labelled rows per label.
 
-    A document labelled more than once counts with its highest label.
+    A document labelled more than once counts with its highest label. A row's weight is the number of
+    labelled documents it stands for, so labels keep the shares that they have in the data.
     """
     graded = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    values = [r.y for r in graded.select("y").distinct().orderBy("y").limit(16).collect()]
+    totals = {r.y: r.n for r in graded.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy("y").limit(16).collect()}
     chosen = None
-    for y in values:
+    for y in totals:
         part = graded.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
-        return np.zeros(0, dtype=np.int64), [], []
+        return np.zeros(0, dtype=np.int64), [], [], np.zeros(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = FeatureReader()
@@ -126,7 +127,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: in
         flat, cuts = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()])
         return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
 
-    return found.column("y").to_numpy().astype(np.int64), lists("features"), lists("counts")
+    y = found.column("y").to_numpy().astype(np.int64)
+    stands_for = np.array([totals[k] / min(per_class, totals[k]) for k in y.tolist()])
+    return y, lists("features"), lists("counts"), stands_for
 
 
 def severity_grades(y: np.ndarray, features: list[np.ndarray], counts: list[np.ndarray], grades: int = 3) -> np.ndarray:
@@ -154,27 +157,31 @@ def severity_grades(y: np.ndarray, features: list[np.ndarray], counts: list[np.n
 
 
 def fit_cumulative_link(
-    features: list[np.ndarray], y: np.ndarray, steps: int = 400, l1: float = 0.09, min_docs: int = 3, max_share: float = 0.2
+    features: list[np.ndarray], y: np.ndarray, steps: int = 400, l1: float = 0.09, min_docs: int = 3, max_share: float = 0.2,
+    stands_for: np.ndarray | None = None,
 ) -> OrdinalModel:
     """Penalised maximum likelihood of the cumulative-link model by accelerated proximal gradient steps.
 
     Features are presences. ``l1``, over the root of the sample's size, keeps the weights sparse; a feature of fewer than ``min_docs``
-    documents, or of more than ``max_share`` of them, is left out.
+    documents, or of more than ``max_share`` of them, is left out. ``stands_for`` weights the rows in
+    the likelihood and in shares, one each if unset; the size is then that of equally many equal rows.
     """
     top = int(y.max()) if len(y) else 0
     if top == 0:
         return OrdinalModel({}, ())
     rows = np.repeat(np.arange(len(y)), [len(f) for f in features])
     flat = np.concatenate(features)
+    weight = np.ones(len(y)) if stands_for is None else stands_for / stands_for.mean()
     seen = np.bincount(flat, minlength=FEATURES)
-    names = np.flatnonzero((seen >= min_docs) & (seen <= max(min_docs, max_share * len(y))))
+    weighted = np.bincount(flat, weights=weight[rows], minlength=FEATURES)
+    names = np.flatnonzero((seen >= min_docs) & (weighted <= max(min_docs, max_share * len(y)) + 1e-9))
     place = np.full(FEATURES, -1)
     place[names] = np.arange(len(names))
     keep = place[flat] >= 0
     rows, cols = rows[keep], place[flat[keep]]
-    weight = np.full(len(y), 1 / len(y))
+    weight = weight / len(y)
     n, size = len(y), len(names)
-    l1 = l1 / math.sqrt(n)
+    l1 = l1 * math.sqrt(np.sum(weight**2))
 
     def times(w: np.ndarray) -> np.ndarray:
         return np.bincount(rows, weights=w[cols], minlength=n)
@@ -216,15 +223,15 @@ def fit_cumulative_link(
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, grades: int = 3) -> OrdinalModel:
-    """Fit on a sample of at most ``per_class`` labelled documents per label value.
+    """Fit on a sample of at most ``per_class`` labelled documents per label value, weighted by all labels.
 
     Rows with a null label or id are not used. Without positives the model has no thresholds and
     gives every document severity zero.
     """
-    y, features, counts = _training_rows(docs, labels, label, per_class)
+    y, features, counts, stands_for = _training_rows(docs, labels, label, per_class)
     if not len(y):
         return OrdinalModel({}, ())
-    return fit_cumulative_link(features, severity_grades(y, features, counts, grades))
+    return fit_cumulative_link(features, severity_grades(y, features, counts, grades), stands_for=stands_for)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
