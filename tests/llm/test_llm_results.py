@@ -394,3 +394,31 @@ def test_more_labelled_rows_leave_toxic_verdicts(spark):
     print("flips", flips, "mean p apart", apart)
     # 400 of 3,600 clean rows are drawn, so a few texts near the cut change; equal shares change 373
     assert flips <= 30 and apart <= 0.02
+
+
+def test_near_copy_stage_against_jaccard(spark):
+    """The pipeline's stage against the Jaccard of five-word shingles of all pairs."""
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    texts = []
+    for _ in range(60):
+        w = [rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(rnd.randint(100, 300))]
+        texts.append(" ".join(w))
+        for n in (1, 2, 3, 6):
+            v = list(w)
+            for at in rnd.sample(range(len(v)), n):
+                v[at] = rnd.choice(WORDS)
+            texts.append(" ".join(v))
+    texts += [texts[0], texts[5].upper(), "", " ", "one two", "One  two"]
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    wanted = set(brute.components(len(sets), links))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.without_near_copies(spark, docs, "")
+    got = [r.doc_id for r in kept.collect()]
+    print("kept", len(got), "wanted", len(wanted), "of", len(texts))
+    assert kept.columns == docs.columns and sorted(got) == sorted(wanted)
