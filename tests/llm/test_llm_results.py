@@ -422,3 +422,13 @@ def test_near_copy_stage_against_jaccard(spark):
     got = [r.doc_id for r in kept.collect()]
     print("kept", len(got), "wanted", len(wanted), "of", len(texts))
     assert kept.columns == docs.columns and sorted(got) == sorted(wanted)
+
+
+def test_quality_prior_is_that_of_all_labels(spark):
+    """A full sample of both labels leaves the prior at the shares of all labels."""
+    from tilewright.llm import quality
+
+    docs, labels = _labelled(spark)  # three of four are good
+    wanted = np.log(450 / 150)
+    for per_class in (4000, 100):
+        assert abs(quality.fit(docs, labels, per_class=per_class).base - wanted) < 1e-9

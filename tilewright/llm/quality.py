@@ -24,7 +24,7 @@ _SYMBOLS = set("%#*&$|<>{}[]\\^~=_")
 
 @dataclass(frozen=True)
 class FormModel:
-    """Standardised logistic model; ``base`` is the log-odds of the sample it was fitted on."""
+    """Standardised logistic model; ``base`` is the log-odds of all labels it was fitted for."""
 
     mean: tuple[float, ...]
     scale: tuple[float, ...]
@@ -55,9 +55,11 @@ FORM_SIZE = len(form(""))
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000) -> FormModel:
     """Fit on at most ``per_class`` labelled documents per label value, chosen by a hash of the id.
 
+    A row's weight is the number of labelled documents it stands for, so labels keep their shares.
     Rows with a null label or id are not used; without both label values the model gives no evidence.
     """
     graded = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    totals = {r.y: r.n for r in graded.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for y in (0, 1):
         part = graded.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -77,17 +79,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     if not len(y) or y.min() == y.max():
         return FormModel((0.0,) * FORM_SIZE, (1.0,) * FORM_SIZE, (0.0,) * (FORM_SIZE + 1), 0.0)
     x = np.array([r.x for r in rows])
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    stands_for = np.array([totals[r.y] / min(per_class, totals[r.y]) for r in rows])
+    stands_for /= stands_for.mean()
+    share = float(np.average(y, weights=stands_for))
+    mean = np.average(x, axis=0, weights=stands_for)
+    scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, axis=0, weights=stands_for)), 1e-6)
     design = np.hstack([np.clip((x - mean) / scale, -5, 5), np.ones((len(y), 1))])
     w = np.zeros(design.shape[1])
     penalty = np.append(np.ones(FORM_SIZE), 0.0)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (y - p) - penalty * w
-        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty + 1e-9)
+        grad = design.T @ (stands_for * (y - p)) - penalty * w
+        hess = (design * (stands_for * p * (1 - p))[:, None]).T @ design + np.diag(penalty + 1e-9)
         step = np.linalg.solve(hess, grad)
         w = w + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-    return FormModel(tuple(mean), tuple(scale), tuple(w), float(np.log(y.mean() / (1 - y.mean()))))
+    return FormModel(tuple(mean), tuple(scale), tuple(w), float(np.log(share / (1 - share))))
 
 
 def evidence(docs: DataFrame, model: FormModel, host: Column, path: Column) -> DataFrame:
