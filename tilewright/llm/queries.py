@@ -135,3 +135,50 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
+
+
+def _merkle_sql(levels: int, group_levels: int) -> str:
+    """Every level as a relation: nodes go by eights until one is left. ``levels`` reach 8^levels leaves per group."""
+    def leaf(text: str) -> str:
+        fields = (f"coalesce(concat(strlen(cast({c} as varchar)), ':', cast({c} as varchar)), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+        return "sha256(concat(" + ", ".join(fields) + "))"
+
+    # crc32 of the decimal id: each byte, then eight marks that shift one bit out.
+    bits = "flatten([[ord(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(cast(doc_id as varchar), '')])"
+    crc = (f"xor(list_reduce(list_concat([4294967295], {bits}), lambda c, b: "
+           "case when b >= 0 then xor(c, b) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295)")
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"leaves as (select doc_id, lang, {leaf('text')} as leaf, case when {crc} % 3 = 0 then {leaf(lowered)} end as changed from documents)",
+        "fold0 as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, coalesce(changed, leaf) as f, '' as proof from leaves)",
+        "tree0 as (select lang, pos, leaf as h from fold0)"]
+
+    def climb(tree: str, fold: str, depth: int, group: str) -> None:
+        for k in range(depth):
+            w = f"over (partition by {group}, pos // 8 order by pos rows between"
+            ctes.append(
+                f"{tree}_s{k} as (select *, count(*) over (partition by {group}) as c, coalesce(string_agg(h, '') {w} unbounded preceding and 1 preceding), '') as l, "
+                f"coalesce(string_agg(h, '') {w} 1 following and unbounded following), '') as r from {tree}{k})")
+            ctes.append(
+                f"{tree}{k + 1} as (select {group}, pos // 8 as pos, case when max(c) > 1 then sha256(string_agg(h, '' order by pos)) else max(h) end as h "
+                f"from {tree}_s{k} group by {group}, pos // 8)")
+            ctes.append(
+                f"{fold}{k + 1} as (select x.* replace (case when s.c > 1 then sha256(concat(s.l, x.f, s.r)) else x.f end as f, "
+                f"case when s.c > 1 then concat(x.proof, s.l, s.r) else x.proof end as proof, x.pos // 8 as pos) "
+                f"from {fold}{k} x join {tree}_s{k} s on x.{group} is not distinct from s.{group} and x.pos = s.pos)")
+
+    climb("tree", "fold", levels, "lang")
+    ctes.append(f"top0 as (select 0 as one, row_number() over (order by lang nulls first) - 1 as pos, h, lang from tree{levels})")
+    ctes.append(
+        f"up0 as (select x.doc_id, x.leaf, x.f, x.proof, 0 as one, t.pos, t.h as subroot from fold{levels} x join top0 t on x.lang is not distinct from t.lang)")
+    climb("top", "up", group_levels, "one")
+    return "with " + ", ".join(ctes) + (
+        " select u.doc_id, u.leaf, u.subroot, t.h as root, sha256(u.proof) as proof_sha256, u.f as folded_root, u.f = t.h as verified "
+        f"from up{group_levels} u, top{group_levels} t")
+
+
+@query("op11_merkle_manifest", _merkle_sql(8, 4))
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.manifest import document_manifest
+
+    return document_manifest(table(spark, sf_dir, "documents"))
