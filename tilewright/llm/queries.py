@@ -182,3 +182,54 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilewright.llm.manifest import document_manifest
 
     return document_manifest(table(spark, sf_dir, "documents"))
+
+
+# Brute force: every query against every row.
+OP12_SQL = """
+WITH sound AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+    FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op12_graph_neighbours", OP12_SQL)
+def op12_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.graphs import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+# Whole numbers below 2^53 in doubles: products and sums are exact.
+OP13_SQL = """
+WITH rows_ AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS s
+    FROM rows_ a JOIN rows_ c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, id AS positive_id, s AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.positive_score, n.s AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+    AND 80 * p.positive_score <= 100 * n.s AND 100 * n.s <= 100 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.s DESC, n.id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilewright.llm.negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
