@@ -145,6 +145,19 @@ PREDICATES: dict[str, Predicate] = {
 }
 
 
+def probe_offsets(test: str, patch: Column) -> tuple[Column, bool]:
+    """Where a named test looks: offsets from the tile's corner, alike on both axes, and whether all must hit."""
+    if test not in PREDICATES:
+        raise NotImplementedError(f"contour test {test!r}; use one of {sorted(PREDICATES)} or a callable")
+    half = _half(patch)
+    shift = F.floor(half * 0.5).cast("bigint")
+    if test == "basic":
+        return F.array(F.lit(0).cast("bigint")), False
+    if test == "center":
+        return F.array(half), False
+    return F.when(shift > 0, F.array(half - shift, half + shift)).otherwise(F.array(half)), test == "four_pt_hard"
+
+
 def predicate(test: str | Predicate) -> Predicate:
     """A built-in test by name, or a callable of the same shape."""
     if callable(test):

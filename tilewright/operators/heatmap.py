@@ -1,8 +1,13 @@
-"""Heat-map grids: mean tile score per cell of a pyramid level."""
+"""Heat-map grids: mean tile score per cell of a pyramid level.
+
+A tile adds to the grid at its four corners only. Running sums along the grid lines that hold corners,
+then down the columns, give sum and count of every cell, so rows grow with tiles and cells, not with
+how many tiles overlap.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tilewright.operators.sampling import percentiles, screen_coords
 
@@ -22,8 +27,7 @@ def heat_grid(
     """``slide_id, cell_x, cell_y, value`` for every covered cell.
 
     ``sizes`` holds ``slide_id, dx, dy, width, height`` of the shown level. Scores are divided by
-    ``scale`` before the threshold; a negative threshold stands for one over the tile count. Each
-    tile expands to the few cells it covers and cells are summed before the shuffle.
+    ``scale`` before the threshold; a negative threshold stands for one over the tile count.
     """
     df = tiles
     if binarize and thresh < 0:
@@ -46,16 +50,52 @@ def heat_grid(
             return F.col(size)
         return (F.lit(bottom_right[axis]) * factor).cast("bigint") - (F.lit(top_left[axis]) * factor).cast("bigint")
 
-    def cells(corner: str, factor: Column, size: str, axis: int) -> Column:
+    def span(corner: str, factor: Column, size: str, axis: int) -> Column:
+        """The cells of a tile on one axis, the end not included."""
         lo = F.ceil((F.col(corner) - shift[axis]) * factor).cast("bigint")
         hi = F.least(lo + F.ceil(F.lit(patch_size) * factor).cast("bigint"), extent(size, factor, axis))
-        return F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
 
     shown = F.col("__score") >= F.col("__cut")
     value = F.when(shown, F.lit(1.0) if binarize else F.col("__score")).otherwise(F.lit(0.0))
-    spread = df.select("slide_id", value.alias("__v"), F.explode(cells("x_min", sx, "width", 0)).alias("cell_x"),
-                       cells("y_min", sy, "height", 1).alias("__ys")).select(
-        "slide_id", "__v", "cell_x", F.explode("__ys").alias("cell_y"))
-    mean = F.avg("__v")
-    return spread.groupBy("slide_id", "cell_x", "cell_y").agg(
-        (F.bround(mean, 0) if binarize else mean).alias("value"))
+    placed = df.select("slide_id", value.alias("v"), span("x_min", sx, "width", 0).alias("x"), span("y_min", sy, "height", 1).alias("y"))
+    sums = cell_sums(placed.filter("x.lo < x.hi and y.lo < y.hi"))
+    return sums.select("slide_id", "cell_x", "cell_y", (F.bround("mean", 0) if binarize else F.col("mean")).alias("value"))
+
+
+def cell_sums(placed: DataFrame) -> DataFrame:
+    """``slide_id, cell_x, cell_y, mean, n`` of all cells under boxes ``slide_id, x, y, v``; ``x, y`` hold ``lo, hi``.
+
+    Values are summed as whole numbers in two parts, so what is taken off at a box's far side is what was
+    added, to the last digit. A null value makes its cells' mean that of the others.
+    """
+    scaled = F.col("v") * float(1 << 30)
+    known = F.col("v").isNotNull()
+    parts = {
+        "high": F.floor(scaled).cast("bigint"), "low": F.round((scaled - F.floor(scaled)) * float(1 << 40)).cast("bigint"),
+        "n": known.cast("bigint"), "boxes": F.lit(1).cast("bigint")}
+    names = list(parts)
+
+    def corner(line: str, at: str, sign: int) -> Column:
+        return F.struct(
+            F.col(f"y.{line}").alias("line"), F.col(f"x.{at}").alias("at"),
+            *[(sign * F.coalesce(c, F.lit(0))).alias(n) for n, c in parts.items()])
+
+    corners = placed.select("slide_id", F.inline(F.array(
+        corner("lo", "lo", 1), corner("lo", "hi", -1), corner("hi", "lo", -1), corner("hi", "hi", 1))))
+    # Corners at one place are summed before the shuffle.
+    marks = corners.groupBy("slide_id", "line", "at").agg(*[F.sum(n).alias(n) for n in names])
+
+    def running(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+        """Sums up to each mark, and the marks after which they hold."""
+        w = W.partitionBy(*keys).orderBy(order)
+        return df.select(*keys, F.col(order).alias("lo"), (F.lead(order).over(w) - 1).alias("hi"), *[F.sum(n).over(w).alias(n) for n in names])
+
+    some = F.lit(False)
+    for n in names:
+        some = some | (F.col(n) != 0)
+    steps = running(marks, ["slide_id", "line"], "at").filter(some & F.col("hi").isNotNull())
+    wide = steps.select("slide_id", "line", F.explode(F.sequence("lo", "hi")).alias("cell_x"), *names)
+    cells = running(wide, ["slide_id", "cell_x"], "line").filter((F.col("boxes") > 0) & F.col("hi").isNotNull())
+    mean = F.try_divide((F.col("high") + F.col("low") / float(1 << 40)) / float(1 << 30), F.col("n").cast("double"))
+    return cells.select("slide_id", "cell_x", F.explode(F.sequence("lo", "hi")).alias("cell_y"), mean.alias("mean"), "n")

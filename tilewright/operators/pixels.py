@@ -113,10 +113,10 @@ def pen_marker_runs(
     inner = [*keys, "pen"]
     lines = runs.from_pixels(marked, inner)
     rough = F.col("pen").isin("black", "red")
-    images = sizes.withColumn("pen", F.explode(F.array(F.lit("black"), F.lit("red"))))
-    clean = runs.opened(lines.filter(rough), images, runs.ELLIPSE_5, inner)
-    marks = runs.union(clean, lines.filter(~rough), keys)
-    return runs.dilate(marks, sizes, runs.square(grow), keys) if grow else marks
+    images = sizes.withColumn("pen", F.explode(F.array(*[F.lit(c) for c in colours])))
+    clean = runs.opened(lines, images, runs.ELLIPSE_5, inner, only=rough)
+    # The growth of a union is the union of what its parts grow to.
+    return runs.dilate(clean, sizes, runs.square(grow), keys) if grow else runs.merge(clean, keys)
 
 
 def combine(tissue: DataFrame, markers: DataFrame, sizes: DataFrame, invert: bool = False, keys: list[str] = KEYS) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright.operators import runs
-from tilewright.operators.components import connected_components
+from tilewright.operators.components import blocked_components
 from tilewright.operators.ordering import row_index, top_rows
 from tilewright.session import materialise
 
 KEYS = ["slide_id"]
+# Cells per side of a block whose links are contracted in one task.
+BLOCK_CELLS = 64
 
 
 def area_order(regions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -20,14 +22,17 @@ def area_order(regions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def cluster_regions(regions: DataFrame, max_dist: float, keys: list[str] = KEYS) -> DataFrame:
     """``regions`` with ``place`` and ``cluster``, numbered by the first member in area order.
 
-    Centroids go to cells whose diagonal is below ``max_dist``: members of a cell are linked
-    without comparing them. Two neighbouring cells need one link, and the boxes around their
-    members settle most pairs of cells.
+    Centroids go to cells whose diagonal is below ``max_dist``, so the members of a cell are one node.
+    Two neighbouring cells need one link, and the boxes around their members settle most pairs of
+    cells. Cells are contracted by blocks, see ``blocked_components``.
     """
     side = max_dist / 1.4143
-    placed = area_order(regions, keys).withColumns({
-        "__r": F.floor(F.col("centroid_row") / side), "__c": F.floor(F.col("centroid_col") / side)})
+    placed = materialise(area_order(regions, keys).withColumns({
+        "__r": F.floor(F.col("centroid_row") / side), "__c": F.floor(F.col("centroid_col") / side)}), "placed")
     cell = [*keys, "__r", "__c"]
+    points = placed.select(*cell, "place", F.col("centroid_row").alias("y"), F.col("centroid_col").alias("x"))
+    cells = points.groupBy(*cell).agg(
+        F.min("place").alias("head"), F.min("y").alias("y_lo"), F.max("y").alias("y_hi"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi"))
     # Half of the cells within two steps; the other half is met from the other side.
     offsets = F.array(*[
         F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
@@ -42,13 +47,7 @@ def cluster_regions(regions: DataFrame, max_dist: float, keys: list[str] = KEYS)
 
     limit = max_dist * max_dist
 
-    def edges(nodes: DataFrame) -> DataFrame:
-        points = nodes.select(*cell, "place", F.col("centroid_row").alias("y"), F.col("centroid_col").alias("x"))
-        boxes = materialise(points.groupBy(*cell).agg(
-            F.min("place").alias("head"), F.min("y").alias("y_lo"), F.max("y").alias("y_hi"),
-            F.min("x").alias("x_lo"), F.max("x").alias("x_hi")), "cells")
-        inside = points.join(boxes, cell).select(*keys, F.col("head").alias("src"), F.col("place").alias("dst"))
-
+    def edges(boxes: DataFrame) -> DataFrame:
         facts = ["head", "y_lo", "y_hi", "x_lo", "x_hi"]
         first = boxes.select(
             *keys, F.inline(offsets), F.col("__r").alias("a_r"), F.col("__c").alias("a_c"),
@@ -74,15 +73,22 @@ def cluster_regions(regions: DataFrame, max_dist: float, keys: list[str] = KEYS)
         theirs = points.join(boxes.select(*cell, F.col("head").alias("b_head")), cell)
         met = ours.join(theirs, cell).filter(reachable("a"))
         dy, dx = F.col("y") - F.col("a_y"), F.col("x") - F.col("a_x")
-        close = met.filter(dy * dy + dx * dx <= limit).select(*keys, "a_head", "b_head")
-        across = pairs.filter("sure").select(*keys, "a_head", "b_head").unionByName(close).distinct()
-        return inside.unionByName(across.select(*keys, F.col("a_head").alias("src"), F.col("b_head").alias("dst")))
+        ends = [*keys, "a_head", "b_head", "a_r", "a_c", "__r", "__c"]
+        close = met.filter(dy * dy + dx * dx <= limit).select(*ends)
+
+        def block(row: str, col: str) -> Column:
+            return F.struct(F.floor(F.col(row) / BLOCK_CELLS).alias("r"), F.floor(F.col(col) / BLOCK_CELLS).alias("c"))
+
+        return pairs.filter("sure").select(*ends).unionByName(close).distinct().select(
+            *keys, F.col("a_head").alias("src"), F.col("b_head").alias("dst"),
+            F.when(block("a_r", "a_c") == block("__r", "__c"), block("a_r", "a_c")).alias("block"))
 
-    merged = connected_components(placed, edges, keys, "place", "__first")
+    merged = blocked_components(cells, edges, keys, "head", "__first").select(*cell, "__first")
     firsts = merged.select(*keys, "__first").distinct()
     # One row per cluster: the number of earlier clusters is its label.
     labels = row_index(firsts, keys, [F.col("__first")], "cluster")
-    return merged.join(labels, [*keys, "__first"]).drop("__first", "__r", "__c")
+    named = merged.join(labels, [*keys, "__first"]).select(*cell, "cluster")
+    return placed.join(named, cell).drop("__r", "__c")
 
 
 def filled_area(labelled: DataFrame, keys: list[str] = KEYS) -> DataFrame:

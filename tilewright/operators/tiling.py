@@ -1,15 +1,20 @@
 """Tile grids inside contours, contour and hole filters, windows and placements.
 
-Candidates of a contour are generated column by column: the strips are spread over the cluster
-before their rows are generated, so one large contour does not end up in one task. The width is
-explicit: strips are small in bytes, and adaptive execution would otherwise pack them together.
+Contour tests work on scan lines (``scanline``): the edges that span a grid row give the tiles of the row
+that pass, as spans of the grid, and only tiles that pass become rows. Holes are cut out of the spans. A
+grid that is wanted whole, or for a test of the caller's own, is generated column by column: the strips
+are spread over the cluster before their rows are generated, so one large contour does not end up in one
+task. The width is explicit: strips are small in bytes, and adaptive execution would otherwise pack them
+together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import IntegralType
 
 from tilewright.functions import geometry as geo, pyramid as pyr
+from tilewright.operators import scanline
 from tilewright.operators.ordering import top_rows
 from tilewright.session import shuffle_width
 
@@ -80,28 +85,97 @@ def tile_grid(bounds: DataFrame, keys: tuple[str, ...] = ("slide_id", "cont_idx"
         "start_x", "stop_x", "step_x", "start_y", "stop_y", "step_y")
 
 
-def in_contour(candidates: DataFrame, test: str | geo.Predicate = "four_pt") -> DataFrame:
-    """Candidates that pass the contour test; rows without a contour pass."""
-    ok = geo.predicate(test)(F.col("ring"), F.col("x"), F.col("y"), F.col("ref_patch"))
-    return candidates.filter(F.col("ring").isNull() | ok)
+def _marks(low: Column, high: Column, hit: Column | int, cut: Column | int) -> Column:
+    """A stretch of grid columns as two marks: what it adds where it begins goes where it ends."""
+    def mark(at: Column, sign: int) -> Column:
+        return F.struct(
+            at.cast("bigint").alias("at"), (sign * F.lit(hit)).cast("int").alias("hit"), (sign * F.lit(cut)).cast("int").alias("cut"))
 
+    return F.inline(F.array(mark(low, 1), mark(high + 1, -1)))
 
-def outside_holes(candidates: DataFrame, holes: DataFrame) -> DataFrame:
-    """Drop candidates whose centre lies strictly inside a hole of their contour.
 
-    The centre may fall between pixels, so both sides are doubled to stay in integers.
+def grid_spans(bounds: DataFrame, test: str | None, holes: DataFrame | None = None) -> DataFrame:
+    """Tiles that pass a named contour test, as spans of grid rows; no test keeps the whole grid.
+
+    ``slide_id, cont_idx, line, start, stop`` and the grid: the tiles at ``start_x + step_x * i`` for ``i``
+    from ``start`` to ``stop`` in the row at ``start_y + step_y * line``.
+    Rows without a contour pass whole. Tiles whose centre lies strictly inside a hole of their contour
+    are cut out; the centre may fall between pixels, so holes are tested at twice the size.
     """
-    doubled = holes.select(
-        F.col("slide_id").alias("__s"), F.col("cont_idx").alias("__c"),
-        geo.edges(geo.scale_points(F.col("points"), F.lit(2), F.lit(2))).alias("__hole"),
-    )
-    cx, cy = F.col("x") * 2 + F.col("ref_patch"), F.col("y") * 2 + F.col("ref_patch")
-    return candidates.join(
-        doubled,
-        (F.col("slide_id") == F.col("__s")) & (F.col("cont_idx") == F.col("__c"))
-        & geo.strictly_inside(F.col("__hole"), cx, cy),
-        "left_anti",
-    )
+    offsets, every = geo.probe_offsets(test, F.col("ref_patch")) if test else (F.array(F.lit(0).cast("bigint")), False)
+
+    def places(axis: str) -> Column:
+        span = F.col(f"stop_{axis}") - F.col(f"start_{axis}")
+        return F.when(span > 0, scanline.ceil_div(span, F.col(f"step_{axis}"))).otherwise(F.lit(0).cast("bigint"))
+
+    grid = bounds.withColumns({
+        "nx": places("x"), "ny": places("y"), "offsets": offsets,
+        "need": (F.size(offsets) * F.size(offsets) if every else F.lit(1)).cast("int")})
+    keys, carry = ["slide_id", "cont_idx", "line"], ["start_x", "step_x", "nx", "start_y", "step_y", "need"]
+
+    def columns(shift: Column, scale: int) -> tuple[Column, Column]:
+        """Grid columns whose probe, ``shift`` from the tile's corner, falls on a run."""
+        first, step = F.col("start_x") * scale + shift, F.col("step_x") * scale
+        return F.greatest(F.lit(0), scanline.ceil_div(F.col("start") - first, step)), F.least(
+            F.col("nx") - 1, scanline.floor_div(F.col("stop") - first, step))
+
+    whole = grid.filter(F.col("points").isNull()) if test else grid
+    rows = whole.withColumn("line", F.explode(steps(F.lit(0).cast("bigint"), F.col("ny"), F.lit(1).cast("bigint"))))
+    marks = rows.filter("nx > 0").select(*keys, *carry, _marks(F.lit(0), F.col("nx") - 1, F.col("need"), 0))
+    if test:
+        probed = grid.filter(F.col("points").isNotNull()).withColumn("dy", F.explode("offsets"))
+        edges = scanline.edge_table(probed, ["slide_id", "cont_idx", "dy", *carry, "ny", "offsets"])
+        crossed = scanline.on_lattice(edges, F.col("start_y") + F.col("dy"), F.col("step_y"), F.col("ny"))
+        runs = scanline.covered(crossed, ["slide_id", "cont_idx", "dy", "line"], [*carry, "offsets"])
+        low, high = columns(F.col("dx"), 1)
+        hits = runs.withColumn("dx", F.explode("offsets")).withColumns({"low": low, "high": high}).filter("low <= high")
+        marks = marks.unionByName(hits.select(*keys, *carry, _marks(F.col("low"), F.col("high"), 1, 0)))
+    if holes is not None:
+        # A hole given twice cuts once; as one polygon its edges would cancel.
+        doubled = holes.select("slide_id", "cont_idx", geo.scale_points(F.col("points"), F.lit(2), F.lit(2)).alias("points"))
+        named = doubled.withColumn("hole", F.xxhash64("points")).dropDuplicates(["slide_id", "cont_idx", "hole"])
+        placed = named.join(grid.select("slide_id", "cont_idx", *carry, "ny", "ref_patch"), ["slide_id", "cont_idx"])
+        edges = scanline.edge_table(placed, ["slide_id", "cont_idx", "hole", *carry, "ny", "ref_patch"])
+        crossed = scanline.on_lattice(edges, F.col("start_y") * 2 + F.col("ref_patch"), F.col("step_y") * 2, F.col("ny"))
+        runs = scanline.covered(crossed, ["slide_id", "cont_idx", "hole", "line"], [*carry, "ref_patch"], strict=True)
+        low, high = columns(F.col("ref_patch"), 2)
+        cuts = runs.withColumns({"low": low, "high": high}).filter("low <= high")
+        marks = marks.unionByName(cuts.select(*keys, *carry, _marks(F.col("low"), F.col("high"), 0, 1)))
+    passes = (F.col("hit") >= F.col("need")) & (F.col("cut") == 0)
+    return scanline.stretches(marks, keys, ["hit", "cut"], passes, carry).drop("need")
+
+
+def span_tiles(spans: DataFrame) -> DataFrame:
+    """``slide_id, cont_idx, x, y`` of every tile of the spans."""
+    return spans.select(
+        "slide_id", "cont_idx", "start_x", "step_x", (F.col("start_y") + F.col("line") * F.col("step_y")).alias("y"),
+        F.explode(F.sequence("start", "stop")).alias("i"),
+    ).select("slide_id", "cont_idx", (F.col("start_x") + F.col("i") * F.col("step_x")).alias("x"), "y")
+
+
+def drop_sparse_spans(spans: DataFrame) -> DataFrame:
+    """Contours with a single tile lose it. A contour has a few spans per grid row, so a plain window is enough."""
+    tiles = F.sum(F.col("stop") - F.col("start") + 1).over(W.partitionBy("slide_id", "cont_idx"))
+    return spans.withColumn("__n", tiles).filter(F.col("__n") > 1).drop("__n")
+
+
+def in_contour(candidates: DataFrame, test: geo.Predicate) -> DataFrame:
+    """Candidates that pass a test of the caller's own; rows without a contour pass.
+
+    The ring rides in every candidate here, since the test is handed it; named tests go by ``grid_spans``.
+    """
+    ok = geo.predicate(test)(F.col("ring"), F.col("x"), F.col("y"), F.col("ref_patch"))
+    return candidates.filter(F.col("ring").isNull() | ok)
+
+
+def outside_holes(candidates: DataFrame, bounds: DataFrame, holes: DataFrame) -> DataFrame:
+    """Candidates on the grid of ``bounds`` whose centre does not lie strictly inside a hole of their contour."""
+    open_ = grid_spans(bounds, None, holes).select(
+        "slide_id", "cont_idx", (F.col("start_y") + F.col("line") * F.col("step_y")).alias("y"),
+        (F.col("start_x") + F.col("start") * F.col("step_x")).alias("__from"),
+        (F.col("start_x") + F.col("stop") * F.col("step_x")).alias("__to"))
+    return candidates.join(open_, ["slide_id", "cont_idx", "y"]).filter(F.col("x").between(F.col("__from"), F.col("__to"))).select(
+        *candidates.columns)
 
 
 def drop_sparse(tiles: DataFrame, keys: tuple[str, ...] = ("slide_id", "cont_idx")) -> DataFrame:
@@ -121,10 +195,12 @@ def tile_slides(
     **bounds: object,
 ) -> DataFrame:
     """``slide_id, cont_idx, x, y`` of every kept tile. Holes are only tested when they are given."""
-    grid = tile_grid(grid_bounds(contours, pyramid, patch_size, step_size, patch_level, **bounds))
-    kept = in_contour(grid, test)
+    limits = grid_bounds(contours, pyramid, patch_size, step_size, patch_level, **bounds)
+    if not callable(test):
+        return span_tiles(drop_sparse_spans(grid_spans(limits, test, holes)))
+    kept = in_contour(tile_grid(limits), test)
     if holes is not None:
-        kept = outside_holes(kept, holes)
+        kept = outside_holes(kept, limits, holes)
     return drop_sparse(kept.select("slide_id", "cont_idx", "x", "y"))
 
 
@@ -222,33 +298,32 @@ def corner_points(tiles: DataFrame, mode: str, keys: list[str]) -> DataFrame:
         "slide_id", *keys, "corner", "p.px", "p.py")
 
 
-def filter_tiles(
-    tiles: DataFrame, polygons: DataFrame, mode: str = "center", keys: list[str] | None = None, cell: int = 1024
-) -> DataFrame:
+def filter_tiles(tiles: DataFrame, polygons: DataFrame, mode: str = "center", keys: list[str] | None = None) -> DataFrame:
     """Tiles whose tested points lie strictly inside the polygons of their slide.
 
-    Points meet only the polygons whose bounding box touches their grid cell.
+    The rows that hold points are cut through the polygons once, into runs; a point then meets the runs
+    of its row. Whole coordinates are tested at twice the size, so half pixels are exact; fractions are
+    taken to a 1024th of a pixel. A polygon given twice counts once.
     """
     keys = keys or ["tile_id"]
+    pair = polygons.schema["points"].dataType.elementType
+    whole = all(isinstance(f.dataType, IntegralType) for f in pair)
+    scale = 2 if whole else 1024
     points = corner_points(tiles, mode, keys).withColumns({
-        "__cx": F.floor(F.col("px") / cell), "__cy": F.floor(F.col("py") / cell)})
-    rect = geo.bounding_rect(F.col("points"))
-
-    def cells(origin: str, extent: str) -> Column:
-        lo = F.floor(rect[origin] / cell)
-        return F.explode(F.sequence(lo, F.floor((rect[origin] + rect[extent]) / cell)))
-
-    spread = polygons.select("slide_id", "points", rect.alias("__r"), cells("x", "w").alias("__cx")).select(
-        "slide_id", geo.edges(F.col("points")).alias("ring"), "__r.x", "__r.y", "__r.w", "__r.h", "__cx",
-        cells("y", "h").alias("__cy"))
-    # Plain comparisons with the bounding box come first and settle most points.
-    boxed = F.col("px").between(F.col("x"), F.col("x") + F.col("w")) & F.col("py").between(F.col("y"), F.col("y") + F.col("h"))
-    hits = points.join(spread, ["slide_id", "__cx", "__cy"]).filter(
-        boxed & geo.strictly_inside(F.col("ring"), F.col("px"), F.col("py")))
-    found = hits.groupBy("slide_id", *keys).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("corner"))).alias("__bits"))
-    need = 15 if mode == "all" else 0
-    good = found.filter(F.col("__bits") == need) if need else found
-    return tiles.join(good.select("slide_id", *keys), ["slide_id", *keys], "left_semi")
+        "row": F.round(F.col("py") * scale).cast("bigint"), "col": F.round(F.col("px") * scale).cast("bigint")})
+    scaled = F.transform("points", lambda p: F.struct(
+        F.round(p["x"] * scale).cast("bigint").alias("x"), F.round(p["y"] * scale).cast("bigint").alias("y")))
+    named = polygons.select("slide_id", scaled.alias("points")).withColumn("ring", F.xxhash64("points"))
+    edges = scanline.edge_table(named.dropDuplicates(["slide_id", "ring"]), ["slide_id", "ring"])
+    crossed = scanline.at_rows(edges, points.select("slide_id", "row").distinct(), ["slide_id"], scanline.BAND * scale)
+    runs = scanline.joined(scanline.covered(crossed, ["slide_id", "ring", "row"], strict=True), ["slide_id", "row"])
+    runs = runs.withColumnsRenamed({"slide_id": "__s", "row": "__row"})
+    met = (F.col("slide_id") == F.col("__s")) & (F.col("row") == F.col("__row")) & F.col("col").between(F.col("start"), F.col("stop"))
+    inside = points.join(runs, met, "left_semi")
+    if mode in ("any", "all"):
+        found = inside.groupBy("slide_id", *keys).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("corner"))).alias("__bits"))
+        inside = found.filter(F.col("__bits") == 15) if mode == "all" else found
+    return tiles.join(inside.select("slide_id", *keys), ["slide_id", *keys], "left_semi")
 
 
 def coord_product(df: DataFrame, x: tuple[Column, Column, Column], y: tuple[Column, Column, Column]) -> DataFrame:
@@ -288,18 +363,11 @@ def random_offset(key: Column, low: Column, high: Column, seed: int, axis: int)
     return low + drawn % (high - low)
 
 
-def polygon_pixels(polygons: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixels covered by each polygon, edge included."""
-    rect = geo.bounding_rect(F.col("points"))
-    strips = polygons.select(*keys, geo.edges(F.col("points")).alias("ring"), rect.alias("__r")).withColumn(
-        "row", F.explode(F.sequence(F.col("__r.y"), F.col("__r.y") + F.col("__r.h") - 1)))
-    full = strips.repartition(shuffle_width(polygons.sparkSession), *keys, "row").withColumn(
-        "col", F.explode(F.sequence(F.col("__r.x"), F.col("__r.x") + F.col("__r.w") - 1)))
-    return full.filter(geo.inside_or_edge(F.col("ring"), F.col("col"), F.col("row"))).select(*keys, "row", "col")
-
-
 def raster(contours: DataFrame, holes: DataFrame | None = None) -> DataFrame:
-    """Mask pixels: contours are filled from the largest on, each then loses its holes."""
+    """The mask as runs: contours are filled from the largest on, each then loses its holes.
+
+    ``slide_id, row, start, stop``, disjoint; runs may touch.
+    """
     ranked = geo.sort_by_area(contours, ["slide_id"])
     fills = ranked.select(
         "slide_id", (F.col("cont_rank") * 2).alias("seq"), F.lit(0).cast("bigint").alias("part"), "points")
@@ -307,15 +375,15 @@ def raster(contours: DataFrame, holes: DataFrame | None = None) -> DataFrame:
         cut = holes.join(ranked.select("slide_id", "cont_idx", "cont_rank"), ["slide_id", "cont_idx"])
         fills = fills.unionByName(cut.select(
             "slide_id", (F.col("cont_rank") * 2 + 1).alias("seq"), F.col("hole_idx").alias("part"), "points"))
-    pixels = polygon_pixels(fills, ["slide_id", "seq", "part"])
+    runs = scanline.fill(fills, ["slide_id", "seq", "part"])
     # The last step that touches a pixel decides: even steps fill, odd steps clear.
-    last = pixels.groupBy("slide_id", "row", "col").agg(F.max("seq").alias("seq"))
-    return last.filter(F.col("seq") % 2 == 0).select("slide_id", "row", "col")
+    last = scanline.topmost(runs.drop("part"), ["slide_id", "row"], "seq")
+    return last.filter(F.col("seq") % 2 == 0).select("slide_id", "row", "start", "stop")
 
 
 def tissue_fraction(mask: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Share of the region that is tissue, zero where nothing was found."""
-    counted = mask.groupBy("slide_id").agg(F.count(F.lit(1)).alias("pixels"))
+    """Share of the region that is tissue, zero where nothing was found; ``mask`` holds disjoint runs."""
+    counted = mask.groupBy("slide_id").agg(F.sum(F.col("stop") - F.col("start") + 1).alias("pixels"))
     return sizes.join(counted, "slide_id", "left").select(
         "slide_id", F.coalesce(F.col("pixels"), F.lit(0)).alias("pixels"),
         (F.coalesce(F.col("pixels"), F.lit(0)) / (F.col("width") * F.col("height"))).alias("fraction"))

@@ -87,14 +87,10 @@ def tested(mode: str) -> dict[str, str]:
     }
 
 
-def candidates_in(spark: SparkSession, sf: str, mode: object) -> DataFrame:
-    return tiling.in_contour(tiling.tile_grid(bounds(spark, sf)), mode)
-
-
 def _contour_test(name: str, mode: str):
     @query(name, sql("select * from kept", "edges", extra=tested(mode)))
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return candidates_in(spark, sf, mode).select("slide_id", "cont_idx", "x", "y")
+        return tiling.span_tiles(tiling.grid_spans(bounds(spark, sf), mode))
 
     return run
 
@@ -113,7 +109,7 @@ def u3(spark: SparkSession, sf: str) -> DataFrame:
         hits = [geo.inside_or_edge(ring, x + a * s, y + b * s).cast("int") for a in (1, 3) for b in (1, 3)]
         return sum(hits[1:], hits[0]) >= 3
 
-    return candidates_in(spark, sf, most_points).select("slide_id", "cont_idx", "x", "y")
+    return tiling.in_contour(tiling.tile_grid(bounds(spark, sf)), most_points).select("slide_id", "cont_idx", "x", "y")
 
 
 HOLE_TEST = {
@@ -127,16 +123,15 @@ HOLE_TEST = {
 
 @query("g5_hole_exclusion", sql("select * from outside", "edges", "hole_edges", extra=HOLE_TEST))
 def g5(spark: SparkSession, sf: str) -> DataFrame:
-    kept = tiling.outside_holes(candidates_in(spark, sf, "center"), proxies.holes(spark, sf))
-    return kept.select("slide_id", "cont_idx", "x", "y")
+    return tiling.span_tiles(tiling.grid_spans(bounds(spark, sf), "center", proxies.holes(spark, sf)))
 
 
 @query("g6_drop_sparse", sql("""
 select slide_id, cont_idx, x, y from (select *, count(*) over (partition by slide_id, cont_idx) as n from (
   select slide_id, cont_idx, x, y from bbox, lateral (select unnest(range(bx, bx+bw, 2500)) as x), lateral (select unnest(range(oy, oy+bh, 2500)) as y))) where n > 1""", "cont", extra=BASE))
 def g6(spark: SparkSession, sf: str) -> DataFrame:
-    coarse = tiling.tile_grid(tiling.grid_bounds(proxies.contours(spark, sf), proxies.pyramid(spark, sf), PATCH, 2500))
-    return tiling.drop_sparse(coarse.select("slide_id", "cont_idx", "x", "y"))
+    coarse = tiling.grid_bounds(proxies.contours(spark, sf), proxies.pyramid(spark, sf), PATCH, 2500)
+    return tiling.span_tiles(tiling.drop_sparse_spans(tiling.grid_spans(coarse, None)))
 
 
 AREAS = "select slide_id, cont_idx, abs(sum(x1*y2 - x2*y1)) / 2.0::double as area from edges group by all"
@@ -375,7 +370,9 @@ def g26(spark: SparkSession, sf: str) -> DataFrame:
 
     mask = tiling.raster(small(proxies.contours(spark, sf)), small(proxies.holes(spark, sf)))
     sizes = proxies.slides(spark, sf).select("slide_id", F.lit(250).alias("width"), F.lit(200).alias("height"))
-    sums = mask.groupBy("slide_id").agg(F.sum("row").alias("rows_sum"), F.sum("col").alias("cols_sum"))
+    n = F.col("stop") - F.col("start") + 1
+    sums = mask.groupBy("slide_id").agg(
+        F.sum(F.col("row") * n).alias("rows_sum"), F.sum((F.col("start") + F.col("stop")) * n / 2).cast("bigint").alias("cols_sum"))
     return tiling.tissue_fraction(mask, sizes).join(sums, "slide_id", "left").select(
         "slide_id", "pixels", F.coalesce("rows_sum", F.lit(0)).alias("rows_sum"),
         F.coalesce("cols_sum", F.lit(0)).alias("cols_sum"), F.round("fraction", 9).alias("fraction"))
