@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by a robust-pruned directed graph per shard.
 
 Distinct vectors are dealt by hash into shards. In a shard, vectors are put in batch by batch: a greedy
-search from the entry point proposes neighbours, relaxed distance pruning keeps a few that lie in
+search from a few entry points proposes neighbours, relaxed distance pruning keeps a few that lie in
 different directions, and edges back are pruned the same way. The graphs are stored as rows. Queries go
 in blocks to every shard of their length, where a beam search walks the graph; what it finds is scored on
 the original vectors in double precision, and the best over all shards stay.
@@ -20,8 +20,8 @@ from tilewright.session import materialise
 SHARD, QUERIES, VALUES = 4096, 2048, 4_000_000
 #: Edges of a node, nodes that a search keeps, and how much farther a pruned edge may lead.
 DEGREE, BEAM, RELAX = 32, 96, 1.2
-#: Nodes that a search expands in one step.
-_STEP = 4
+#: Nodes where a search begins, far from each other, and nodes that it expands in one step.
+ENTRIES, _STEP = 48, 4
 
 
 def _batch(unit: np.ndarray) -> int:
@@ -42,22 +42,26 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows at length one; scaled by their largest entry first, so squares neither vanish nor overflow."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
 
 
-def beam_search(unit: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``beam`` nearest nodes met by each query, nearest first, and their squared distances.
+def beam_search(
+    unit: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``beam`` nearest nodes met by each query, nearest first, their squared distances, and the way there.
 
     All queries walk in step: each expands its nearest unexpanded nodes, whose unseen neighbours are
-    measured and merged, until a beam holds expanded nodes only. Missing places are -1 at infinity.
+    measured and merged, until a beam holds expanded nodes only. The way are the nodes expanded that were
+    pushed out of the beam later. Missing places are -1 at infinity.
     """
     n, m = len(unit), len(queries)
     found = np.full((m, beam), -1, dtype=np.int32)
-    away = np.full((m, beam), np.inf, dtype=np.float32)
+    away = np.full((m, beam), np.inf, dtype=np.float64)
     opened = np.zeros((m, beam), dtype=bool)
     seen = np.zeros((m, n), dtype=bool)
     fresh = np.broadcast_to(entry.astype(np.int32), (m, len(entry)))
     live = np.arange(m)
+    way: list[tuple[np.ndarray, np.ndarray]] = []
     while len(live):
         # Measure what is new; of repeats in a row only the first counts.
         row, column = np.nonzero(fresh >= 0)
@@ -68,12 +72,16 @@ def beam_search(unit: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries:
             _, first = np.unique(row.astype(np.int64) * n + node, return_index=True)
             row, column, node = row[first], column[first], node[first]
         seen[live[row], node] = True
-        d = np.full(fresh.shape, np.inf, dtype=np.float32)
-        d[row, column] = 2.0 - 2.0 * np.einsum("ij,ij->i", queries[live[row]], unit[node])
+        d = np.full(fresh.shape, np.inf, dtype=np.float64)
+        apart = queries[live[row]] - unit[node]  # differences keep near copies apart where products would not
+        d[row, column] = np.einsum("ij,ij->i", apart, apart)
         names = np.where(np.isfinite(d), fresh, -1)
         names, d = np.hstack([found[live], names]), np.hstack([away[live], d])
         done = np.hstack([opened[live], np.zeros(fresh.shape, dtype=bool)])
-        best = np.argsort(d, axis=1, kind="stable")[:, :beam]
+        order = np.argsort(d, axis=1, kind="stable")
+        best, rest = order[:, :beam], order[:, beam:]
+        out, place = np.nonzero(np.take_along_axis(done, rest, 1))
+        way.append((live[out], names[out, rest[out, place]]))
         found[live], away[live] = np.take_along_axis(names, best, 1), np.take_along_axis(d, best, 1)
         opened[live] = np.take_along_axis(done, best, 1)
         # The nearest unexpanded nodes of each beam.
@@ -88,7 +96,32 @@ def beam_search(unit: np.ndarray, edges: np.ndarray, entry: np.ndarray, queries:
         at, place = np.nonzero(valid)
         opened[live[at], turn[at, place]] = True
         fresh = np.where(nodes[:, :, None] >= 0, edges[nodes], -1).reshape(len(live), -1)
-    return found, away
+    return found, away, _rows(np.concatenate([q for q, _ in way]), np.concatenate([x for _, x in way]), m)
+
+
+def _rows(row: np.ndarray, value: np.ndarray, count: int) -> np.ndarray:
+    """Values by their row, as a matrix padded with -1."""
+    by = np.argsort(row, kind="stable")
+    row, value = row[by], value[by]
+    many = np.bincount(row, minlength=count)
+    out = np.full((count, int(many.max(initial=0))), -1, dtype=np.int32)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)] = value
+    return out
+
+
+def _distances(unit: np.ndarray, owners: np.ndarray, names: np.ndarray) -> np.ndarray:
+    apart = unit[np.maximum(names, 0)] - unit[owners][:, None, :]
+    return np.einsum("ikj,ikj->ik", apart, apart)
+
+
+def entry_points(unit: np.ndarray, count: int) -> np.ndarray:
+    """The node nearest to the mean, then each time the one farthest from those taken."""
+    taken = [int(np.argmax(unit @ unit.mean(axis=0)))]
+    nearest = unit @ unit[taken[0]]
+    while len(taken) < min(count, len(unit)):
+        taken.append(int(np.argmin(nearest)))
+        nearest = np.maximum(nearest, unit @ unit[taken[-1]])
+    return np.unique(np.array(taken, dtype=np.int32))
 
 
 def robust_prune(unit: np.ndarray, owners: np.ndarray, names: np.ndarray, away: np.ndarray, degree: int, relax: float) -> np.ndarray:
@@ -107,8 +140,9 @@ def robust_prune(unit: np.ndarray, owners: np.ndarray, names: np.ndarray, away:
     np.put_along_axis(twice, by_name[:, 1:], sorted_names[:, 1:] == sorted_names[:, :-1], 1)
     alive = np.isfinite(away) & ~twice
     usable = alive.copy()
-    vectors = unit[np.maximum(names, 0)]
-    between = 2.0 - 2.0 * np.matmul(vectors, vectors.transpose(0, 2, 1))
+    vectors = unit[np.maximum(names, 0)] - unit[owners][:, None, :]
+    square = np.einsum("ikj,ikj->ik", vectors, vectors)
+    between = square[:, :, None] + square[:, None, :] - 2.0 * np.matmul(vectors, vectors.transpose(0, 2, 1))
     covered = relax * relax * between <= away[:, None, :]
     kept = np.zeros(names.shape, dtype=bool)
     rows = np.arange(len(names))
@@ -129,14 +163,15 @@ def build_graph(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax:
     """Edges of every node (-1 where there is none) and the entry points."""
     n = len(unit)
     edges = np.full((n, degree), -1, dtype=np.int32)
-    middle = int(np.argmax(unit @ unit.mean(axis=0)))
-    entry = np.array([middle], dtype=np.int32)
-    order = np.concatenate([[middle], np.setdiff1d(np.arange(n), [middle])]).astype(np.int32)
-    at, size = 1, 1
+    entry = entry_points(unit, ENTRIES)
+    order = np.concatenate([entry, np.setdiff1d(np.arange(n), entry)]).astype(np.int32)
+    at, size = len(entry), len(entry)
+    edges[entry] = robust_prune(unit, entry, *_all(unit, entry), degree, relax)
     while at < n:
         batch = order[at:at + size]
         at, size = at + len(batch), min(2 * size, _batch(unit))
-        names, away = beam_search(unit, edges, entry, unit[batch], beam)
+        names, away, way = beam_search(unit, edges, entry, unit[batch], beam)
+        names, away = np.hstack([names, way]), np.hstack([away, _distances(unit, batch, way)])
         edges[batch] = robust_prune(unit, batch, names, away, degree, relax)
         # Edges back: what a node gets from the batch joins its own edges, and all are pruned.
         source = np.repeat(batch, degree)
@@ -150,11 +185,16 @@ def build_graph(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax:
             place = np.arange(many.max())[None, :]
             got = np.where(place < many[:, None], source[np.minimum(begin[:, None] + place, len(source) - 1)], -1)
             names = np.hstack([edges[mine], got])
-            d = 2.0 - 2.0 * np.einsum("ij,ikj->ik", unit[mine], unit[np.maximum(names, 0)])
-            edges[mine] = robust_prune(unit, mine, names, d, degree, relax)
+            edges[mine] = robust_prune(unit, mine, names, _distances(unit, mine, names), degree, relax)
     return edges, entry
 
 
+def _all(unit: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node as a candidate of every other."""
+    names = np.broadcast_to(nodes, (len(nodes), len(nodes)))
+    return names, _distances(unit, nodes, names)
+
+
 def _blocks(rows: DataFrame, size: int) -> int:
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("dim").alias("values")).first()
     return max(1, -(-seen.n // size), -(-(seen.values or 0) // VALUES))
@@ -221,7 +261,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> Da
             names, keys = block.column("id").to_pylist(), block.column("key").to_pylist()
             step = _batch(unit)
             for at in range(0, len(q), step):
-                found, _ = beam_search(unit, edges, entry, _unit(q[at:at + step]), beam)
+                found, *_ = beam_search(unit, edges, entry, _unit(q[at:at + step]), beam)
                 for i, nodes in enumerate(found, at):
                     nodes = nodes[nodes >= 0]
                     near = sorted(

@@ -204,8 +204,8 @@ def hard_negatives(
     anchor = ["dim", "anchor", "anchor_key"]
     chosen = materialise(top_rows(found, anchor, [F.col("score").desc(), F.col("id"), F.col("row_key")], positives, "place"), "negative-positives")
     asked = chosen.groupBy(*anchor).agg(F.collect_list(F.struct("score", "place", "id")).alias("asked"))  # ``positives`` at most
-    led = left.join(asked, (left.dim == asked.dim) & (F.col("id") == F.col("anchor")) & (F.col("row_key") == F.col("anchor_key"))).select(
-        *[left[c] for c in left.columns], "asked")
+    led = left.join(asked.withColumnsRenamed({"anchor": "id", "anchor_key": "row_key"}), ["dim", "id", "row_key"])
+    led = led.select(*[F.col(c).alias(c) for c in led.columns])  # else both sides of the cogroup name the same columns
 
     pairs = pa.schema([
         ("anchor", pa.int64()), ("anchor_key", pa.int64()), ("place", pa.int64()), ("positive", pa.int64()), ("positive_score", _NUMBER),
