@@ -117,3 +117,115 @@ def test_vectors_with_nan_are_no_neighbours(spark):
     for k in (5, 16, 17):
         found = embeddings.cosine_neighbours(frame, k).collect()
         assert len(found) == 40 * k and all(r.tile_id % 9 and r.neighbour % 9 for r in found)
+
+
+def test_heat_grid_of_many_overlaps(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(int(rnd.integers(0, 2)), int(rnd.integers(0, 60)), int(rnd.integers(0, 60)), float(rnd.random())) for _ in range(500)]
+    tiles = spark.createDataFrame(rows, "slide_id int, x_min bigint, y_min bigint, score double")
+    sizes = spark.createDataFrame([(s, 4.0, 4.0, 14, 12) for s in (0, 1)], "slide_id int, dx double, dy double, width bigint, height bigint")
+    want: dict = {}
+    for s, x, y, v in rows:
+        for cx in range(-(-x // 4), min(-(-x // 4) + 4, 14)):
+            for cy in range(-(-y // 4), min(-(-y // 4) + 4, 12)):
+                want.setdefault((s, cx, cy), []).append(v / 100)
+    got = {(r.slide_id, r.cell_x, r.cell_y): r.value for r in heatmap.heat_grid(tiles, sizes, 16).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - np.mean(v)) < 1e-15 for k, v in want.items())
+
+
+def test_a_copied_file_counts_once_and_a_broken_batch_is_repeated(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    tiles = spark.range(300).select(
+        (F.col("id") % 7).alias("slide_id"), F.lit("m").alias("model_ver"), F.col("id").alias("tile_id"), (F.col("id") / 300.0).alias("p"))
+
+    def drain():
+        stream = triage_stream.prediction_stream(spark, folder, tiles.schema, max_files=1)
+        running = triage_stream.running_triage(stream, "p", 0.5, 3, 20, once=("tile_id",))
+        triage_stream.start_upserts(running, out, state, available_now=True).awaitTermination()
+
+    tiles.repartition(2).write.mode("append").parquet(folder)
+    drain()
+    tiles.filter("p < 0.6").coalesce(1).write.mode("append").parquet(folder)  # the same tiles under another name
+    drain()
+    wanted = {r.slide_id: r.positive_tiles for r in triage.positive_tiles(tiles, "p", 0.5).collect()}
+    assert {r.slide_id: r.positive_tiles for r in triage_stream.current_results(spark, out).collect()} == wanted
+    newest, place = triage_stream._pointers(spark, out)[0]
+    batch = triage_stream.current_results(spark, out).limit(0)
+    torn = spark.createDataFrame([(99, "m", 1, 1, 1)], batch.schema)
+    torn.write.mode("overwrite").parquet(f"{out}/table_{1 - place}")  # a batch that broke off before its pointer
+    assert {r.slide_id for r in triage_stream.current_results(spark, out).collect()} == set(wanted)
+    for _ in range(2):  # its repetition, and once more
+        triage_stream.merge_batch(spark.createDataFrame([(3, "m", 9, 8, 2)], batch.schema), newest + 1, out)
+    got = {r.slide_id: r.positive_tiles for r in triage_stream.current_results(spark, out).collect()}
+    assert got == {**wanted, 3: 8}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["pointer_0", "pointer_1", "table_0", "table_1"]
+
+
+def _vectors(spark, n=3000, dim=32):
+    rnd = np.random.default_rng(5)
+    centres = rnd.standard_normal((40, dim))
+    x = centres[rnd.integers(0, 40, n)] + 0.6 * rnd.standard_normal((n, dim))
+    x[:300] = x[0]  # copies
+    return x, spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "tile_id long, study int, features array<double>")
+
+
+def test_neighbours_within_a_study(spark):
+    x, frame = _vectors(spark, 600)
+    found = embeddings.cosine_neighbours(frame, 4, block_rows=150, keys=["study"]).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for r in found[:400]:
+        assert r.tile_id % 2 == r.neighbour % 2 and abs(r.similarity - u[r.tile_id] @ u[r.neighbour]) < 1e-12
+    sims = u @ u.T
+    sims[np.arange(600)[:, None] % 2 != np.arange(600) % 2] = -2
+    np.fill_diagonal(sims, -2)
+    best = np.sort(sims, axis=1)[:, ::-1][:, :4]
+    assert all(abs(r.similarity - best[r.tile_id, r.rank - 1]) < 1e-12 for r in found) and len(found) == 2400
+
+
+def test_approximate_neighbours_have_recall(spark):
+    x, frame = _vectors(spark)
+    for keys in (None, ["study"]):
+        exact = {(r.tile_id, r.rank): r.similarity for r in embeddings.cosine_neighbours(frame, 5, keys=keys).collect()}
+        found = embeddings.approximate_neighbours(frame, 5, keys=keys, block_rows=400).collect()
+        assert len(found) == len(exact) and len({(r.tile_id, r.neighbour) for r in found}) == len(found)
+        hits = [r.similarity >= exact[r.tile_id, 5] - 1e-12 for r in found]
+        assert np.mean(hits) >= 0.95
+
+
+def test_ranges_are_stored_and_nothing_is_cached(spark):
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    rows = spark.range(1000).select((F.col("id") % 3).alias("slide_id"), F.col("id").alias("tile_id"), (F.col("id") % 17).cast("double").alias("score"))
+    sampling.percentiles(rows).count()
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_one_scan_gives_the_tables_of_an_evaluation(spark):
+    from tilewright.operators import evaluation
+    from tilewright.plans import workflows
+
+    rnd = np.random.default_rng(9)
+    rows = [(int(rnd.integers(0, 3)), int(rnd.integers(0, 4)), np.round(rnd.dirichlet(np.ones(4)), 2).tolist()) for _ in range(300)] + [(1, 1, None), (None, 2, [0.1, 0.2, 0.3, 0.4])]
+    frame = spark.createDataFrame(rows, "y int, y_hat int, p array<double>")
+    got = workflows.evaluate_run(frame, 4)
+    plain = frame.filter("p is not null")
+    want = {r.class_idx: r.auc for r in evaluation.one_vs_rest_auc(plain, label="y").collect()}
+    assert {r.class_idx: r.auc for r in got["class_auc"].collect()} == want
+    assert got["micro_auc"].first().auc == evaluation.micro_auc(plain, label="y").first().auc
+    assert abs(got["macro_auc"].first().auc - evaluation.macro_auc(plain, label="y").first().auc) < 1e-12
+    columns = ["y", "count", "correct", "accuracy"]
+    assert sorted(map(tuple, got["class_accuracy"].select(*columns).collect())) == sorted(
+        map(tuple, evaluation.class_accuracy(frame.filter("y is not null"), 4).select(*columns).collect()))
+    assert abs(got["error"].first().error - (1 - sum(a == b for a, b, _ in rows) / len(rows))) < 1e-12
+
+
+def test_threshold_study_from_files(spark):
+    from tilewright.plans import workflows
+
+    rnd = np.random.default_rng(2)
+    truth = [("A1", "Y"), ("A2", "N"), ("A3", "WT"), ("A4", "EQV"), ("A5", "?"), ("zz", "Y")]
+    tiles = [(f"{s}-scan.csv", float(x)) for s, c in truth[:5] for x in rnd.random(20) * (0.99 if c in ("Y", "WT") else 0.5)]
+    out = workflows.threshold_study(
+        spark.createDataFrame(tiles, "file_name string, p double"), spark.createDataFrame(truth, "sample_id string, code string"),
+        "p", {"N": 0, "EQV": 0, "WT": 1, "Y": 1}, grid=[0.2, 0.5, 0.6])
+    rates = {r.threshold: (r.tp, r.fp, r.fn, r.tn) for r in out["rates"].collect()}
+    assert rates[0.2] == (2, 2, 0, 0) and rates[0.5] == rates[0.6] == (2, 0, 0, 2)

@@ -161,3 +161,75 @@ def test_small_scores_have_no_exponent(spark):
     rows = spark.createDataFrame([(0.0001,), (0.00012,), (0.5,), (1.0,), (1e-9,)], "x double")
     got = [r[0] for r in rows.select(annotations.plain_number(F.col("x"))).collect()]
     assert got == ["0.0001", "0.00012", "0.5", "1.0", "0.000000001"]
+
+
+def _study(spark):
+    tiles = spark.createDataFrame(
+        [(s, s * 100 + i, i * 8, 0, [float(i), float(s)]) for s in (1, 2, 3) for i in range(6)],
+        "slide_id int, tile_id int, x bigint, y bigint, features array<double>")
+    sets = spark.createDataFrame([(s, 8) for s in (1, 2, 3)], "slide_id int, patch_size int")
+    slides = spark.createDataFrame([(s, f"{s} P {s}.ndpi") for s in (1, 2, 3, 4)], "slide_id int, slide_name string")
+    return tiles, sets, slides
+
+
+def test_a_scoring_run_resumes_and_then_does_nothing(spark, tmp_path):
+    from tilewright.sources import ledger
+
+    tiles, sets, slides = _study(spark)
+    store, book = str(tmp_path / "store"), str(tmp_path / "ledger")
+
+    def factory():
+        return lambda x: np.stack([x[:, 0] * 4, *[x[:, 0] * 0] * 2], axis=1)
+
+    from tilewright import config
+
+    def head():
+        n = len(config.settings("p53")["classes"])
+        return lambda x: np.stack([x[:, 0] * 4, *[x[:, 0] * 0] * (n - 1)], axis=1)
+
+    def broken():
+        def fail(x):
+            raise ValueError("no model")
+        return fail
+
+    with pytest.raises(Exception):
+        workflows.score_run(tiles, sets, slides, broken, "p53", "v1", store, book)
+    assert ledger.latest(spark, book, "score p53 v1").count() == 0
+    first = workflows.score_run(tiles, sets, slides.filter("slide_id < 3"), head, "p53", "v1", store, book)
+    one = sorted(map(str, first.collect()))
+    stored = tables.read_predictions(spark, store).count()
+    assert stored == 12 and {r.slide_id: r.status for r in ledger.latest(spark, book, "score p53 v1").collect()} == {"1": "processed", "2": "processed"}
+    again = workflows.score_run(tiles, sets, slides.filter("slide_id < 3"), broken, "p53", "v1", store, book)  # nothing is scored
+    assert sorted(map(str, again.collect())) == one
+    workflows.score_run(tiles, sets, slides, head, "p53", "v1", store, book).collect()
+    assert tables.read_predictions(spark, store).count() == 18
+    book_now = {r.slide_id: (r.status, r.attempt) for r in ledger.latest(spark, book, "score p53 v1").collect()}
+    assert book_now == {"1": ("processed", 1), "2": ("processed", 1), "3": ("processed", 1), "4": ("no_output", 1)}
+    # stored but not entered, as when a run breaks off in between
+    lost = str(tmp_path / "other-ledger")
+    workflows.score_run(tiles, sets, slides, head, "p53", "v1", store, lost).collect()
+    assert tables.read_predictions(spark, store).count() == 18 and ledger.latest(spark, lost, "score p53 v1").count() == 4
+
+
+def test_a_tiling_run_skips_what_is_done(spark, tmp_path):
+    store, book = str(tmp_path / "coords"), str(tmp_path / "ledger")
+    point = "array<struct<x: bigint, y: bigint>>"
+    contours = spark.createDataFrame([(s, 0, [(0, 0), (30, 0), (30, 30), (0, 30)]) for s in (1, 2)], f"slide_id int, cont_idx bigint, points {point}")
+    pyramid = spark.createDataFrame([(s, [(100, 100, 1.0)]) for s in (1, 2, 3)], "slide_id int, levels array<struct<w: bigint, h: bigint, downsample: double>>")
+    slides = spark.createDataFrame([(1,), (2,), (3,)], "slide_id int")
+    for only, statuses in (("slide_id = 1", ["tbp"]), ("slide_id > 0", ["already_exist", "tbp", "tbp"]), ("slide_id > 0", ["already_exist"] * 3)):
+        listing = workflows.tile_run(contours, pyramid, slides.filter(only), store, book, 8, 8, test="basic")
+        assert [r.status for r in listing.orderBy("slide_id").collect()] == statuses
+    tiles = tables.read_coords(spark, store)
+    assert {(r.slide_id, r["count"]) for r in tiles.groupBy("slide_id").count().collect()} == {(1, 16), (2, 16)}
+
+
+def test_stores_read_only_the_folders_they_write_to(spark, tmp_path):
+    path = str(tmp_path / "bag")
+    rows = spark.createDataFrame([(i % 40, i, 0, bytearray(b"x")) for i in range(400)] + [(None, 1, 1, bytearray(b"y"))], "slide_id int, x int, y int, img binary")
+    for _ in range(2):
+        tables.append_bag(rows, path)
+    assert spark.read.parquet(path).count() == 401  # a null id is stored once
+    new = tables.bucketed(rows.filter("slide_id = 7"))
+    plan = tables.not_stored(new, path, ["slide_id", "x", "y"], folders=[tables.BUCKET])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [slide_bucket" in plan.replace("isnotnull(slide_bucket", "slide_bucket") or "PartitionFilters: [(slide_bucket" in plan

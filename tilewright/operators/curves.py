@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tilewright.operators.ordering import running_totals
 
 
-def _group_totals(points: DataFrame, keys: list[str]) -> DataFrame:
-    return points.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+def _group_totals(run: DataFrame, keys: list[str]) -> DataFrame:
+    """The last running sums of each group."""
+    return run.groupBy(*keys).agg(F.max("tp").alias("n_pos"), F.max("fp").alias("n_neg"))
 
 
 def _attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,8 +31,13 @@ def curve_points(scored: DataFrame, score: str, label: str, keys: list[str] | No
     points = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
+    return running_points(points, score, keys)
+
+
+def running_points(points: DataFrame, score: str, keys: list[str]) -> DataFrame:
+    """``curve_points`` from counts ``keys, score, pos, neg`` with one row per distinct score."""
     run = running_totals(points, keys, [F.col(score).desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
-    return _attach(run, _group_totals(points, keys), keys)
+    return _attach(run, _group_totals(run, keys), keys)
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -56,8 +62,11 @@ def pr_curve(scored: DataFrame, score: str, label: str, keys: list[str] | None =
 
 def roc_auc(scored: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
     """Area with ties counted one half; null where only one class is present."""
-    keys = keys or []
-    pts = curve_points(scored, score, label, keys)
+    return area_under(curve_points(scored, score, label, keys), keys or [])
+
+
+def area_under(pts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, auc`` of curve points."""
     # A negative is beaten by every positive above it, and half of those at its own score.
     wins = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
     return pts.groupBy(*keys).agg(

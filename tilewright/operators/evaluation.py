@@ -36,6 +36,43 @@ def guarded_auc(scored: DataFrame, score: str, label: str, keys: list[str], guar
     return auc if guard is None else auc.withColumn("auc", F.coalesce(F.col("auc"), F.lit(guard)))
 
 
+def evaluation_counts(predictions: DataFrame, probs: str = "p", y: str = "y", y_hat: str = "y_hat") -> DataFrame:
+    """What every table of an evaluation is read off, in one scan: ``y, y_hat, class_idx, prob, pos, neg``.
+
+    Rows with a ``class_idx`` count the predictions that give a class a probability, by whether it is the true
+    one; the others count pairs of true and predicted class in ``pos``.
+    """
+    def part(y_: Column, y_hat_: Column, class_: Column, prob: Column, hit: Column) -> Column:
+        return F.struct(
+            y_.cast("int").alias("y"), y_hat_.cast("int").alias("y_hat"), class_.cast("int").alias("class_idx"),
+            prob.cast("double").alias("prob"), hit.cast("int").alias("hit"))
+
+    none = F.lit(None)
+    one = F.array(part(F.col(y), F.col(y_hat), none, none, F.lit(1)))
+    each = F.transform(probs, lambda p, i: part(none, none, i, p, F.coalesce(F.col(y) == i, F.lit(False))))
+    parts = predictions.select(F.inline(F.concat(one, F.coalesce(each, F.filter(one, lambda _: F.lit(False))))))
+    return parts.groupBy("y", "y_hat", "class_idx", "prob").agg(
+        F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
+
+
+def evaluation_tables(counts: DataFrame, n_classes: int) -> dict[str, DataFrame]:
+    """AUC per class, their mean, the AUC over all classes, accuracy per class and the error rate."""
+    scores = counts.filter(F.col("class_idx").isNotNull() & F.col("prob").isNotNull())
+    per_class = curves.area_under(curves.running_points(scores.select("class_idx", "prob", "pos", "neg"), "prob", ["class_idx"]), ["class_idx"])
+    pooled = scores.groupBy("prob").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    pairs = counts.filter(F.col("class_idx").isNull())
+    right = F.sum(F.when(F.col("y") == F.col("y_hat"), F.col("pos")).otherwise(0))
+    classes = pairs.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("y"))
+    accuracy = classes.join(pairs.groupBy("y").agg(F.sum("pos").alias("count"), right.alias("correct")), "y", "left").fillna(0, ["count", "correct"])
+    return {
+        "class_auc": per_class,
+        "macro_auc": per_class.agg(F.avg("auc").alias("auc")),
+        "micro_auc": curves.area_under(curves.running_points(pooled, "prob", []), []),
+        "class_accuracy": accuracy.withColumn("accuracy", F.try_divide(F.col("correct").cast("double"), F.col("count").cast("double"))),
+        "error": pairs.agg((1 - F.try_divide(right.cast("double"), F.sum("pos").cast("double"))).alias("error")),
+    }
+
+
 def class_accuracy(predictions: DataFrame, n_classes: int, y: str = "y", y_hat: str = "y_hat", keys: list[str] | None = None) -> DataFrame:
     """Count, correct and ratio per true class; a class without examples has a null ratio."""
     keys = keys or []

@@ -2,16 +2,17 @@
 
 A plain window puts every row of its group in one task. Where the group is bounded (thresholds,
 epochs, pyramid levels) the operators use plain windows; where it grows with the data they use
-the functions here: rows are range-partitioned on (keys, order), each partition is summed, and the
-partition sums, at most one row per key and partition, give the offset of every partition.
+the functions here: rows are range-partitioned on (keys, order) and stored with the number of their
+partition, each partition is summed, and the partition sums, at most one row per key and partition, give
+the offset of every partition. Nothing is cached: the stored table keeps offsets and rows on the same
+borders, also when an executor is lost, and lies in the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tilewright.session import shuffle_width
+from tilewright.session import materialise, shuffle_width
 
 _CHUNK = "__chunk"
 
@@ -34,17 +35,13 @@ def running_totals(
 ) -> DataFrame:
     """Add one inclusive running sum per entry of ``sums`` within ``keys``, in ``order``.
 
-    The range-partitioned input is persisted so that the offsets and the rows see the same
-    partition borders; rows with equal ``order`` always share a partition.
+    Rows with equal ``order`` always share a partition. Not lazy: the range-partitioned input is stored,
+    since the borders are drawn anew whenever they are computed.
     """
     n = partitions or shuffle_width(df.sparkSession)
     work = {f"__in_{name}": expr for name, expr in sums.items()}
-    chunked = (
-        df.withColumns(work)
-        .repartitionByRange(n, *[F.col(k) for k in keys], *order)
-        .withColumn(_CHUNK, F.spark_partition_id())
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    ranges = df.withColumns(work).repartitionByRange(n, *[F.col(k) for k in keys], *order)
+    chunked = materialise(ranges.withColumn(_CHUNK, F.spark_partition_id()), "ranges")
     totals = chunked.groupBy(*keys, _CHUNK).agg(
         *[F.sum(f"__in_{name}").alias(f"__sum_{name}") for name in sums]
     )
@@ -90,9 +87,9 @@ def average_rank(df: DataFrame, keys: list[str], value: str, name: str = "avg_ra
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__ties"))
     ranked = running_totals(counts, keys, [F.col(value)], {"__upto": F.col("__ties")})
-    sizes = df.groupBy(*keys).agg(F.count(value).alias(total))
-    ranked = ranked.select(
-        *keys, value, (F.col("__upto") - (F.col("__ties") - 1) / 2.0).alias(name)
-    )
+    # The last running sum of a group is its size; a group without a value has none.
+    sizes = ranked.groupBy(*keys).agg(F.max("__upto").alias(total))
+    ranked = ranked.select(*keys, value, (F.col("__upto") - (F.col("__ties") - 1) / 2.0).alias(name))
     joined = join_null_safe(df, ranked, [*keys, value], "left")
-    return join_null_safe(joined, sizes, keys) if keys else joined.withColumn(total, sizes.scalar())
+    joined = join_null_safe(joined, sizes, keys, "left") if keys else joined.withColumn(total, sizes.scalar())
+    return joined.withColumn(total, F.coalesce(total, F.lit(0).cast("bigint")))

@@ -22,10 +22,14 @@ def image_sizes(pixels: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         (F.max("col") + 1).cast("bigint").alias("width"), (F.max("row") + 1).cast("bigint").alias("height"))
 
 
+def _mean_gray(rounded: bool) -> Column:
+    mean = F.avg(colour.gray(*_rgb()))
+    return F.floor(mean + 0.5 if rounded else mean).cast("bigint").alias("mean_gray")
+
+
 def mean_gray(pixels: DataFrame, rounded: bool = True, keys: list[str] = KEYS) -> DataFrame:
     """Mean luma per image: rounded to the nearest integer, or truncated."""
-    mean = F.avg(colour.gray(*_rgb()))
-    return pixels.groupBy(*keys).agg(F.floor(mean + 0.5 if rounded else mean).cast("bigint").alias("mean_gray"))
+    return pixels.groupBy(*keys).agg(_mean_gray(rounded))
 
 
 def _blend(value: Column, mean: Column, factor: float, rounded: bool) -> Column:
@@ -60,10 +64,13 @@ def gray_mask(pixels: DataFrame, contrast: float = 20, cut: int = 210, keys: lis
     return joined.withColumn("fg", shown <= cut).drop("mean_gray")
 
 
+def _coverage() -> Column:
+    return F.bround(F.count_if(F.col("fg")) / F.count(F.lit(1)) * 100, 0).alias("coverage")
+
+
 def coverage(masked: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Foreground share in whole percent."""
-    share = F.count_if(F.col("fg")) / F.count(F.lit(1)) * 100
-    return masked.groupBy(*keys).agg(F.bround(share, 0).alias("coverage"))
+    return masked.groupBy(*keys).agg(_coverage())
 
 
 def tissue_mask(
@@ -75,11 +82,13 @@ def tissue_mask(
     if based_on != "hed":
         raise NotImplementedError("tissue detection is based on 'hed' or 'gray'")
     eosin = eosin_mask(pixels, contrast, keys)
-    fallback = coverage(eosin, keys).select(
-        *keys, ((F.col("coverage") < low) | (F.col("coverage") > high)).alias("__gray"))
-    means = mean_gray(pixels, True, keys)
+    if contrast == 1:  # the colours are as they were, so one pass gives share and mean
+        facts = eosin.groupBy(*keys).agg(_coverage(), _mean_gray(True))
+    else:
+        facts = coverage(eosin, keys).join(mean_gray(pixels, True, keys), keys)
+    gray = ((F.col("coverage") < low) | (F.col("coverage") > high)).alias("__gray")
     luma = colour.gray(*_rgb())
-    joined = pixels.join(fallback, keys).join(means, keys)
+    joined = pixels.join(facts.select(*keys, gray, "mean_gray"), keys)
     by_gray = _blend(luma, F.col("mean_gray"), 20, False) <= 210
     if contrast != 1:
         seen = {c: _blend(F.col(c), F.col("mean_gray"), contrast, False) for c in CHANNELS}

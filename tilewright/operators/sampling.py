@@ -25,7 +25,7 @@ def quantiles(scored: DataFrame, score: str, keys: list[str], probs: dict[str, f
     """Exact linearly interpolated quantiles per group, from counts per distinct value."""
     counts = scored.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__ties"))
     upto = running_totals(counts, keys, [F.col(score)], {"__upto": F.col("__ties")})
-    sizes = counts.groupBy(*keys).agg(F.sum("__ties").alias("__n"))
+    sizes = upto.groupBy(*keys).agg(F.max("__upto").alias("__n"))
     placed = join_null_safe(upto, sizes, keys)
     first, last = F.col("__upto") - F.col("__ties"), F.col("__upto") - 1
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright import config
-from tilewright.functions import geometry as geo
-from tilewright.operators import calibration, collate, curves, pixels, regions, runs, tiling, triage
+from tilewright.functions import geometry as geo, labels as codes
+from tilewright.operators import calibration, collate, curves, evaluation, pixels, regions, runs, scoring, tiling, triage
 from tilewright.session import materialise
+from tilewright.sources import ledger, tables
 
 
 def segment(
@@ -64,6 +67,58 @@ def tiles_in_mask(
     return grid.join(spans, [*keys, "row"]).filter(F.col("col").between(F.col("start"), F.col("stop"))).select(*keys, "cluster", "x", "y")
 
 
+def process_list(slides: DataFrame, ledger_path: str, step: str) -> DataFrame:
+    """The process list of a step: slides that an earlier run settled are ``already_exist`` and not processed."""
+    done = ledger.latest(slides.sparkSession, ledger_path, step).filter(F.col("status").isin(ledger.DONE, ledger.EMPTY))
+    named = tables.init_process_list(slides).withColumn("__slide", F.col("slide_id").cast("string"))
+    return tables.skip_existing(named, done.select(F.col("slide_id").alias("__slide")), "__slide").drop("__slide")
+
+
+def tile_run(
+    contours: DataFrame, pyramid: DataFrame, slides: DataFrame, store: str, ledger_path: str, patch_size: int, step_size: int,
+    step: str = "tile", **options: object,
+) -> DataFrame:
+    """Tile the slides that no earlier run has tiled, store their coordinates and enter them in the ledger.
+
+    Returns the process list as it was when the run began. A run that breaks off leaves no entry for what
+    it did not store; the next one repeats those slides, and the store takes no tile twice.
+    """
+    listing = materialise(process_list(slides, ledger_path, step), "process-list")
+    todo = tables.to_process(listing).select("slide_id")
+    if not todo.isEmpty():
+        tiles, sets = tile(contours.join(todo, "slide_id", "left_semi"), pyramid, patch_size, step_size, **options)
+        tables.append_coords(tiles, sets, store)
+        stored = slides.sparkSession.read.schema(tables.bucketed(tiles).schema).parquet(f"{store}/tiles")
+        ledger.record(ledger.statuses(todo, tables.touched(stored, tables.bucketed(todo), [tables.BUCKET])), ledger_path, step)
+    return listing
+
+
+def score_run(
+    tiles: DataFrame, tile_sets: DataFrame, slides: DataFrame, factory: Callable[[], scoring.Model], stain: str, version: str,
+    store: str, ledger_path: str, feature: str = "features", **triage_options: object,
+) -> DataFrame:
+    """Tiles to triage in one call: score, box, store, enter in the ledger, triage.
+
+    ``tiles`` holds ``slide_id, tile_id, x, y`` and the model's input. Slides that the ledger has for this
+    stain and version are not scored again; the triage is over all stored predictions of ``slides``.
+    """
+    spark = tiles.sparkSession
+    step = f"score {stain} {version}"
+    listing = materialise(process_list(slides, ledger_path, step), "process-list")
+    todo = tables.to_process(listing).select("slide_id")
+    classes = config.settings(stain)["classes"]
+    mine = tiles.join(todo, "slide_id", "left_semi").join(tile_sets.select("slide_id", "patch_size"), "slide_id")
+    boxes = tiling.tile_box(mine, F.col("patch_size")).drop("patch_size")
+    scored = scoring.score_tiles(boxes, factory, classes, feature).withColumns({"stain": F.lit(stain), "model_ver": F.lit(version)})
+    if not todo.isEmpty():
+        tables.write_predictions(scored, store)
+    read = tables.read_predictions(spark, store, tables.bucketed(scored).schema)
+    stored = read.filter((F.col("stain") == stain) & (F.col("model_ver") == version)).join(slides.select("slide_id"), "slide_id", "left_semi")
+    if not todo.isEmpty():
+        ledger.record(ledger.statuses(todo, stored), ledger_path, step)
+    return triage_run(stored, slides, stain, version, **triage_options)
+
+
 def triage_run(
     predictions: DataFrame, slides: DataFrame, stain: str, version: str, formats: tuple[str, ...] = (),
     ranked_class: str | None = None, threshold: float | None = None, lcp: int | None = None, hcp: int | None = None,
@@ -99,6 +154,27 @@ def calibrate(
     }
 
 
+def threshold_study(
+    predictions: DataFrame, truth: DataFrame, score: str, mapping: dict[str, int], sample: str = "sample_id", code: str = "code",
+    grid: list[float] | None = None, target: float = 0.7,
+) -> dict[str, DataFrame]:
+    """Files and pathologists' codes to the tables of ``calibrate``.
+
+    ``predictions`` holds ``file_name`` and scores per tile, ``truth`` a code per sample. A sample goes with the
+    first file that its id begins; samples without a file, and codes outside ``mapping``, drop out.
+    """
+    matched = collate.prefix_match(truth.select(sample), predictions.select("file_name").distinct(), sample)
+    tiles = predictions.join(matched, "file_name").withColumn("slide_id", F.col(sample))
+    labels = truth.select(F.col(sample).alias("slide_id"), codes.map_label(F.col(code), mapping).alias("label"))
+    return calibrate(tiles, labels, score, grid, target)
+
+
+def evaluate_run(predictions: DataFrame, n_classes: int, probs: str = "p", y: str = "y", y_hat: str = "y_hat") -> dict[str, DataFrame]:
+    """All tables of an evaluation from one scan of the predictions, whose counts are stored."""
+    counts = materialise(evaluation.evaluation_counts(predictions, probs, y, y_hat), "evaluation")
+    return evaluation.evaluation_tables(counts, n_classes)
+
+
 def report_form(results: dict[str, DataFrame], primary: DataFrame, repeat: DataFrame, fill: bool = False) -> DataFrame:
     """Four stain results and two participant lists to the export table."""
     return collate.export_columns(collate.lookup_ids(collate.collate(results, fill=fill), primary, repeat))

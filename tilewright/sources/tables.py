@@ -12,6 +12,8 @@ from tilewright.functions import names
 from tilewright.session import shared_folder
 
 SLIDE_EXTENSIONS = ("ndpi", "svs")
+#: Folders over which a store spreads its slides, by hash, and the column that names them.
+BUCKETS, BUCKET = 64, "slide_bucket"
 
 
 def list_slides(spark: SparkSession, folder: str, extensions: tuple[str, ...] = SLIDE_EXTENSIONS) -> DataFrame:
@@ -113,30 +115,68 @@ def round_trip(df: DataFrame, label: str, mode: str = "parquet", partition_by: l
     return reader.format(mode).load(path).select(*df.columns)
 
 
-def not_stored(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet") -> DataFrame:
-    """Rows whose keys the table at ``path`` does not hold yet; all rows while there is no table."""
+def bucketed(df: DataFrame, buckets: int = BUCKETS, key: str = "slide_id") -> DataFrame:
+    """``df`` with the folder of each slide; slides without an id share one."""
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int"))
+
+
+def touched(stored: DataFrame, df: DataFrame, folders: list[str]) -> DataFrame:
+    """The part of a partitioned table that lies in the folders of ``df``, as a filter that prunes the scan.
+
+    The folders of ``df`` come to the driver: a bucket for each stain and version at most.
+    """
+    here = df.select(*folders).distinct().collect()
+    if not here:
+        return stored.limit(0)
+    wanted = F.lit(True)
+    for c in folders:
+        values = {r[c] for r in here}
+        known = F.col(c).isin(sorted(values - {None}))
+        wanted = wanted & (known | F.col(c).isNull() if None in values else known)
+    return stored.filter(wanted)
+
+
+def not_stored(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet", folders: list[str] | None = None) -> DataFrame:
+    """Rows whose keys the table at ``path`` does not hold yet; all rows while there is no table.
+
+    Null keys are equal. Where ``folders`` names the table's partition columns, only the folders that
+    ``df`` falls into are read.
+    """
     reader = df.sparkSession.read
     if fmt == "csv":
         reader = reader.option("header", True)
     try:
-        stored = reader.format(fmt).load(path).select(*keys).distinct()
+        stored = reader.schema(df.schema).format(fmt).load(path)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
         return df
-    return df.join(stored, keys, "left_anti").select(*df.columns)
+    if folders:
+        stored = touched(stored, df, folders)
+    held = stored.select(*[F.col(k).alias(f"__k_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(held, same, "left_anti").select(*df.columns)
+
+
+def _append(rows: DataFrame, path: str, folders: list[str], fmt: str = "parquet") -> None:
+    """Add rows to their folders. Small folders share a task and a large one is split."""
+    writer = rows.hint("rebalance", *folders).write.mode("append").partitionBy(*folders)
+    if fmt == "csv":
+        writer = writer.option("header", True)
+    writer.format(fmt).save(path)
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Store per-tile predictions, one folder per stain and model version.
+    """Store per-tile predictions, one folder per stain, model version and bucket of slides.
 
     Slides that have predictions of the stain and version are left as they are, so a repeated run adds
-    nothing.
+    nothing. A run reads the folders it writes to, whatever else is stored.
     """
-    writer = not_stored(df, path, ["stain", "model_ver", "slide_id"], fmt).write.mode("append").partitionBy("stain", "model_ver")
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.format(fmt).save(path)
+    folders = ["stain", "model_ver", BUCKET]
+    rows = not_stored(bucketed(df), path, ["stain", "model_ver", "slide_id"], fmt, folders)
+    _append(rows, path, folders, fmt)
 
 
 def read_predictions(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
@@ -145,18 +185,21 @@ def read_predictions(spark: SparkSession, path: str, schema: T.StructType | None
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+    return reader.format(fmt).load(path).drop(BUCKET)
 
 
 def append_coords(tiles: DataFrame, tile_sets: DataFrame, path: str) -> None:
-    """Store the tiles that are not stored yet, and before them the attributes of new slides."""
+    """Store the tiles that are not stored yet, and before them the attributes of new slides.
+
+    Both lie in buckets of slides; a run reads the buckets of its own slides.
+    """
     for rows, name, keys in ((tile_sets, "tile_sets", ["slide_id"]), (tiles, "tiles", ["slide_id", "x", "y"])):
-        not_stored(rows, f"{path}/{name}", keys).write.mode("append").parquet(f"{path}/{name}")
+        _append(not_stored(bucketed(rows), f"{path}/{name}", keys, folders=[BUCKET]), f"{path}/{name}", [BUCKET])
 
 
 def read_coords(spark: SparkSession, path: str) -> DataFrame:
-    tiles = spark.read.parquet(f"{path}/tiles")
-    return with_attributes(tiles, spark.read.parquet(f"{path}/tile_sets"))
+    tiles = spark.read.parquet(f"{path}/tiles").drop(BUCKET)
+    return with_attributes(tiles, spark.read.parquet(f"{path}/tile_sets").drop(BUCKET))
 
 
 def with_attributes(tiles: DataFrame, tile_sets: DataFrame) -> DataFrame:
@@ -167,7 +210,7 @@ def with_attributes(tiles: DataFrame, tile_sets: DataFrame) -> DataFrame:
 def append_bag(patches: DataFrame, path: str) -> None:
     """Store the ``slide_id, x, y, img`` rows that are not stored yet; ``img`` is an opaque binary payload."""
     rows = patches.select("slide_id", "x", "y", F.col("img").cast("binary").alias("img"))
-    not_stored(rows, path, ["slide_id", "x", "y"]).write.mode("append").parquet(path)
+    _append(not_stored(bucketed(rows), path, ["slide_id", "x", "y"], folders=[BUCKET]), path, [BUCKET])
 
 
 def column_groups(df: DataFrame, groups: dict[str, str | list[str]], keep: list[str] | None = None) -> DataFrame:
