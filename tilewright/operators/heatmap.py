@@ -67,35 +67,30 @@ def cell_sums(placed: DataFrame) -> DataFrame:
     """``slide_id, cell_x, cell_y, mean, n`` of all cells under boxes ``slide_id, x, y, v``; ``x, y`` hold ``lo, hi``.
 
     Values are summed as whole numbers in two parts, so what is taken off at a box's far side is what was
-    added, to the last digit. A null value makes its cells' mean that of the others.
+    added, to the last digit.
     """
-    scaled = F.col("v") * float(1 << 30)
-    known = F.col("v").isNotNull()
-    parts = {
-        "high": F.floor(scaled).cast("bigint"), "low": F.round((scaled - F.floor(scaled)) * float(1 << 40)).cast("bigint"),
-        "n": known.cast("bigint"), "boxes": F.lit(1).cast("bigint")}
-    names = list(parts)
+    names = ["high", "low", "n"]
+    scaled = placed.select("slide_id", "x", "y", (F.col("v") * float(1 << 30)).alias("s"))
+    whole = scaled.select(
+        "slide_id", "x", "y", F.floor("s").cast("bigint").alias("high"),
+        F.round((F.col("s") - F.floor("s")) * float(1 << 40)).cast("bigint").alias("low"), F.lit(1).cast("bigint").alias("n"))
 
     def corner(line: str, at: str, sign: int) -> Column:
-        return F.struct(
-            F.col(f"y.{line}").alias("line"), F.col(f"x.{at}").alias("at"),
-            *[(sign * F.coalesce(c, F.lit(0))).alias(n) for n, c in parts.items()])
+        return F.struct(F.col(f"y.{line}").alias("line"), F.col(f"x.{at}").alias("at"), *[(sign * F.col(n)).alias(n) for n in names])
 
-    corners = placed.select("slide_id", F.inline(F.array(
+    corners = whole.select("slide_id", F.inline(F.array(
         corner("lo", "lo", 1), corner("lo", "hi", -1), corner("hi", "lo", -1), corner("hi", "hi", 1))))
     # Corners at one place are summed before the shuffle.
     marks = corners.groupBy("slide_id", "line", "at").agg(*[F.sum(n).alias(n) for n in names])
 
     def running(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-        """Sums up to each mark, and the marks after which they hold."""
+        """Sums up to each mark, of which no two are at one place, and the stretch on which they hold."""
         w = W.partitionBy(*keys).orderBy(order)
-        return df.select(*keys, F.col(order).alias("lo"), (F.lead(order).over(w) - 1).alias("hi"), *[F.sum(n).over(w).alias(n) for n in names])
+        upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.select(*keys, F.col(order).alias("lo"), (F.lead(order).over(w) - 1).alias("hi"), *[F.sum(n).over(upto).alias(n) for n in names])
 
-    some = F.lit(False)
-    for n in names:
-        some = some | (F.col(n) != 0)
-    steps = running(marks, ["slide_id", "line"], "at").filter(some & F.col("hi").isNotNull())
+    steps = running(marks, ["slide_id", "line"], "at").filter(((F.col("n") != 0) | (F.col("high") != 0) | (F.col("low") != 0)) & F.col("hi").isNotNull())
     wide = steps.select("slide_id", "line", F.explode(F.sequence("lo", "hi")).alias("cell_x"), *names)
-    cells = running(wide, ["slide_id", "cell_x"], "line").filter((F.col("boxes") > 0) & F.col("hi").isNotNull())
-    mean = F.try_divide((F.col("high") + F.col("low") / float(1 << 40)) / float(1 << 30), F.col("n").cast("double"))
+    cells = running(wide, ["slide_id", "cell_x"], "line").filter((F.col("n") > 0) & F.col("hi").isNotNull())
+    mean = (F.col("high") + F.col("low") / float(1 << 40)) / float(1 << 30) / F.col("n")
     return cells.select("slide_id", "cell_x", F.explode(F.sequence("lo", "hi")).alias("cell_y"), mean.alias("mean"), "n")

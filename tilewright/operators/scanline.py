@@ -54,11 +54,11 @@ def at_rows(edges: DataFrame, rows: DataFrame, keys: list[str], height: int = BA
     return spread.join(lines, [*keys, "__band"]).filter(F.col("row").between(low, high)).drop("__band")
 
 
-def _marks() -> Column:
-    """What an edge does in a row: a crossing turns inside and outside, contact covers a stretch.
+def _crossings(crossed: DataFrame, keep: list[str]) -> DataFrame:
+    """What an edge does in a row as marks ``keep, at, turn, touch``.
 
-    A point is left of a crossing if it is strictly left of the edge; an edge counts for rows from its
-    lower end up to, without, its upper end.
+    A crossing turns inside and outside; a point is left of it if it is strictly left of the edge, and an
+    edge counts for rows from its lower end up to, without, its upper end. Contact covers a stretch.
     """
     row, x1, y1, x2, y2 = (F.col(c) for c in ("row", "x1", "y1", "x2", "y2"))
     flat = y1 == y2
@@ -67,19 +67,21 @@ def _marks() -> Column:
     run = F.when(y2 < y1, -run).otherwise(run)
     rest = F.pmod(run, height)
     at = x1 + F.call_function("div", run - rest, height)
-    crosses = (y1 > row) != (y2 > row)
-    touches = flat | (rest == 0)
-    left = F.when(flat, F.least(x1, x2)).otherwise(at)
-    right = F.when(flat, F.greatest(x1, x2)).otherwise(at)
+    # Plain columns first: a generator would compute what it repeats anew each time.
+    met = crossed.select(
+        *keep, flat.alias("__flat"), (rest == 0).alias("__whole"), ((y1 > row) != (y2 > row)).alias("__crosses"), at.alias("__at"),
+        F.least(x1, x2).alias("__left"), F.greatest(x1, x2).alias("__right"))
+    touches = F.col("__flat") | F.col("__whole")
+    ends = met.select(
+        *keep, F.when(F.col("__crosses"), F.col("__at") + F.when(F.col("__whole"), 0).otherwise(1)).alias("__turn"),
+        F.when(touches, F.when(F.col("__flat"), F.col("__left")).otherwise(F.col("__at"))).alias("__from"),
+        F.when(touches, F.when(F.col("__flat"), F.col("__right")).otherwise(F.col("__at")) + 1).alias("__to"))
 
-    def mark(place: Column, turn: int, touch: int) -> Column:
-        return F.struct(place.alias("at"), F.lit(turn).alias("turn"), F.lit(touch).alias("touch"))
+    def mark(place: str, turn: int, touch: int) -> Column:
+        return F.struct(F.col(place).alias("at"), F.lit(turn).alias("turn"), F.lit(touch).alias("touch"))
 
-    return F.filter(
-        F.array(
-            F.when(crosses, mark(at + F.when(rest > 0, 1).otherwise(0), 1, 0)),
-            F.when(touches, mark(left, 0, 1)), F.when(touches, mark(right + 1, 0, -1))),
-        lambda m: m.isNotNull())
+    marks = ends.select(*keep, F.inline(F.array(mark("__turn", 1, 0), mark("__from", 0, 1), mark("__to", 0, -1))))
+    return marks.filter(F.col("at").isNotNull())
 
 
 def stretches(marks: DataFrame, keys: list[str], sums: list[str], holds: Column, carry: list[str] | None = None) -> DataFrame:
@@ -102,7 +104,7 @@ def covered(crossed: DataFrame, keys: list[str], carry: list[str] | None = None,
 
     ``crossed`` holds edges with their ``row``; ``keys`` name one row of one polygon.
     """
-    marks = crossed.select(*keys, *(carry or []), F.inline(_marks()))
+    marks = _crossings(crossed, [*keys, *(carry or [])])
     odd, contact = F.col("turn") % 2 == 1, F.col("touch") > 0
     return stretches(marks, keys, ["turn", "touch"], odd & ~contact if strict else odd | contact, carry)
 

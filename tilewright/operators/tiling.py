@@ -282,20 +282,21 @@ def window_to_mask(position: Column, ratio: float, size: float) -> Column:
     return half_even((position + F.floor(F.lit(size) / 2)) / ratio)
 
 
-def corner_points(tiles: DataFrame, mode: str, keys: list[str]) -> DataFrame:
-    """The points each mode tests, one row per point."""
+def probe_rows(tiles: DataFrame, mode: str, keys: list[str], scale: int) -> DataFrame:
+    """What each mode tests: rows ``slide_id, keys, corner, row, left, right``, two points in each.
+
+    ``center`` and ``basic`` test one point; ``any`` and ``all`` the four corners, in two rows.
+    """
     x0, y0, x1, y1 = (F.col(c) for c in ("x_min", "y_min", "x_max", "y_max"))
-    pairs = {
-        "center": [((x0 + x1) / 2, (y0 + y1) / 2)],
-        "basic": [(x0, y0)],
-        "any": [(x0, y0), (x0, y1), (x1, y0), (x1, y1)],
-        "all": [(x0, y0), (x0, y1), (x1, y0), (x1, y1)],
+    probes = {
+        "center": [((x0 + x1) / 2, (x0 + x1) / 2, (y0 + y1) / 2)], "basic": [(x0, x0, y0)],
+        "any": [(x0, x1, y0), (x0, x1, y1)], "all": [(x0, x1, y0), (x0, x1, y1)],
     }
-    if mode not in pairs:
-        raise ValueError(f"mode must be one of {sorted(pairs)}")
-    points = F.array(*[F.struct(a.cast("double").alias("px"), b.cast("double").alias("py")) for a, b in pairs[mode]])
-    return tiles.select("slide_id", *keys, F.posexplode(points).alias("corner", "p")).select(
-        "slide_id", *keys, "corner", "p.px", "p.py")
+    if mode not in probes:
+        raise ValueError(f"mode must be one of {sorted(probes)}")
+    whole = lambda v: F.round(v * scale).cast("bigint")
+    rows = F.array(*[F.struct(whole(y).alias("row"), whole(a).alias("left"), whole(b).alias("right")) for a, b, y in probes[mode]])
+    return tiles.select("slide_id", *keys, F.posexplode(rows).alias("corner", "p")).select("slide_id", *keys, "corner", "p.*")
 
 
 def filter_tiles(tiles: DataFrame, polygons: DataFrame, mode: str = "center", keys: list[str] | None = None) -> DataFrame:
@@ -307,10 +308,8 @@ def filter_tiles(tiles: DataFrame, polygons: DataFrame, mode: str = "center", ke
     """
     keys = keys or ["tile_id"]
     pair = polygons.schema["points"].dataType.elementType
-    whole = all(isinstance(f.dataType, IntegralType) for f in pair)
-    scale = 2 if whole else 1024
-    points = corner_points(tiles, mode, keys).withColumns({
-        "row": F.round(F.col("py") * scale).cast("bigint"), "col": F.round(F.col("px") * scale).cast("bigint")})
+    scale = 2 if all(isinstance(f.dataType, IntegralType) for f in pair) else 1024
+    points = probe_rows(tiles, mode, keys, scale)
     scaled = F.transform("points", lambda p: F.struct(
         F.round(p["x"] * scale).cast("bigint").alias("x"), F.round(p["y"] * scale).cast("bigint").alias("y")))
     named = polygons.select("slide_id", scaled.alias("points")).withColumn("ring", F.xxhash64("points"))
@@ -318,11 +317,15 @@ def filter_tiles(tiles: DataFrame, polygons: DataFrame, mode: str = "center", ke
     crossed = scanline.at_rows(edges, points.select("slide_id", "row").distinct(), ["slide_id"], scanline.BAND * scale)
     runs = scanline.joined(scanline.covered(crossed, ["slide_id", "ring", "row"], strict=True), ["slide_id", "row"])
     runs = runs.withColumnsRenamed({"slide_id": "__s", "row": "__row"})
-    met = (F.col("slide_id") == F.col("__s")) & (F.col("row") == F.col("__row")) & F.col("col").between(F.col("start"), F.col("stop"))
-    inside = points.join(runs, met, "left_semi")
-    if mode in ("any", "all"):
-        found = inside.groupBy("slide_id", *keys).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("corner"))).alias("__bits"))
-        inside = found.filter(F.col("__bits") == 15) if mode == "all" else found
+    left, right = (F.col(c).between(F.col("start"), F.col("stop")) for c in ("left", "right"))
+    met = (F.col("slide_id") == F.col("__s")) & (F.col("row") == F.col("__row")) & (left | right)
+    if mode != "all":
+        inside = points.join(runs, met, "left_semi")
+    else:
+        bits = F.when(left, 1).otherwise(0) + F.when(right, 2).otherwise(0)
+        found = points.join(runs, met).groupBy("slide_id", *keys).agg(
+            F.bit_or(F.call_function("shiftleft", bits, 2 * F.col("corner"))).alias("__bits"))
+        inside = found.filter(F.col("__bits") == 15)
     return tiles.join(inside.select("slide_id", *keys), ["slide_id", *keys], "left_semi")
 
 
