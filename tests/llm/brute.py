@@ -92,10 +92,35 @@ def edit_distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def removed_lines(docs: list[tuple[int, str | None]], similarity: float = 0.8, min_words: int = 3, distance: int = 3) -> dict[int, list[int]]:
+def letters_apart(a: str, b: str) -> int:
+    """Edit distance of characters, a column of the table at a time as bits."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    up, down, score = full, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        x = same | down
+        level = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(level | up)), up & level
+        score += (rise >> len(a) - 1 & 1) - (fall >> len(a) - 1 & 1)
+        rise, fall = rise << 1 & full | 1, fall << 1 & full
+        up, down = fall | (full & ~(x | rise)), rise & x
+    return score
+
+
+def similar_lines(a: str, b: str, similarity: float = 0.8) -> bool:
+    """By words or, in lines of up to 256 characters, by characters."""
+    def fits(x, y, apart) -> bool:
+        most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+        return abs(len(x) - len(y)) <= most and apart(x, y) <= most
+
+    return fits(a.split(), b.split(), edit_distance) or (max(len(a), len(b)) <= 256 and fits(a, b, letters_apart))
+
+
+def removed_lines(docs: list[tuple[int, str | None]], similarity: float = 0.8, min_words: int = 3) -> dict[int, list[int]]:
     """Line numbers to remove per document, from all pairs of distinct lines."""
-    import xxhash
-
     first: dict[str, tuple[int, int]] = {}
     places: list[tuple[str, int, int]] = []
     for doc, text in sorted(docs):
@@ -105,14 +130,7 @@ def removed_lines(docs: list[tuple[int, str | None]], similarity: float = 0.8, m
                 places.append((norm, doc, i))
                 first.setdefault(norm, (doc, i))
     texts = list(first)
-    marks = []
-    for t in texts:
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split()]
-        marks.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
-    words = [t.split() for t in texts]
-    links = [
-        (i, j) for i in range(len(texts)) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= distance
-        and edit_distance(words[i], words[j]) <= int(max(len(words[i]), len(words[j])) * (1 - similarity) + 1e-9)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if similar_lines(texts[i], texts[j], similarity)]
     root = components(len(texts), links)
     keep: dict[int, tuple[int, int]] = {}
     for i, t in enumerate(texts):

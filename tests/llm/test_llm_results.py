@@ -97,17 +97,62 @@ def test_fuzzy_lines(corpus):
 
 
 def test_every_choice_of_blocks_finds_the_same_pairs(spark):
-    from tilewright.llm.linededup import block_masks, candidate_pairs
+    from tilewright.llm.linededup import block_masks
 
     rnd = random.Random(3)
     marks = [rnd.getrandbits(64) for _ in range(60)]
     marks += [m ^ sum(1 << b for b in rnd.sample(range(64), k)) for m in marks for k in (1, 2, 3, 4)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in marks]
-    items = spark.createDataFrame(list(enumerate(signed)), "a long, fp long")
-    wanted = {(i, j) for i in range(len(marks)) for j in range(i + 1, len(marks)) if (marks[i] ^ marks[j]).bit_count() <= 3}
     for size in (10, 10**8, 10**11):
-        found = [(r.a, r.a2) for r in candidate_pairs(items, block_masks(size)).collect()]
-        assert len(found) == len(set(found)) and set(found) == wanted
+        masks = block_masks(size)
+        for i, x in enumerate(marks):
+            for y in marks[:i]:
+                if (x ^ y).bit_count() <= 3:
+                    assert any((x ^ y) & m == 0 for m in masks)
+
+
+def test_fingerprint_of_lines_of_any_length(spark):
+    """The majority of the bits, with counts of four and of two bits in a long."""
+    from pyspark.sql import functions as F
+
+    from tilewright.llm import linededup
+
+    rnd = random.Random(5)
+    lines = [" ".join(rnd.choice(WORDS) for _ in range(n)) for n in (1, 2, 3, 4, 40, 3000)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "i int, norm string").withColumn("h", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    rows = frame.select("i", "h", linededup._majority(F.col("h"), 16).alias("a"), linededup._majority(F.col("h"), 32).alias("b")).collect()
+    for r in rows:
+        bits = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in r.h) > len(r.h))
+        assert r.a % (1 << 64) == bits == r.b % (1 << 64)
+
+
+def test_recall_of_fuzzy_lines(spark):
+    """Pairs with one word or a fifth of the words replaced, at every length, among unrelated lines."""
+    from tilewright.llm.linededup import line_report
+
+    rnd = random.Random(21)
+    word = lambda: rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS)
+    rows, kinds = [], {}
+    for n in (5, 8, 15, 40, 80):
+        for changed in {1, n // 5}:
+            for _ in range(60):
+                line = [word() for _ in range(n)]
+                other = list(line)
+                for at in rnd.sample(range(n), changed):
+                    other[at] = word()
+                rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(other))]
+                kinds[len(rows) - 1] = (n, changed)
+    typos = []
+    for _ in range(60):  # a letter in one of four words
+        line = [word() for _ in range(4)]
+        rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join([line[0][:-1] + "q", *line[1:]]))]
+        typos.append(len(rows) - 1)
+    removed = {r.doc_id: r.n_removed for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(removed[i] == 0 for i, _ in rows if i % 2 == 0)
+    for kind in set(kinds.values()):
+        mine = [removed[i] for i, k in kinds.items() if k == kind]
+        print(kind, sum(mine), "of", len(mine))
+        assert sum(mine) >= 0.9 * len(mine)
+    assert sum(removed[i] for i in typos) >= 0.85 * len(typos)
 
 
 def test_edit_similarity(spark):
@@ -124,7 +169,7 @@ def test_edit_similarity(spark):
         pairs.append((" ".join(w), " ".join(v)))
     frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, norm string, norm2 string")
     for s in (0.6, 0.8, 0.9):
-        wanted = {i for i, (a, b) in enumerate(pairs) if brute.edit_distance(a.split(), b.split()) <= int(max(len(a.split()), len(b.split())) * (1 - s) + 1e-9)}
+        wanted = {i for i, (a, b) in enumerate(pairs) if brute.similar_lines(a, b, s)}
         assert {r.i for r in similar_texts(frame, s).collect()} == wanted
 
 

@@ -25,15 +25,23 @@ def _of(name: str, columns: list[str]) -> Column:
 
 def linked_groups(
     items: DataFrame, keyed: Callable[[DataFrame], DataFrame], near: Near, payload: list[str],
-    verify: Callable[[DataFrame], DataFrame] | None = None, weight: str = "weight", name: str = "component",
+    verify: Callable[[DataFrame], DataFrame] | None = None, weight: str = "weight", name: str = "component", store_keys: bool = False,
 ) -> DataFrame:
     """``items`` (``id``, ``weight``, payload) with the smallest id of their group as ``name``.
 
     ``keyed`` adds a column ``key`` and may repeat rows. ``near(a, b, key)`` decides on two structs
     of ``id`` and ``payload`` whether they are candidates; ``verify``, if given, takes candidate links
-    ``src, dst`` and returns those that hold. Not lazy: the steps are stored in the shared folder.
+    ``src, dst`` and returns those that hold. ``store_keys`` keeps the rows of keys that several items
+    share, for many keys of which few are shared. Not lazy: the steps are stored in the shared folder.
     """
     columns = ["id", *payload]
+    if store_keys:
+        many = F.count(F.lit(1)).over(W.partitionBy("key")) > 1
+        shared = keyed(items).select(*columns, weight, "key").withColumn("__many", many).filter("__many").drop("__many")
+        shared = materialise(shared, "shared-keys")
+
+        def keyed(df: DataFrame) -> DataFrame:
+            return shared.join(df.select("id", "grp"), "id") if "grp" in df.columns else shared
     ordered = W.partitionBy("key").orderBy(F.col(weight).desc(), "id")
     close = keyed(items).select("key", _of("me", columns), F.array(
         F.first(_of("x", columns)).over(ordered), F.lag(_of("x", columns)).over(ordered)).alias("others"))
