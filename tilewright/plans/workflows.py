@@ -86,9 +86,11 @@ def tile_run(
     listing = materialise(process_list(slides, ledger_path, step), "process-list")
     todo = tables.to_process(listing).select("slide_id")
     if not todo.isEmpty():
-        tiles, sets = tile(contours.join(todo, "slide_id", "left_semi"), pyramid, patch_size, step_size, **options)
-        tables.append_coords(tiles, sets, store)
-        stored = slides.sparkSession.read.schema(tables.bucketed(tiles).schema).parquet(f"{store}/tiles")
+        mine = contours.join(todo, "slide_id", "left_semi")
+        found = materialise(tiling.tile_slides(mine, pyramid, patch_size, step_size, **options), "tiles")
+        sets = tiling.tile_sets(pyramid.join(todo, "slide_id", "left_semi"), patch_size, int(options.get("patch_level", 0)), store)
+        tables.append_coords(found, sets.join(found.select("slide_id"), "slide_id", "left_semi"), store)
+        stored = slides.sparkSession.read.schema(tables.bucketed(found).schema).parquet(f"{store}/tiles")
         ledger.record(ledger.statuses(todo, tables.touched(stored, tables.bucketed(todo), [tables.BUCKET])), ledger_path, step)
     return listing
 
@@ -111,7 +113,7 @@ def score_run(
     boxes = tiling.tile_box(mine, F.col("patch_size")).drop("patch_size")
     scored = scoring.score_tiles(boxes, factory, classes, feature).withColumns({"stain": F.lit(stain), "model_ver": F.lit(version)})
     if not todo.isEmpty():
-        tables.write_predictions(scored, store)
+        tables.write_predictions(scored, store, slides=todo.withColumns({"stain": F.lit(stain), "model_ver": F.lit(version)}))
     read = tables.read_predictions(spark, store, tables.bucketed(scored).schema)
     stored = read.filter((F.col("stain") == stain) & (F.col("model_ver") == version)).join(slides.select("slide_id"), "slide_id", "left_semi")
     if not todo.isEmpty():

@@ -136,11 +136,13 @@ def touched(stored: DataFrame, df: DataFrame, folders: list[str]) -> DataFrame:
     return stored.filter(wanted)
 
 
-def not_stored(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet", folders: list[str] | None = None) -> DataFrame:
+def not_stored(
+    df: DataFrame, path: str, keys: list[str], fmt: str = "parquet", folders: list[str] | None = None, within: DataFrame | None = None
+) -> DataFrame:
     """Rows whose keys the table at ``path`` does not hold yet; all rows while there is no table.
 
     Null keys are equal. Where ``folders`` names the table's partition columns, only the folders that
-    ``df`` falls into are read.
+    ``df`` falls into are read; ``within``, if given, tells them without computing ``df`` for it.
     """
     reader = df.sparkSession.read
     if fmt == "csv":
@@ -152,7 +154,7 @@ def not_stored(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet",
             raise
         return df
     if folders:
-        stored = touched(stored, df, folders)
+        stored = touched(stored, df if within is None else within, folders)
     held = stored.select(*[F.col(k).alias(f"__k_{k}") for k in keys]).distinct()
     same = F.lit(True)
     for k in keys:
@@ -168,14 +170,16 @@ def _append(rows: DataFrame, path: str, folders: list[str], fmt: str = "parquet"
     writer.format(fmt).save(path)
 
 
-def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", slides: DataFrame | None = None) -> None:
     """Store per-tile predictions, one folder per stain, model version and bucket of slides.
 
     Slides that have predictions of the stain and version are left as they are, so a repeated run adds
-    nothing. A run reads the folders it writes to, whatever else is stored.
+    nothing. A run reads the folders it writes to, whatever else is stored. ``slides`` may list the
+    ``stain, model_ver, slide_id`` in ``df``, so that scores need not be computed to know the folders.
     """
     folders = ["stain", "model_ver", BUCKET]
-    rows = not_stored(bucketed(df), path, ["stain", "model_ver", "slide_id"], fmt, folders)
+    within = None if slides is None else bucketed(slides)
+    rows = not_stored(bucketed(df), path, ["stain", "model_ver", "slide_id"], fmt, folders, within)
     _append(rows, path, folders, fmt)
 
 
