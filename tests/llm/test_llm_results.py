@@ -110,19 +110,26 @@ def test_every_choice_of_blocks_finds_the_same_pairs(spark):
                     assert any((x ^ y) & m == 0 for m in masks)
 
 
-def test_fingerprint_of_lines_of_any_length(spark):
-    """The majority of the bits, with counts of four and of two bits in a long."""
+def test_line_sketches(spark):
+    """The majority of the word hashes' bits, a line in chunks, and bands over all its chunks."""
     from pyspark.sql import functions as F
 
     from tilewright.llm import linededup
 
     rnd = random.Random(5)
     lines = [" ".join(rnd.choice(WORDS) for _ in range(n)) for n in (1, 2, 3, 4, 40, 3000)]
-    frame = spark.createDataFrame(list(enumerate(lines)), "i int, norm string").withColumn("h", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
-    rows = frame.select("i", "h", linededup._majority(F.col("h"), 16).alias("a"), linededup._majority(F.col("h"), 32).alias("b")).collect()
-    for r in rows:
-        bits = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in r.h) > len(r.h))
-        assert r.a % (1 << 64) == bits == r.b % (1 << 64)
+    frame = spark.createDataFrame(list(enumerate(lines)), "i int, norm string")
+    hashes = {r.i: r.h for r in frame.select("i", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h")).collect()}
+    whole = {r.i: r for r in linededup.sketched(frame, ["i"], True).collect()}
+    for i, h in hashes.items():
+        bits = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+        assert whole[i].fp % (1 << 64) == bits and whole[i].words == len(h)
+    chunk, linededup._CHUNK = linededup._CHUNK, 100
+    try:
+        parts = [r for r in linededup.sketched(frame, ["i"], True).collect() if r.i == 5]
+    finally:
+        linededup._CHUNK = chunk
+    assert len(parts) == 30 and all(min(getattr(p, f"m{k}") for p in parts) == getattr(whole[5], f"m{k}") for k in range(21))
 
 
 def test_recall_of_fuzzy_lines(spark):
@@ -146,7 +153,7 @@ def test_recall_of_fuzzy_lines(spark):
         line = [word() for _ in range(4)]
         rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join([line[0][:-1] + "q", *line[1:]]))]
         typos.append(len(rows) - 1)
-    removed = {r.doc_id: r.n_removed for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    removed = {r.doc_id: r.n_removed for r in line_report(spark.createDataFrame(rows, "doc_id long, text string"), wide=True).collect()}
     assert all(removed[i] == 0 for i, _ in rows if i % 2 == 0)
     for kind in set(kinds.values()):
         mine = [removed[i] for i, k in kinds.items() if k == kind]
@@ -328,6 +335,45 @@ def test_added_spans(spark):
     assert random_ones[3] == 1 and random_ones[4] == 0
 
 
+def test_texts_of_many_matches(spark):
+    """A list of addresses and a list of digests in one row each: the time must not grow with the square."""
+    import time
+
+    from tilewright.llm import pii, secrets
+
+    rnd = random.Random(4)
+    mails = " ".join(f"user{i}@host{i % 97}.example.org" for i in range(100_000))
+    keys = " ".join(f"{rnd.getrandbits(128):032x}" for _ in range(60_000)) + " " + " ".join(f"Tok{rnd.getrandbits(120):030X}" for _ in range(40_000))
+    frame = spark.createDataFrame([(1, mails), (2, keys), (3, None)], "doc_id long, text string").coalesce(1)
+    for module, doc, counts in ((pii, 1, "n_email"), (secrets, 2, "n_hex")):
+        began = time.time()
+        rows = {r.doc_id: r for r in module.report(frame.filter(f"doc_id in ({doc}, 3)")).collect()}
+        print(module.__name__, round(time.time() - began, 1))
+        assert rows[doc][counts] == (100_000 if doc == 1 else 60_000) and rows[3][counts] == 0
+        plain = brute.personal(mails) if doc == 1 else brute.secrets(keys)
+        assert tuple(rows[doc])[1:1 + len(plain)] == plain
+
+
+def test_running_and_apart(spark):
+    from pyspark.sql import functions as F
+
+    from tilewright.llm.spans import apart, running
+
+    rnd = random.Random(6)
+
+    def spans(n):
+        cuts = sorted(rnd.sample(range(200), 2 * n))
+        return [(cuts[2 * i], cuts[2 * i + 1]) for i in range(n)]
+
+    rows = [(i, [rnd.randrange(-5, 9) for _ in range(rnd.randrange(0, 30))], spans(rnd.randrange(0, 20)), spans(rnd.randrange(0, 6)) + spans(rnd.randrange(0, 6))) for i in range(200)]
+    span = "array<struct<start: int, end: int>>"
+    frame = spark.createDataFrame(rows, f"i int, v array<int>, s {span}, o {span}")
+    for r in frame.select("i", running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("sums"), apart(F.col("s"), F.col("o")).alias("free")).collect():
+        _, v, s, o = rows[r.i]
+        assert r.sums == [sum(v[:k + 1]) for k in range(len(v))]
+        assert [tuple(x) for x in r.free] == [x for x in s if not any(a < x[1] and x[0] < b for a, b in o)]
+
+
 def _labelled(spark, n=600, seed=9):
     rnd = random.Random(seed)
     rows, labels = [], []

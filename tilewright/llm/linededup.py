@@ -1,12 +1,12 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
 Every line is normalised and gets a 64-bit SimHash of its words, whatever its length. Distinct lines meet in
-an equality join on keys: pigeonhole blocks of the fingerprint, which find every pair within ``DISTANCE``
-bits, and bands of least word hashes, which find lines that share most words though their fingerprints lie
-farther apart. What meets is filtered by the distance of the fingerprints and verified by edit similarity;
-linked lines form connected groups (``linking``: no pairs of a dense group are listed), and of each group
-the first occurrence stays. Equal lines are one item before the join, so a line that a third of the
-documents share is one row there.
+an equality join on pigeonhole blocks of the fingerprint, which find every pair within ``DISTANCE`` bits;
+``wide`` adds bands of least word hashes, which find lines that share most words though their fingerprints
+lie farther apart. What meets is filtered by the distance of the fingerprints and verified by edit
+similarity; linked lines form connected groups (``linking``: no pairs of a dense group are listed), and of
+each group the first occurrence stays. Equal lines are one item before the join, so a line that a third of
+the documents share is one row there.
 """
 
 from __future__ import annotations
@@ -21,15 +21,16 @@ from tilewright.llm.linking import linked_groups
 from tilewright.session import materialise
 
 #: Bits that may differ between fingerprints that meet in a pigeonhole block, and between any candidates. At an edit
-#: similarity of 0.8 a fifth of the words differ, which turns 13 bits on average, with a deviation of 3.3; of
-#: unrelated lines 32 differ.
-DISTANCE, WIDE = 3, 26
-#: Bands, and least word hashes in each. Lines with a fifth of their words replaced share a band in 97 of 100 cases.
-BANDS, ROWS = 10, 3
+#: similarity of 0.8 a fifth of the words differ, which turns 13 bits on average, with a deviation of 3.3.
+DISTANCE, WIDE = 3, 21
+#: Bands, and least word hashes in each. Lines with a fifth of their words replaced share a band in 91 of 100 cases.
+BANDS, ROWS = 7, 3
 #: Lines of up to so many characters are similar also if a fifth of their characters is changed.
 LETTERS = 256
-#: Counts of four bits share one long for lines of up to this many words, counts of two for longer ones.
-_SHORT = 60_000
+#: Counts of four bits share one long; a group of words counted so is at most _CHUNK words.
+_CHUNK = 32_000
+_FIELDS = 0x0001000100010001
+_LANES, _ONES = 0x0000FFFF0000FFFF, 0x0000000100000001
 
 
 def normalised(line: Column) -> Column:
@@ -41,61 +42,53 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _counts(hashes: Column, k: int, width: int) -> Column:
-    """How many hashes have bits k, k + width, ..., as fields of one long."""
-    fields = F.lit(sum(1 << at for at in range(0, 64, width)))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(fields))
+def _majority(count: Column, n: Column, k: int) -> Column:
+    """Bits k, k + 16, k + 32 and k + 48 of which one long holds the counts, set where they exceed half of ``n``.
 
+    Adding 2^16 minus the least majority carries into the bit above a count exactly where it is reached.
+    """
+    lift = (F.lit(1 << 16) - F.floor(n / 2) - 1) * F.lit(_ONES)
 
-def _majority(hashes: Column, width: int) -> Column:
-    """The bits that are set in more than half of the hashes."""
-    half = F.floor(F.size(hashes) / 2)
-
-    def bits(k: int):
-        def set_bits(counts: Column) -> Column:
-            out = F.lit(0).cast("long")
-            for at in range(0, 64, width):
-                field = F.shiftrightunsigned(counts, at).bitwiseAND(F.lit((1 << width) - 1))
-                out = out.bitwiseOR(F.when(field > half, F.lit(_signed(1 << (at + k)))).otherwise(F.lit(0).cast("long")))
-            return out
+    def half(field: Column) -> Column:
+        return F.shiftrightunsigned(field.bitwiseAND(F.lit(_LANES)) + lift, 16).bitwiseAND(F.lit(_ONES))
 
-        return set_bits
+    return F.shiftleft(half(count).bitwiseOR(F.shiftleft(half(F.shiftrightunsigned(count, 16)), 16)), k)
 
-    value = F.lit(0).cast("long")
-    for k in range(width):
-        # A step over an array of one binds the counts, which are looked at once per field.
-        value = value.bitwiseOR(F.transform(F.array(_counts(hashes, k, width)), bits(k))[0])
-    return value
 
+def _least() -> dict[str, Column]:
+    """Least word hashes under ``BANDS * ROWS`` orders, each drawn by xor with a fixed number."""
+    draw = random.Random(20)
+    return {f"m{i}": F.min(F.col("__g").bitwiseXOR(F.lit(draw.randrange(-1 << 31, 1 << 31)))) for i in range(BANDS * ROWS)}
 
-def simhash(hashes: Column) -> Column:
-    """The majority of each bit over the XXH64 of a line's words, repeats included."""
-    return F.when(F.size(hashes) <= _SHORT, _majority(hashes, 16)).otherwise(_majority(hashes, 32))
 
+def sketched(lines: DataFrame, keys: list[str], wide: bool) -> DataFrame:
+    """``keys, fp, words`` and, if ``wide``, the least word hashes of lines with a normalised text ``norm``.
 
-def bands(hashes: Column) -> Column:
-    """One hash per band over the least word hashes under ``ROWS`` orders, which are drawn by xor with fixed numbers."""
-    draw = random.Random(20)
-    masks = [[_signed(draw.getrandbits(64)) for _ in range(ROWS)] for _ in range(BANDS)]
-    least = lambda m: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(m))))
-    return F.array(*[F.xxhash64(*[least(m) for m in row]) for row in masks])
+    Words become rows and are counted by one aggregation, whose partial step leaves one row per line. ``fp``
+    is the majority of each bit over the XXH64 of the words, repeats included; a line of over ``_CHUNK`` words
+    gives a row per chunk, each with the majority of its own.
+    """
+    words = lines.select(*keys, F.posexplode(F.split("norm", " ")).alias("__at", "__word"))
+    hashed = words.select(
+        *keys, F.floor(F.col("__at") / _CHUNK).alias("__chunk"), F.xxhash64("__word").alias("__h"), F.hash("__word").alias("__g"))
+    sums = [F.sum(F.shiftrightunsigned("__h", k).bitwiseAND(F.lit(_FIELDS))).alias(f"__c{k}") for k in range(16)]
+    least = _least() if wide else {}
+    counted = hashed.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("words"), *sums, *[c.alias(n) for n, c in least.items()])
+    value = F.lit(0).cast("long")
+    for k in range(16):
+        value = value.bitwiseOR(_majority(F.col(f"__c{k}"), F.col("words"), k))
+    return counted.select(*keys, "words", value.alias("fp"), *least)
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row per line with ``min_words`` words or more: its place, key, fingerprint, size and bands."""
+def line_table(docs: DataFrame, min_words: int, wide: bool = False) -> DataFrame:
+    """One row per line with ``min_words`` words or more, or per chunk of a very long one: its place, key and sketches."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Normalising inside the generator keeps the filter from doing it a second time.
     norm = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("line_no"), normalised(line).alias("norm")))
     lines = base.select("doc_id", F.xxhash64("text").alias("text_key"), F.inline(norm))
     lines = lines.filter(F.col("norm").rlike("^[^ ]+" + " [^ ]+" * (min_words - 1)))
-    # A second generator binds the word hashes, which the fingerprint and the bands look at many times.
-    hashed = F.struct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hashes"))
-    lines = lines.select(
-        "doc_id", "text_key", "line_no", F.xxhash64("norm").alias("a"), F.hash("norm").alias("b"), F.length("norm").alias("letters"),
-        F.inline(F.array(hashed)))
-    return lines.select(
-        "doc_id", "text_key", "line_no", "a", "b", "letters", F.size("hashes").alias("words"), simhash(F.col("hashes")).alias("fp"),
-        bands(F.col("hashes")).alias("bands"))
+    lines = lines.withColumns({"a": F.xxhash64("norm"), "b": F.hash("norm")})
+    return sketched(lines, ["doc_id", "text_key", "line_no", "a", "b"], wide)
 
 
 def block_masks(items: int, distance: int = DISTANCE) -> list[int]:
@@ -117,8 +110,8 @@ def block_masks(items: int, distance: int = DISTANCE) -> list[int]:
     raise AssertionError
 
 
-def line_keys(masks: list[int]) -> Column:
-    """Keys of a line: its low six bits number the mask of a pigeonhole block, from 32 on a band."""
+def line_keys(masks: list[int], wide: bool) -> Column:
+    """Keys of a line: the low six bits number a band or, from ``BANDS`` on, the mask of a pigeonhole block."""
     low = (1 << 6) - 1
     assert len(masks) <= 63 - BANDS
 
@@ -126,7 +119,8 @@ def line_keys(masks: list[int]) -> Column:
         return value.bitwiseAND(F.lit(~low)).bitwiseOR(F.lit(i))
 
     blocks = [tagged(F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(m)))), BANDS + i) for i, m in enumerate(masks)]
-    return F.array(*blocks, *[tagged(F.col("bands")[i], i) for i in range(BANDS)])
+    bands = [tagged(F.xxhash64(*[F.col(f"m{i * ROWS + j}") for j in range(ROWS)]), i) for i in range(BANDS if wide else 0)]
+    return F.array(*blocks, *bands)
 
 
 def _near(similarity: float):
@@ -139,27 +133,33 @@ def _near(similarity: float):
             return F.least(one[size], two[size]) >= F.greatest(one[size], two[size]) * F.lit(similarity)
 
         banded = key.bitwiseAND(F.lit((1 << 6) - 1)) < BANDS
-        return F.when(banded, (apart <= WIDE) & (alike("words") | alike("letters"))).otherwise(apart <= DISTANCE)
+        # The fingerprint of a line in chunks is that of one chunk.
+        long = F.greatest(one["words"], two["words"]) > _CHUNK
+        return F.when(banded, ((apart <= WIDE) | long) & alike("words")).otherwise(apart <= DISTANCE)
 
     return near
 
 
-def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3) -> DataFrame:
+def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3, wide: bool = False) -> DataFrame:
     """Places of the lines to remove: ``doc_id, text_key, line_no``.
 
     ``text_key`` is the XXH64 of the text, which tells rows with one id and different texts apart; rows
     that repeat both are one document. The first occurrence is that of the smallest document id; null
     ids come last. Lines of fewer than ``min_words`` words, blank lines and null texts are never
-    duplicates. Equal lines are those with equal 96-bit hashes of the normalised text. Not lazy: steps are
-    stored in the shared folder.
+    duplicates. Equal lines are those with equal 96-bit hashes of the normalised text. Candidates
+    are lines within ``DISTANCE`` bits, which misses many pairs near the limit of the similarity; ``wide``
+    finds nine of ten of these too, at several times the cost. Not lazy: steps are stored in the shared folder.
     """
-    lines = materialise(line_table(docs, min_words), "lines")
+    lines = materialise(line_table(docs, min_words, wide), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key", "line_no")
-    facts = ["fp", "words", "letters", "bands"]
+    # Chunks of a line come together here: the least hashes are those of the whole line.
+    facts = [F.min("fp").alias("fp"), F.max("words").alias("words")]
     items = materialise(
-        lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("weight"), *[F.first(c).alias(c) for c in facts]),
+        lines.groupBy("a", "b").agg(
+            F.min(place).alias("first"), F.count(F.lit(1)).alias("weight"), *facts,
+            *[F.min(n).alias(n) for n in (_least() if wide else ())]),
         "line-items")
-    keys = line_keys(block_masks(items.count()))
+    keys = line_keys(block_masks(items.count()), wide)
 
     def verify(links: DataFrame) -> DataFrame:
         pairs = materialise(links, "line-pairs")
@@ -171,14 +171,14 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
 
     nodes = items.withColumnRenamed("a", "id")
     grouped = linked_groups(
-        nodes, lambda df: df.withColumn("key", F.explode(keys)), _near(similarity), ["fp", "words", "letters"], verify,
-        store_keys=True)
+        nodes, lambda df: df.withColumn("key", F.explode(keys)), _near(similarity), ["fp", "words"], verify,
+        store_keys=wide)
     named = grouped.select(F.col("id").alias("a"), "b", "first", "weight", "component")
     heads = named.groupBy("component").agg(F.min("first").alias("keep"))
     kept = named.join(heads, "component").filter("weight > 1 or keep <> first").select("a", "b", "keep")
     return (
         lines.select("a", "b", "doc_id", "text_key", "line_no", place.alias("here")).join(kept, ["a", "b"])
-        .filter(~F.col("here").eqNullSafe(F.col("keep"))).select("doc_id", "text_key", "line_no")
+        .filter(~F.col("here").eqNullSafe(F.col("keep"))).select("doc_id", "text_key", "line_no").distinct()
     )
 
 
@@ -233,13 +233,15 @@ def _line_texts(docs: DataFrame, shown: DataFrame) -> DataFrame:
     return cut.groupBy("a").agg(F.first("norm").alias("norm"))
 
 
-def drop_duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3, drop_emptied: bool = True) -> DataFrame:
+def drop_duplicate_lines(
+    docs: DataFrame, similarity: float = 0.8, min_words: int = 3, drop_emptied: bool = True, wide: bool = False
+) -> DataFrame:
     """``docs`` with duplicate lines cut out of ``text`` (and ``n_chars`` measured anew, if there is one).
 
     A document that loses all its lines is a copy made up of lines kept elsewhere; it goes unless
     ``drop_emptied`` is false. All other columns and all untouched texts stay as they are.
     """
-    gone = _per_document(duplicate_lines(docs, similarity, min_words))
+    gone = _per_document(duplicate_lines(docs, similarity, min_words, wide))
     rest = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i))
     hit = F.col("__gone").isNotNull()
     out = _with_gone(docs, gone).withColumn("__rest", F.when(hit, rest))
@@ -251,9 +253,9 @@ def drop_duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: in
     return out.select(*docs.columns)
 
 
-def line_report(docs: DataFrame, similarity: float = 0.8, min_words: int = 3) -> DataFrame:
+def line_report(docs: DataFrame, similarity: float = 0.8, min_words: int = 3, wide: bool = False) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_text`` of every row of ``docs``; a null text has no lines."""
-    gone = _per_document(duplicate_lines(docs, similarity, min_words))
+    gone = _per_document(duplicate_lines(docs, similarity, min_words, wide))
     lines = F.split("text", "\n")
     rest = F.filter(lines, lambda _, i: ~F.array_contains(F.col("__gone"), i))
     hit = F.col("__gone").isNotNull()
