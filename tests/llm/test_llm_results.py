@@ -335,45 +335,6 @@ def test_added_spans(spark):
     assert random_ones[3] == 1 and random_ones[4] == 0
 
 
-def test_texts_of_many_matches(spark):
-    """A list of addresses and a list of digests in one row each: the time must not grow with the square."""
-    import time
-
-    from tilewright.llm import pii, secrets
-
-    rnd = random.Random(4)
-    mails = " ".join(f"user{i}@host{i % 97}.example.org" for i in range(100_000))
-    keys = " ".join(f"{rnd.getrandbits(128):032x}" for _ in range(60_000)) + " " + " ".join(f"Tok{rnd.getrandbits(120):030X}" for _ in range(40_000))
-    frame = spark.createDataFrame([(1, mails), (2, keys), (3, None)], "doc_id long, text string").coalesce(1)
-    for module, doc, counts in ((pii, 1, "n_email"), (secrets, 2, "n_hex")):
-        began = time.time()
-        rows = {r.doc_id: r for r in module.report(frame.filter(f"doc_id in ({doc}, 3)")).collect()}
-        print(module.__name__, round(time.time() - began, 1))
-        assert rows[doc][counts] == (100_000 if doc == 1 else 60_000) and rows[3][counts] == 0
-        plain = brute.personal(mails) if doc == 1 else brute.secrets(keys)
-        assert tuple(rows[doc])[1:1 + len(plain)] == plain
-
-
-def test_running_and_apart(spark):
-    from pyspark.sql import functions as F
-
-    from tilewright.llm.spans import apart, running
-
-    rnd = random.Random(6)
-
-    def spans(n):
-        cuts = sorted(rnd.sample(range(200), 2 * n))
-        return [(cuts[2 * i], cuts[2 * i + 1]) for i in range(n)]
-
-    rows = [(i, [rnd.randrange(-5, 9) for _ in range(rnd.randrange(0, 30))], spans(rnd.randrange(0, 20)), spans(rnd.randrange(0, 6)) + spans(rnd.randrange(0, 6))) for i in range(200)]
-    span = "array<struct<start: int, end: int>>"
-    frame = spark.createDataFrame(rows, f"i int, v array<int>, s {span}, o {span}")
-    for r in frame.select("i", running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("sums"), apart(F.col("s"), F.col("o")).alias("free")).collect():
-        _, v, s, o = rows[r.i]
-        assert r.sums == [sum(v[:k + 1]) for k in range(len(v))]
-        assert [tuple(x) for x in r.free] == [x for x in s if not any(a < x[1] and x[0] < b for a, b in o)]
-
-
 def _labelled(spark, n=600, seed=9):
     rnd = random.Random(seed)
     rows, labels = [], []
