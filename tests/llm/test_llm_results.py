@@ -81,18 +81,25 @@ def test_dense_group_is_linked_without_its_pairs(spark):
 
 
 def test_fuzzy_lines(corpus):
-    from tilewright.llm.linededup import drop_duplicate_lines, line_report
+    """Against edit similarity of all pairs: nothing else goes, every exact repeat goes, and with ``wide`` nearly all."""
+    from tilewright.llm.linededup import drop_duplicate_lines, duplicate_lines, line_report
 
     rows, _, _, docs = corpus
-    gone = brute.removed_lines(rows)
     texts = dict(rows)
+    wanted = {(i, n) for i, lines in brute.removed_lines(rows).items() for n in lines}
+    exact = {(i, n) for i, lines in brute.removed_lines(rows, similarity=1.0).items() for n in lines}
+    close = {(r.doc_id, r.line_no) for r in duplicate_lines(docs).collect()}
+    found = {(r.doc_id, r.line_no) for r in duplicate_lines(docs, wide=True).collect()}
+    print(len(wanted), len(exact), len(close), len(found))
+    assert exact <= close <= wanted and found <= wanted and len(found) >= 0.97 * len(wanted)
 
     def kept(i):
-        return None if texts[i] is None else "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in gone.get(i, []))
+        return None if texts[i] is None else "\n".join(x for n, x in enumerate(texts[i].split("\n")) if (i, n) not in close)
 
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_report(docs).collect()}
-    assert got == {i: (len(t.split("\n")) if t is not None else 0, len(gone.get(i, [])), kept(i)) for i, t in rows}
-    emptied = {i for i in gone if not kept(i).strip()}
+    gone = lambda i: sum(d == i for d, _ in close)
+    assert got == {i: (len(t.split("\n")) if t is not None else 0, gone(i), kept(i)) for i, t in rows}
+    emptied = {i for i, t in rows if gone(i) and not kept(i).strip()}
     assert {r.doc_id: r.text for r in drop_duplicate_lines(docs).collect()} == {i: kept(i) for i, _ in rows if i not in emptied}
 
 

@@ -123,8 +123,11 @@ def line_keys(masks: list[int], wide: bool) -> Column:
     return F.array(*blocks, *bands)
 
 
-def _near(similarity: float):
-    """Candidates: close fingerprints in a block; in a band, fingerprints and lengths that a similar pair can have."""
+def _near(similarity: float, masks: list[int]):
+    """Candidates: close fingerprints in a block; in a band, fingerprints that a similar pair can have.
+
+    Sizes must be those of a similar pair, and a pair that agrees in several blocks is taken at the first.
+    """
     def near(a: str, b: str, key: Column) -> Column:
         one, two = F.col(a), F.col(b)
         apart = F.bit_count(one["fp"].bitwiseXOR(two["fp"]))
@@ -132,10 +135,14 @@ def _near(similarity: float):
         def alike(size: str) -> Column:
             return F.least(one[size], two[size]) >= F.greatest(one[size], two[size]) * F.lit(similarity)
 
-        banded = key.bitwiseAND(F.lit((1 << 6) - 1)) < BANDS
+        number = key.bitwiseAND(F.lit((1 << 6) - 1))
+        banded = number < BANDS
+        first = F.lit(True)
+        for i, m in enumerate(masks[:-1]):
+            first = first & ((number <= BANDS + i) | (one["fp"].bitwiseXOR(two["fp"]).bitwiseAND(F.lit(_signed(m))) != 0))
         # The fingerprint of a line in chunks is that of one chunk.
         long = F.greatest(one["words"], two["words"]) > _CHUNK
-        return F.when(banded, ((apart <= WIDE) | long) & alike("words")).otherwise(apart <= DISTANCE)
+        return alike("words") & F.when(banded, (apart <= WIDE) | long).otherwise((apart <= DISTANCE) & first)
 
     return near
 
@@ -159,7 +166,8 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
             F.min(place).alias("first"), F.count(F.lit(1)).alias("weight"), *facts,
             *[F.min(n).alias(n) for n in (_least() if wide else ())]),
         "line-items")
-    keys = line_keys(block_masks(items.count()), wide)
+    masks = block_masks(items.count())
+    keys = line_keys(masks, wide)
 
     def verify(links: DataFrame) -> DataFrame:
         pairs = materialise(links, "line-pairs")
@@ -167,11 +175,11 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
         texts = materialise(_line_texts(docs, items.select("first", "a").join(ends, "a")), "line-texts")
         both = pairs.join(texts.withColumnsRenamed({"a": "src"}), "src").join(
             texts.select(F.col("a").alias("dst"), F.col("norm").alias("norm2")), "dst")
-        return materialise(similar_texts(both, similarity).select("src", "dst"), "line-links")
+        return similar_texts(both, similarity).select("src", "dst")
 
     nodes = items.withColumnRenamed("a", "id")
     grouped = linked_groups(
-        nodes, lambda df: df.withColumn("key", F.explode(keys)), _near(similarity), ["fp", "words"], verify,
+        nodes, lambda df: df.withColumn("key", F.explode(keys)), _near(similarity, masks), ["fp", "words"], verify,
         store_keys=wide)
     named = grouped.select(F.col("id").alias("a"), "b", "first", "weight", "component")
     heads = named.groupBy("component").agg(F.min("first").alias("keep"))
