@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,14 @@ def test_sliding_windows_stay_inside(spark):
     box = spark.createDataFrame([(0, 0, 10, 10, 100, 100)], "start_0 bigint, start_1 bigint, end_0 bigint, end_1 bigint, h bigint, w bigint")
     got = sorted((r.pos_0, r.pos_1) for r in tiling.sliding_windows(box, ("h", "w"), (4, 4), 0.5).collect())
     assert got == [(a, b) for a in (0, 2, 4, 6) for b in (0, 2, 4, 6)]
+
+
+def test_tile_boxes_are_those_of_the_kept_tiles(spark):
+    from tilewright.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not mounted")
+    kept = {(r.slide_id, r.cont_idx, r.x, r.y, r.x + 256, r.y + 256) for r in catalogue.QUERIES["g4b_contour_center"](spark, sf).collect()}
+    boxes = catalogue.QUERIES["g13_tile_box"](spark, sf).select("slide_id", "cont_idx", "x_min", "y_min", "x_max", "y_max")
+    assert kept and {tuple(r) for r in boxes.collect()} == kept

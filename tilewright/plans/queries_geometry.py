@@ -185,7 +185,7 @@ def g12(spark: SparkSession, sf: str) -> DataFrame:
 @query("g13_tile_box", sql(f"""
 select slide_id, cont_idx, x as x_min, y as y_min, x + {PATCH} as x_max, y + {PATCH} as y_max from kept""", "edges", extra=tested("center")))
 def g13(spark: SparkSession, sf: str) -> DataFrame:
-    tiles = candidates_in(spark, sf, "center").select("slide_id", "cont_idx", "x", "y")
+    tiles = tiling.span_tiles(tiling.grid_spans(bounds(spark, sf), "center"))
     return tiling.tile_box(tiles, F.lit(PATCH))
 
 
