@@ -120,3 +120,16 @@ def test_points_in_polygons(spark, mode):
             if s == 1 and (all(hits) if mode == "all" else any(hits)):
                 want.add(i)
         assert got == want
+
+
+@pytest.mark.parametrize("mode", ["center", "all"])
+def test_point_filters_broadcast_nothing(spark, mode):
+    """Tables that are planned as small, as those a small table is exploded to, stay off the driver."""
+    at = F.col("id") * 10
+    tiles = spark.range(4).select(
+        F.lit(1).alias("slide_id"), F.col("id").alias("tile_id"), at.alias("x_min"), at.alias("y_min"), (at + 4).alias("x_max"), (at + 4).alias("y_max"))
+    corner = lambda x, y: F.struct(F.lit(x).cast("bigint").alias("x"), F.lit(y).cast("bigint").alias("y"))
+    square = spark.range(1).select(F.lit(1).alias("slide_id"), F.array(corner(5, 5), corner(28, 5), corner(28, 28), corner(5, 28)).alias("points"))
+    kept = tiling.filter_tiles(tiles, square, mode)
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.tile_id for r in kept.collect()) == [1, 2]

@@ -45,13 +45,14 @@ def on_lattice(edges: DataFrame, first: Column, step: Column, count: Column, nam
 def at_rows(edges: DataFrame, rows: DataFrame, keys: list[str], height: int = BAND) -> DataFrame:
     """Edges joined with the rows (``keys, row``, each once) that they span or touch.
 
-    Both are cut into bands of ``height``, so an edge meets the rows of its bands only.
+    Both are cut into bands of ``height``, so an edge meets the rows of its bands only. Bands and rows grow with
+    the polygons, but are planned as small as the table they come from; the hint keeps them off the driver.
     """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     band = lambda y: floor_div(y, F.lit(height))
     spread = edges.withColumn("__band", F.explode(F.sequence(band(low), band(high))))
     lines = rows.select(*keys, "row", band(F.col("row")).alias("__band"))
-    return spread.join(lines, [*keys, "__band"]).filter(F.col("row").between(low, high)).drop("__band")
+    return spread.hint("merge").join(lines, [*keys, "__band"]).filter(F.col("row").between(low, high)).drop("__band")
 
 
 def _crossings(crossed: DataFrame, keep: list[str]) -> DataFrame:

@@ -304,7 +304,8 @@ def filter_tiles(tiles: DataFrame, polygons: DataFrame, mode: str = "center", ke
 
     The rows that hold points are cut through the polygons once, into runs; a point then meets the runs
     of its row. Whole coordinates are tested at twice the size, so half pixels are exact; fractions are
-    taken to a 1024th of a pixel. A polygon given twice counts once.
+    taken to a 1024th of a pixel. A polygon given twice counts once. Runs and points grow with the tiles and
+    meet by merging: none of them is broadcast.
     """
     keys = keys or ["tile_id"]
     pair = polygons.schema["points"].dataType.elementType
@@ -320,13 +321,13 @@ def filter_tiles(tiles: DataFrame, polygons: DataFrame, mode: str = "center", ke
     left, right = (F.col(c).between(F.col("start"), F.col("stop")) for c in ("left", "right"))
     met = (F.col("slide_id") == F.col("__s")) & (F.col("row") == F.col("__row")) & (left | right)
     if mode != "all":
-        inside = points.join(runs, met, "left_semi")
+        inside = points.join(runs.hint("merge"), met, "left_semi")
     else:
         bits = F.when(left, 1).otherwise(0) + F.when(right, 2).otherwise(0)
-        found = points.join(runs, met).groupBy("slide_id", *keys).agg(
+        found = points.join(runs.hint("merge"), met).groupBy("slide_id", *keys).agg(
             F.bit_or(F.call_function("shiftleft", bits, 2 * F.col("corner"))).alias("__bits"))
         inside = found.filter(F.col("__bits") == 15)
-    return tiles.join(inside.select("slide_id", *keys), ["slide_id", *keys], "left_semi")
+    return tiles.join(inside.select("slide_id", *keys).hint("merge"), ["slide_id", *keys], "left_semi")
 
 
 def coord_product(df: DataFrame, x: tuple[Column, Column, Column], y: tuple[Column, Column, Column]) -> DataFrame:
