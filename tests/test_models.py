@@ -229,3 +229,16 @@ def test_threshold_study_from_files(spark):
         "p", {"N": 0, "EQV": 0, "WT": 1, "Y": 1}, grid=[0.2, 0.5, 0.6])
     rates = {r.threshold: (r.tp, r.fp, r.fn, r.tn) for r in out["rates"].collect()}
     assert rates[0.2] == (2, 2, 0, 0) and rates[0.5] == rates[0.6] == (2, 0, 0, 2)
+
+
+def test_tasks_of_a_heat_grid_grow_with_the_tiles(spark):
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert heatmap.task_count(spark.range(10)) == 1
+    assert heatmap.task_count(spark.range(width * heatmap.LEAST_TILES)) == width
+    assert heatmap.task_count(spark.range(5 * width * heatmap.TASK_TILES)) == 5 * width
+    tiles = spark.range(50).select(
+        F.lit(1).alias("slide_id"), (F.col("id") % 7 * 3).alias("x"), (F.col("id") % 5 * 4).alias("y"), (F.col("id") / 50).alias("v"))
+    span = lambda c: F.struct(F.col(c).alias("lo"), (F.col(c) + 6).alias("hi")).alias(c)
+    placed = tiles.select("slide_id", span("x"), span("y"), "v")
+    one, many = (sorted(map(tuple, heatmap.cell_sums(placed, n).collect())) for n in (1, 7))
+    assert one == many and sum(r[-1] for r in one) == 50 * 36

@@ -2,14 +2,27 @@
 
 A tile adds to the grid at its four corners only. Running sums along the grid lines that hold corners,
 then down the columns, give sum and count of every cell, so rows grow with tiles and cells, not with
-how many tiles overlap.
+how many tiles overlap. Each shuffle is dealt to as many tasks as the tiles need, so a task's share, its
+sums and its sorts do not grow with the table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tilewright.operators.sampling import percentiles, screen_coords
+from tilewright.session import shuffle_width
+
+#: Tiles for which a shuffle has one task at least, and tiles too few for a task of their own.
+TASK_TILES, LEAST_TILES = 1 << 18, 1 << 15
+
+
+def task_count(tiles: DataFrame) -> int:
+    """Tasks of a shuffle of ``tiles``: the session's width, fewer for few tiles, more for many. Counts the rows."""
+    n = tiles.count()
+    return max(1, min(shuffle_width(tiles.sparkSession), math.ceil(n / LEAST_TILES)), math.ceil(n / TASK_TILES))
 
 
 def heat_grid(
@@ -27,7 +40,8 @@ def heat_grid(
     """``slide_id, cell_x, cell_y, value`` for every covered cell.
 
     ``sizes`` holds ``slide_id, dx, dy, width, height`` of the shown level. Scores are divided by
-    ``scale`` before the threshold; a negative threshold stands for one over the tile count.
+    ``scale`` before the threshold; a negative threshold stands for one over the tile count. Counts the
+    tiles once to size the tasks.
     """
     df = tiles
     if binarize and thresh < 0:
@@ -59,15 +73,16 @@ def heat_grid(
     shown = F.col("__score") >= F.col("__cut")
     value = F.when(shown, F.lit(1.0) if binarize else F.col("__score")).otherwise(F.lit(0.0))
     placed = df.select("slide_id", value.alias("v"), span("x_min", sx, "width", 0).alias("x"), span("y_min", sy, "height", 1).alias("y"))
-    sums = cell_sums(placed.filter("x.lo < x.hi and y.lo < y.hi"))
+    sums = cell_sums(placed.filter("x.lo < x.hi and y.lo < y.hi"), task_count(tiles))
     return sums.select("slide_id", "cell_x", "cell_y", (F.bround("mean", 0) if binarize else F.col("mean")).alias("value"))
 
 
-def cell_sums(placed: DataFrame) -> DataFrame:
+def cell_sums(placed: DataFrame, tasks: int) -> DataFrame:
     """``slide_id, cell_x, cell_y, mean, n`` of all cells under boxes ``slide_id, x, y, v``; ``x, y`` hold ``lo, hi``.
 
     Values are summed as whole numbers in two parts, so what is taken off at a box's far side is what was
-    added, to the last digit.
+    added, to the last digit. Rows are dealt to ``tasks`` tasks before they are summed: sums within a split of
+    the input would hold all boxes of the split, and adaptive execution would pack small shares together.
     """
     names = ["high", "low", "n"]
     scaled = placed.select("slide_id", "x", "y", (F.col("v") * float(1 << 30)).alias("s"))
@@ -78,10 +93,11 @@ def cell_sums(placed: DataFrame) -> DataFrame:
     def corner(line: str, at: str, sign: int) -> Column:
         return F.struct(F.col(f"y.{line}").alias("line"), F.col(f"x.{at}").alias("at"), *[(sign * F.col(n)).alias(n) for n in names])
 
-    corners = whole.select("slide_id", F.inline(F.array(
+    # Boxes at one place become one, so a slide's lines are no longer than its grid.
+    boxes = whole.repartition(tasks, "slide_id", "x", "y").groupBy("slide_id", "x", "y").agg(*[F.sum(n).alias(n) for n in names])
+    corners = boxes.select("slide_id", F.inline(F.array(
         corner("lo", "lo", 1), corner("lo", "hi", -1), corner("hi", "lo", -1), corner("hi", "hi", 1))))
-    # Corners at one place are summed before the shuffle.
-    marks = corners.groupBy("slide_id", "line", "at").agg(*[F.sum(n).alias(n) for n in names])
+    marks = corners.repartition(tasks, "slide_id", "line").groupBy("slide_id", "line", "at").agg(*[F.sum(n).alias(n) for n in names])
 
     def running(df: DataFrame, keys: list[str], order: str) -> DataFrame:
         """Sums up to each mark, of which no two are at one place, and the stretch on which they hold."""
@@ -91,6 +107,6 @@ def cell_sums(placed: DataFrame) -> DataFrame:
 
     steps = running(marks, ["slide_id", "line"], "at").filter(((F.col("n") != 0) | (F.col("high") != 0) | (F.col("low") != 0)) & F.col("hi").isNotNull())
     wide = steps.select("slide_id", "line", F.explode(F.sequence("lo", "hi")).alias("cell_x"), *names)
-    cells = running(wide, ["slide_id", "cell_x"], "line").filter((F.col("n") > 0) & F.col("hi").isNotNull())
+    cells = running(wide.repartition(tasks, "slide_id", "cell_x"), ["slide_id", "cell_x"], "line").filter((F.col("n") > 0) & F.col("hi").isNotNull())
     mean = (F.col("high") + F.col("low") / float(1 << 40)) / float(1 << 30) / F.col("n")
     return cells.select("slide_id", "cell_x", F.explode(F.sequence("lo", "hi")).alias("cell_y"), mean.alias("mean"), "n")
