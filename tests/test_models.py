@@ -242,3 +242,17 @@ def test_tasks_of_a_heat_grid_grow_with_the_tiles(spark):
     placed = tiles.select("slide_id", span("x"), span("y"), "v")
     one, many = (sorted(map(tuple, heatmap.cell_sums(placed, n).collect())) for n in (1, 7))
     assert one == many and sum(r[-1] for r in one) == 50 * 36
+
+
+def test_neighbours_hold_one_strip_of_similarities():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(3)
+    block = pa.table({"id": np.arange(8192), "v": pa.array(list(rnd.normal(size=(8192, 8)).astype(np.float32)), pa.list_(pa.float32()))})
+    tracemalloc.start()
+    found = embeddings._best(block, block, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 3 * 8192 and peak < 50_000_000

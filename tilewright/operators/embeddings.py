@@ -35,7 +35,11 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _best(lhs: pa.Table, rhs: pa.Table, k: int, strip: int = 1024) -> pa.Table:
+#: Similarities that are held at once: 8 MB, however long the blocks are.
+STRIP_CELLS = 1 << 20
+
+
+def _best(lhs: pa.Table, rhs: pa.Table, k: int) -> pa.Table:
     """The ``k`` most similar rows of ``rhs`` for each row of ``lhs``, strip by strip."""
     if not lhs.num_rows or not rhs.num_rows:
         return _FOUND.empty_table()
@@ -43,6 +47,7 @@ def _best(lhs: pa.Table, rhs: pa.Table, k: int, strip: int = 1024) -> pa.Table:
     a, b = lhs.column("id").to_numpy(), rhs.column("id").to_numpy()
     lvec, rvec = _unit(lhs.column("v")), _unit(rhs.column("v"))
     keep = min(k, len(b))
+    strip = max(1, STRIP_CELLS // len(b))
     found = []
     for at in range(0, len(a), strip):
         ids = a[at:at + strip]
