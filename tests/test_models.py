@@ -256,3 +256,15 @@ def test_neighbours_hold_one_strip_of_similarities():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found.num_rows == 3 * 8192 and peak < 50_000_000
+
+
+def test_files_of_the_running_triage_grow_with_the_tiles(spark, tmp_path, monkeypatch):
+    """The largest task reads a file of about a million tiles, not a fixed share of the table."""
+    from tilewright.plans import catalogue, queries_models
+
+    monkeypatch.setattr(queries_models.tables, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    keys = {"l_orderkey": F.col("id"), "l_linenumber": F.lit(1), "l_partkey": F.col("id") % 100, "l_suppkey": F.col("id") % 10}
+    spark.range(4_100_000).select(*[c.cast("long").alias(n) for n, c in keys.items()]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalogue.QUERIES["st1_running_triage"](spark, str(tmp_path)).collect()
+    assert len(rows) == 10 and sum(r.tiles for r in rows) == 4_100_000
+    assert len(list((tmp_path / "arriving").glob("*.parquet"))) == 6

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tilewright.functions import vectors
@@ -271,8 +273,10 @@ from tiles group by slide_id""", "tiles"))
 def st1(spark: SparkSession, sf: str) -> DataFrame:
     folder, out, state = (tables.scratch_path(spark, n) for n in ("arriving", "running", "state"))
     tiles = proxies.tile_scores(spark, sf).withColumn("model_ver", F.lit("v1"))
-    tiles.repartition(4, "tile_id").write.parquet(folder)
-    stream = triage_stream.prediction_stream(spark, folder, tiles.schema, max_files=2)
+    # Files hold about a million tiles however many arrive; they still arrive in two batches.
+    files = 2 * max(2, math.ceil(tiles.count() / 2_000_000))
+    tiles.repartition(files, "tile_id").write.parquet(folder)
+    stream = triage_stream.prediction_stream(spark, folder, tiles.schema, max_files=files // 2)
     running = triage_stream.running_triage(stream, "score", 0.93, 3, 40)
     handle = triage_stream.start_upserts(running, out, state, available_now=True)
     handle.awaitTermination()
