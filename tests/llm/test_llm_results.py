@@ -8,6 +8,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 WORDS = [a + b for a in "ka lo mi ru te no si va".split() for b in "n r st l k m d sh".split()]
 INSULTS = ["blarg", "snorf", "wibble"]
@@ -491,3 +492,28 @@ def test_quality_prior_is_that_of_all_labels(spark):
     wanted = np.log(450 / 150)
     for per_class in (4000, 100):
         assert abs(quality.fit(docs, labels, per_class=per_class).base - wanted) < 1e-9
+
+
+def test_near_copy_stage_goes_by_simhash(spark, monkeypatch):
+    """Fingerprints within four bits are linked without the bands, and only if the Jaccard holds."""
+    import corpus_pipeline
+    from tilewright.llm import simhash
+
+    rnd = random.Random(21)
+    for _ in range(8):
+        a = rnd.getrandbits(64)
+        b = a
+        for at in rnd.sample(range(64), rnd.randint(0, 4)):
+            b ^= 1 << at
+        signed = [(v - (1 << 64) if v >> 63 else v,) for v in (a, b)]
+        one, two = (set(r.k) for r in spark.createDataFrame(signed, "fp long").select(simhash.part_keys(F.col("fp")).alias("k")).collect())
+        assert one & two
+    monkeypatch.setattr(simhash, "_bands", lambda hashes, odd, add: np.array([hashes.view(np.int64)[0] ^ rnd.getrandbits(62)]))
+    texts = []
+    for _ in range(40):
+        w = [rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(400)]
+        texts += [" ".join(w), " ".join([*w[:-1], "other"])]
+    near = [i for i in range(0, len(texts), 2) if bin(simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[i + 1], 5)).count("1") <= 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()}
+    assert near and kept == set(range(len(texts))) - {i + 1 for i in near}

@@ -27,19 +27,30 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
     Only ASCII letters are lowered and only ASCII white space parts words. Fewer words than ``width``
     are one shingle; no words give zero.
     """
+    words = _words(text)
+    return majority(_hashes(words, width, seed)) if words else 0
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; a sequence of ``width`` words or fewer is one shingle."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:len(words) - width].tolist()]
     stops = (ends[width - 1:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], dtype="<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(BITS, dtype=np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         part = hashes[lo:lo + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -131,11 +142,7 @@ BANDS, ROWS = 16, 4
 
 def shingle_hashes(text: str, width: int = 5) -> np.ndarray:
     """Sorted distinct XXH64 of all shingles of ``width`` words, parted and lowered as in ``fingerprint``."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    joined = [b" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))]
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in joined], dtype=np.uint64))
+    return np.unique(_hashes(_words(text), width, 42))
 
 
 def _bands(hashes: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
@@ -154,12 +161,28 @@ def _bands(hashes: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+#: Two of so many parts of a fingerprint are a key: four differing bits leave two parts untouched.
+PARTS = 6
+
+
+def part_keys(fp: Column) -> Column:
+    """One key per pair of the ``PARTS`` parts: fingerprints within ``PARTS - 2`` bits share one at least."""
+    cuts = [BITS * i // PARTS for i in range(PARTS + 1)]
+    pairs = [(i, j) for i in range(PARTS) for j in range(i)]
+    masks = [_mask(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    return F.array(*[F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(masks[i])), fp.bitwiseAND(F.lit(masks[j]))) for n, (i, j) in enumerate(pairs)])
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, max_distance: int = PARTS - 2) -> DataFrame:
     """``doc_id, component_id`` of every row: documents linked at a Jaccard of ``similarity`` of their shingles.
 
-    Candidates share a band of a MinHash signature; each is verified on the distinct shingles of both
-    texts. Equal sequences of words are one item. Documents without words are one group. Not lazy.
+    Candidates are documents whose SimHash fingerprints differ in at most ``max_distance`` bits, and, since
+    pairs at the least similarity often differ in more, those that share a band of a MinHash signature; each is
+    verified on the distinct shingles of both texts. Equal sequences of words are one item. Documents without
+    words are one group. Not lazy.
     """
+    if not 0 <= max_distance <= PARTS - 2:
+        raise ValueError(f"max_distance must be between 0 and {PARTS - 2}")
     draw = np.random.default_rng(1)
     odd, add = (draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -167,26 +190,31 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5)
         import xxhash
 
         for batch in batches:
-            ids, sizes, bands = [], [], []
+            ids, fps, sizes, bands = [], [], [], []
             for t in batch.column(1):
-                text = t.as_py() or ""
-                hashes = shingle_hashes(text, width)
-                ids.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split())))
+                words = _words(t.as_py() or "")
+                every = _hashes(words, width, 42)
+                hashes = np.unique(every)
+                ids.append(xxhash.xxh64_intdigest(b" ".join(words)))
+                fps.append(majority(every) if words else 0)
                 sizes.append(len(hashes))
                 bands.append(_bands(hashes, odd, add))
+            whole = [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (ids, fps)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64())), batch.column(1)], names=["doc_id", "id", "size", "bands", "text"])
+                [batch.column(0), *whole, pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), batch.column(1)],
+                names=["doc_id", "id", "fp", "size", "bands", "text"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = materialise(source.mapInArrow(run, "doc_id long, id long, size long, bands array<long>, text string"), "shingled")
+    marks = materialise(source.mapInArrow(run, "doc_id long, id long, fp long, size long, bands array<long>, text string"), "shingled")
     items = materialise(marks.groupBy("id").agg(
-        F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("weight"), F.first("size").alias("size"),
+        F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("weight"), F.first("fp").alias("fp"), F.first("size").alias("size"),
         F.first("bands").alias("bands"), F.first("text").alias("text")), "similar-items")
 
     def near(a: str, b: str, key: Column) -> Column:
         one, two = F.col(f"{a}.size"), F.col(f"{b}.size")
-        return F.least(one, two) >= F.greatest(one, two) * F.lit(similarity)
+        bits = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp")))
+        banded = key.bitwiseAND(F.lit(1)) == 1
+        return (F.least(one, two) >= F.greatest(one, two) * F.lit(similarity)) & (banded | (bits <= max_distance))
 
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,8 +231,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5)
             texts.select(F.col("id").alias("dst"), F.col("text").alias("y")), "dst")
         return materialise(both.select("src", "dst", "x", "y").mapInArrow(jaccard, "src long, dst long"), "similar-links")
 
-    keyed = lambda df: df.withColumn("key", F.explode("bands"))
-    grouped = materialise(linked_groups(items.drop("text"), keyed, near, ["size"], verify), "similar-groups")
+    # The last bit of a key tells a band from two parts of a fingerprint.
+    of_parts = F.transform(part_keys(F.col("fp")), lambda k: k.bitwiseAND(F.lit(-2)))
+    of_bands = F.transform("bands", lambda k: k.bitwiseOR(F.lit(1)))
+    keyed = lambda df: df.withColumn("key", F.explode(F.concat(of_parts, of_bands)))
+    grouped = materialise(linked_groups(items.drop("text"), keyed, near, ["size", "fp"], verify, store_keys=True), "similar-groups")
     named = grouped.groupBy("component").agg(F.min("lowest").alias("component_id"))
     labels = grouped.join(named, "component").select("id", "component_id")
     return marks.select("doc_id", "id").join(labels, "id").select("doc_id", "component_id")
