@@ -135,10 +135,10 @@ select slide_id, row, col, (r <= threshold or g <= 120) and sat > 0.02 as fg, ((
     "pixels", extra={"hsv": HSV, "hist": HIST, "otsu": OTSU}))
 def x8(spark: SparkSession, sf: str) -> DataFrame:
     image = proxies.pixels(spark, sf)
-    both = px.channel_mask(image, {"R": "otsu", "G": 120, "S": 0.02}).withColumnRenamed("fg", "both")
-    # The second mask rides on the first: pixels are not joined with themselves.
-    dark = px.channel_mask(both, {"L": 150})
-    return dark.select("slide_id", "row", "col", F.col("both").alias("fg"), F.col("fg").alias("dark"))
+    both = px.channel_mask(image, {"R": "otsu", "G": 120, "S": 0.02})
+    dark = px.channel_mask(image, {"L": 150}).select("slide_id", "row", "col", F.col("fg").alias("dark"))
+    # Pixels are planned as small as the slides they come from; the hint keeps them off the driver.
+    return both.select("slide_id", "row", "col", "fg").join(dark.hint("merge"), ["slide_id", "row", "col"])
 
 
 @query("u4_custom_threshold", sql("""
