@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tilewright.session import materialise
@@ -45,24 +46,24 @@ class LatentIndex:
     answers: list[list[str]]
 
 
-class WordNumbers(dict):
-    """Vocabulary numbers of a text's words, -1 for others; punctuation-only words are dropped."""
+class WordNumbers:
+    """Vocabulary numbers of the words of texts, -1 for others; punctuation-only words are dropped.
 
-    def __init__(self, vocabulary: dict[str, int], keep: int = 400_000) -> None:
-        super().__init__()
-        self._vocabulary, self._keep = vocabulary, keep
+    As ``plain_words``, but for all words of some texts at once: Python lowers a text as a whole, since what
+    becomes of a letter depends on no other word, and Arrow parts, strips and looks up.
+    """
 
-    def __missing__(self, word: str) -> int:
-        core = word.strip(_MARKS).lower()
-        number = self._vocabulary.get(core, -1) if core else -2
-        if len(self) < self._keep:
-            self[word] = number
-        return number
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self._words = pa.array(sorted(vocabulary, key=vocabulary.__getitem__), pa.large_string())
 
-    def of(self, text: str) -> np.ndarray:
-        words = text.split()
-        out = np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
-        return out[out > -2] if len(out) and out.min() == -2 else out
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts one after the other, and how many each text has."""
+        parts = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        words = pc.utf8_trim(parts.flatten(), characters=_MARKS)
+        numbers = pc.index_in(words, value_set=self._words).fill_null(-1).to_numpy().astype(np.int32)
+        owners = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy())
+        some = pc.utf8_length(words).to_numpy() > 0
+        return numbers[some], np.bincount(owners[some], minlength=len(texts))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -73,10 +74,12 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
         numbers = WordNumbers(vocabulary)
         counts, n = np.zeros(size + 1, dtype=np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                seen = {numbers[w] for w in set((text.as_py() or "").split())}
-                counts[[i for i in seen if i >= 0]] += 1
-                n += 1
+            for at in range(0, batch.num_rows, 256):
+                words, sizes = numbers.of([t or "" for t in batch.column(0).slice(at, 256).to_pylist()])
+                inside = words >= 0
+                pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes)[inside] * size + words[inside])
+                counts[:size] += np.bincount(pairs % size, minlength=size)
+            n += batch.num_rows
         counts[size] = n
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["word", "n"])
@@ -185,6 +188,29 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+def row_sums(table: np.ndarray, numbers: np.ndarray, starts: np.ndarray, together: int = 256) -> np.ndarray:
+    """Sums of the rows of ``table`` that runs of ``numbers`` name, one run from each of ``starts``; -1 names none.
+
+    Some runs at a time, so that what is added to stays in the processor's cache: first the first rows of all of
+    them, then the second ones, each run in its own order; those with more rows come first.
+    """
+    inside = np.flatnonzero(numbers >= 0)
+    rows = numbers[inside]
+    cuts = np.searchsorted(inside, np.append(starts, len(numbers)))
+    out = np.zeros((len(starts), table.shape[1]), dtype=table.dtype)
+    for lo in range(0, len(starts), together):
+        first = cuts[lo:lo + together + 1]
+        sizes = np.diff(first)
+        order = np.argsort(-sizes, kind="stable")
+        first, sizes = first[:-1][order], sizes[order]
+        total = np.zeros((len(order), table.shape[1]), dtype=table.dtype)
+        for k in range(int(sizes[0])):
+            some = int(np.searchsorted(-sizes, -k))  # runs of more than k rows
+            total[:some] += table[rows[first[:some] + k]]
+        out[lo + order] = total
+    return out
+
+
 def leaks(
     docs: DataFrame, index: LatentIndex, block: int = 24, cosine: float = 0.35, certain: float = 0.8, likely: float = 0.6
 ) -> DataFrame:
@@ -211,8 +237,8 @@ def leaks(
                 [pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "start", "cosine", "lcs_share", "answer_found"])
 
     def _search(part: pa.RecordBatch, numbers: WordNumbers, square: np.ndarray, queries: np.ndarray, rows: list[tuple]) -> None:
-        texts = [t.as_py() or "" for t in part.column(1)]
-        found = [numbers.of(t) for t in texts]
+        every, counts = numbers.of([t or "" for t in part.column(1).to_pylist()])
+        found = np.split(every, np.cumsum(counts)[:-1])
         ids = part.column(0).to_pylist()
         lo = 0
         while lo < len(found):
@@ -234,12 +260,7 @@ def leaks(
             starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + inner
             last = np.append(owners[1:] != owners[:-1], True)
             weight = np.add.reduceat(square[flat], starts)
-            latent = np.zeros((total_blocks, index.basis.shape[1]), dtype=np.float32)
-            inside = np.flatnonzero(flat >= 0)
-            if len(inside):
-                owner = np.repeat(np.arange(total_blocks), np.diff(np.append(starts, len(flat))))[inside]
-                cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                latent[owner[cut]] = np.add.reduceat(index.basis[flat[inside]], cut, axis=0)
+            latent = row_sums(index.basis, flat, starts)
             latent[:-1] += np.where(last[:-1, None], 0, latent[1:])
             weight = weight + np.where(last, 0, np.append(weight[1:], 0))
             # No cosine exceeds the share of the window that lies in the latent space.
