@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,55 +27,51 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-class WordEncoder:
-    """Token ids of a text as little-endian 32-bit bytes.
+#: ASCII marks that no rule of the vocabulary joins to the letters before them; an apostrophe is none.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+class WordEncoder(dict):
+    """Token ids of a text as little-endian 32-bit bytes; as a dict, of the parts seen before.
 
     The vocabulary drops white space and never joins across it, so the ids of a text are the ids of
-    its parts one after the other, and parts seen before are looked up. For the same reason a mark at
-    the end of a run of letters can be looked up on its own, and ASCII letters in lower case.
+    its parts one after the other. For the same reason a run of marks at the end of a run of letters is
+    looked up on its own. Lower-case Latin letters are what the normaliser leaves as they are and the
+    splitter takes as one word, so they go to the tokenizer's model at once; all else goes through the whole of it.
     """
 
     def __init__(self, path: str, keep: int = 700_000, longest: int = 48) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self._encode = Tokenizer.from_file(path).encode_batch_fast
-        self._known: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self._encode, self._model = tokenizer.encode, tokenizer.model.tokenize
+        self._spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self._keep, self._longest = keep, longest
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._encode(parts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        known = self._known
-        if len(known) > self._keep:
-            known.clear()
-        split = []
-        for p in parts:
-            core = p.lower() if p.isascii() else p
-            mark = ""
-            if core[-1:] in (".", ",") and core[:-1].isalpha():
-                core, mark = core[:-1], core[-1]
-            split.append((p, core, mark))
-        new = list({c for _, core, mark in split for c in (core, mark) if c not in known})
-        fresh = dict(zip(new, self._ids(new)))
-        known.update((c, b) for c, b in fresh.items() if len(c) <= self._longest)
-        out = {}
-        for p, core, mark in split:
-            ids = fresh[core] if core in fresh else known[core]
-            out[p] = ids + (fresh[mark] if mark in fresh else known[mark]) if mark else ids
-        known.update((p, b) for p, b in out.items() if len(p) <= self._longest)
-        return out
+    def _letters(self, word: str) -> bytes:
+        spelled = word if word.isascii() else self._spell(word)[0][0]
+        return array("I", [t.id for t in self._model(spelled)]).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > self._keep:
+            self.clear()
+        lower = part.lower()
+        word = lower.rstrip(_MARKS)
+        if not word.isalpha() or max(word) > "\u024f":
+            ids = np.array(self._encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        elif part != word:
+            ids = self[word] + (self[lower[len(word):]] if len(word) < len(lower) else b"")
+        else:
+            ids = self._letters(word)
+        if len(part) <= self._longest:
+            self[part] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        known = self._known
-        new = [p for p in set(parts) if p not in known]
-        if not new:
-            return b"".join([known[p] for p in parts])
-        here = {p: known[p] for p in parts if p in known}
-        here.update(self._learn(new))
-        return b"".join([here[p] for p in parts])
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=1)
