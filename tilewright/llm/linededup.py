@@ -101,7 +101,7 @@ def block_masks(items: int, distance: int = DISTANCE) -> list[int]:
     for extra in range(1, 5):
         n = distance + extra
         width = 64 * extra // n
-        if items <= 64 << width or extra == 4:
+        if items <= 4 << width or extra == 4:
             cuts = [64 * i // n for i in range(n + 1)]
             parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
             masks = [sum(chosen) for chosen in combinations(parts, extra)]
@@ -179,8 +179,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
 
     nodes = items.withColumnRenamed("a", "id")
     grouped = linked_groups(
-        nodes, lambda df: df.withColumn("key", F.explode(keys)), _near(similarity, masks), ["fp", "words"], verify,
-        store_keys=wide)
+        nodes, lambda df: df.withColumn("key", F.explode(keys)), _near(similarity, masks), ["fp", "words"], verify)
     named = grouped.select(F.col("id").alias("a"), "b", "first", "weight", "component")
     heads = named.groupBy("component").agg(F.min("first").alias("keep"))
     kept = named.join(heads, "component").filter("weight > 1 or keep <> first").select("a", "b", "keep")

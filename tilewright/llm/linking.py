@@ -1,10 +1,11 @@
 """Exact connected groups of keyed items without listing the pairs of a dense group.
 
-Items that share a key may be linked. First every item is compared with two others of its key, the
-heaviest and the one before it, which costs one comparison each and joins most of a dense group.
-Then only keys that still hold several groups are looked at: each item outside the largest group of
-its key is compared with all items of the other groups there. Every linked pair with a common key is
-thus in one group at the end, as if all pairs had been tested.
+Items that share a key may be linked. Items alone with a key go at once. Where a few share one, all their
+pairs are compared. Of a larger number every item is first compared with two others of its key, the heaviest
+and the one before it, which costs one comparison each and joins most of a dense group. Then only large
+keys that still hold several groups are looked at: each item outside the largest group of its key is
+compared with all items of the other groups there. Every linked pair with a common key is thus in one
+group at the end, as if all pairs had been tested. The rows of keys are shuffled once.
 """
 
 from __future__ import annotations
@@ -19,59 +20,72 @@ from tilewright.session import materialise
 Near = Callable[[str, str, Column], Column]
 
 
+#: Up to so many items of a key are compared pair by pair.
+FEW = 16
+
+
 def _of(name: str, columns: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns]).alias(name)
 
 
 def linked_groups(
     items: DataFrame, keyed: Callable[[DataFrame], DataFrame], near: Near, payload: list[str],
-    verify: Callable[[DataFrame], DataFrame] | None = None, weight: str = "weight", name: str = "component", store_keys: bool = False,
+    verify: Callable[[DataFrame], DataFrame] | None = None, weight: str = "weight", name: str = "component",
 ) -> DataFrame:
     """``items`` (``id``, ``weight``, payload) with the smallest id of their group as ``name``.
 
     ``keyed`` adds a column ``key`` and may repeat rows. ``near(a, b, key)`` decides on two structs
     of ``id`` and ``payload`` whether they are candidates; ``verify``, if given, takes candidate links
-    ``src, dst`` and returns those that hold. ``store_keys`` keeps the rows of keys that several items
-    share, for many keys of which few are shared. Not lazy: the steps are stored in the shared folder.
+    ``src, dst`` and returns those that hold. Not lazy: the steps are stored in the shared folder.
     """
     columns = ["id", *payload]
-    if store_keys:
-        many = F.count(F.lit(1)).over(W.partitionBy("key")) > 1
-        shared = keyed(items).select(*columns, weight, "key").withColumn("__many", many).filter("__many").drop("__many")
-        shared = materialise(shared, "shared-keys")
-
-        def keyed(df: DataFrame) -> DataFrame:
-            return shared.join(df.select("id", "grp"), "id") if "grp" in df.columns else shared
-    ordered = W.partitionBy("key").orderBy(F.col(weight).desc(), "id")
-    close = keyed(items).select("key", _of("me", columns), F.array(
-        F.first(_of("x", columns)).over(ordered), F.lag(_of("x", columns)).over(ordered)).alias("others"))
-    links = (
-        close.select("key", "me", F.explode("others").alias("other"))
-        .filter(F.col("other").isNotNull() & (F.col("other.id") != F.col("me.id")) & near("other", "me", F.col("key")))
-        .select(F.col("other.id").alias("src"), F.col("me.id").alias("dst")).distinct()
-    )
-    held = verify(links) if verify else links
-    first = connected_components(items.select("id"), lambda _: held, [], "id", "grp")
-
-    spread = keyed(items.join(first, "id"))
-    whole, largest = W.partitionBy("key"), W.partitionBy("key").orderBy(F.col("n").desc(), "grp")
+    whole, ordered = W.partitionBy("key"), W.partitionBy("key").orderBy(F.col(weight).desc(), "id")
+    shared = keyed(items).select("key", *columns, weight).repartition("key").withColumn("__n", F.count(F.lit(1)).over(whole)).filter("__n > 1")
+    placed = shared.select(
+        "key", F.col("__n") > FEW, "id", _of("me", columns), F.first(_of("x", columns)).over(ordered), F.lag(_of("x", columns)).over(ordered)
+    ).toDF("key", "large", "id", "me", "top", "before")
+    # One row for each item of a large key and one for all items of another.
+    groups = placed.groupBy("key", "large", F.when(F.col("large"), F.col("id")).alias("one")).agg(
+        F.collect_list("me").alias("mine"), F.first("top").alias("top"), F.first("before").alias("before"))
+    others = F.when(F.col("large"), F.array(F.element_at("mine", 1), "top", "before")).otherwise(F.col("mine"))
+    pairs = groups.select("key", "large", "mine", others.alias("others")).select("key", "large", F.explode("mine").alias("me"), "others").select(
+        "key", "large", "me", F.explode("others").alias("other")).filter("other is not null")
+    itself = F.col("other.id") == F.col("me.id")
+    close = F.when(itself, F.col("large")).otherwise(
+        (F.col("large") | (F.col("other.id") < F.col("me.id"))) & near("other", "me", F.col("key")))
+    # An item of a large key meets itself: that row is kept for the second step.
+    met = materialise(pairs.filter(close).select(
+        F.col("other.id").alias("src"), F.col("me.id").alias("dst"), F.when(itself, F.col("key")).alias("key"),
+        F.when(itself, F.col("me")).alias("me")).distinct(), "met")
+    links = met.filter("me is null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    first = _components(materialise(verify(links) if verify else links, "held"), "grp")
+    grouped = items.join(first, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+    large = met.filter("me is not null").select("key", "me")
+    if large.isEmpty():
+        return grouped.withColumnRenamed("grp", name)
+
+    own = first.withColumnRenamed("id", "__id")
+    spread = large.join(own, F.col("me.id") == F.col("__id"), "left").select("key", "me", F.coalesce("grp", "me.id").alias("grp"))
+    largest = W.partitionBy("key").orderBy(F.col("n").desc(), "grp")
     mixed = materialise(
         spread.withColumns({"lo": F.min("grp").over(whole), "hi": F.max("grp").over(whole)}).filter("lo <> hi")
         .withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key", "grp")))
-        .select("key", "grp", _of("me", columns), (F.first("grp").over(largest) != F.col("grp")).alias("minor")), "mixed")
+        .select("key", "grp", "me", (F.first("grp").over(largest) != F.col("grp")).alias("minor")), "mixed")
     one = mixed.filter("minor").select("key", F.col("grp").alias("src_grp"), F.col("me").alias("one"))
     two = mixed.select(F.col("key").alias("key_two"), F.col("grp").alias("dst_grp"), F.col("me").alias("two"))
     across = one.join(two, (F.col("key") == F.col("key_two")) & (F.col("src_grp") != F.col("dst_grp")) & near("one", "two", F.col("key")))
-    cross = across.select(
-        F.col("one.id").alias("src"), F.col("two.id").alias("dst"), "src_grp", "dst_grp")
-    if verify:
-        found = cross.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        names = first.select("id", "grp")
-        cross = (
-            verify(found).join(names.select(F.col("id").alias("src"), F.col("grp").alias("src_grp")), "src")
-            .join(names.select(F.col("id").alias("dst"), F.col("grp").alias("dst_grp")), "dst")
-        )
-    bridges = materialise(cross.select(F.col("src_grp").alias("src"), F.col("dst_grp").alias("dst")).distinct(), "bridges")
-    final = connected_components(
-        first.select(F.col("grp").alias("id")).distinct(), lambda _: bridges, [], "id", name)
-    return items.join(first.join(final.withColumnRenamed("id", "grp"), "grp").select("id", name), "id")
+    cross = across.select(F.col("one.id").alias("src"), F.col("two.id").alias("dst"))
+    found = cross.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+    def of_group(df: DataFrame, end: str) -> DataFrame:
+        return df.join(own, F.col(end) == F.col("__id"), "left").withColumn(end, F.coalesce("grp", end)).drop("__id", "grp")
+
+    bridges = materialise(of_group(of_group(verify(found) if verify else found, "src"), "dst").distinct(), "bridges")
+    final = _components(bridges, name).withColumnRenamed("id", "grp")
+    return grouped.join(final, "grp", "left").withColumn(name, F.coalesce(name, "grp")).select(*items.columns, name)
+
+
+def _components(links: DataFrame, name: str) -> DataFrame:
+    """``id`` of every item in ``links`` (stored), with the smallest id of its component as ``name``."""
+    ends = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
+    return connected_components(ends, lambda _: links, [], "id", name)

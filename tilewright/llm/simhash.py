@@ -235,7 +235,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     of_parts = F.transform(part_keys(F.col("fp")), lambda k: k.bitwiseAND(F.lit(-2)))
     of_bands = F.transform("bands", lambda k: k.bitwiseOR(F.lit(1)))
     keyed = lambda df: df.withColumn("key", F.explode(F.concat(of_parts, of_bands)))
-    grouped = materialise(linked_groups(items.drop("text"), keyed, near, ["size", "fp"], verify, store_keys=True), "similar-groups")
+    grouped = materialise(linked_groups(items.drop("text"), keyed, near, ["size", "fp"], verify), "similar-groups")
     named = grouped.groupBy("component").agg(F.min("lowest").alias("component_id"))
     labels = grouped.join(named, "component").select("id", "component_id")
     return marks.select("doc_id", "id").join(labels, "id").select("doc_id", "component_id")
