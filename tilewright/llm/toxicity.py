@@ -121,6 +121,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
     found = joined.mapInArrow(run, "doc_id long, y int, features array<int>, counts array<int>").toArrow()
     found = found.sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    pa.default_memory_pool().release_unused()
 
     def lists(name: str) -> list[np.ndarray]:
         column = found.column(name).combine_chunks()
@@ -156,6 +157,18 @@ def severity_grades(y: np.ndarray, features: list[np.ndarray], counts: list[np.n
     return out
 
 
+def _slices(at: np.ndarray, of: np.ndarray, size: int, together: int = 1 << 17) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Sorted places ``at`` below ``size`` with their ``of``, cut between places: how many places, which, and of what."""
+    cuts = np.searchsorted(at, np.unique(np.append(at[::together], [0, size])))
+    places = [0, *at[cuts[1:-1]].tolist(), size]
+    return [(hi - lo, at[i:j] - np.int32(lo), of[i:j]) for lo, hi, i, j in zip(places, places[1:], cuts, cuts[1:])]
+
+
+def _summed(slices: list[tuple[int, np.ndarray, np.ndarray]], values: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` by place; only a slice of them is copied at a time."""
+    return np.concatenate([np.bincount(at, weights=values[of], minlength=n) for n, at, of in slices])
+
+
 def fit_cumulative_link(
     features: list[np.ndarray], y: np.ndarray, steps: int = 400, l1: float = 0.09, min_docs: int = 3, max_share: float = 0.2,
     stands_for: np.ndarray | None = None,
@@ -169,25 +182,29 @@ def fit_cumulative_link(
     top = int(y.max()) if len(y) else 0
     if top == 0:
         return OrdinalModel({}, ())
-    rows = np.repeat(np.arange(len(y)), [len(f) for f in features])
-    flat = np.concatenate(features)
     weight = np.ones(len(y)) if stands_for is None else stands_for / stands_for.mean()
-    seen = np.bincount(flat, minlength=FEATURES)
-    weighted = np.bincount(flat, weights=weight[rows], minlength=FEATURES)
+    seen, weighted = np.zeros(FEATURES, dtype=np.int64), np.zeros(FEATURES)
+    for f, w in zip(features, weight):  # those of a row are distinct
+        seen[f] += 1
+        weighted[f] += w
     names = np.flatnonzero((seen >= min_docs) & (weighted <= max(min_docs, max_share * len(y)) + 1e-9))
-    place = np.full(FEATURES, -1)
+    place = np.full(FEATURES, -1, dtype=np.int32)
     place[names] = np.arange(len(names))
-    keep = place[flat] >= 0
-    rows, cols = rows[keep], place[flat[keep]]
+    kept = [(p := place[f])[p >= 0] for f in features]
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(p) for p in kept])
+    cols = np.concatenate(kept)
+    del kept
+    by_feature = np.argsort(cols, kind="stable")
+    by_row, by_feature = _slices(rows, cols, len(y)), _slices(cols[by_feature], rows[by_feature], len(names))
     weight = weight / len(y)
     n, size = len(y), len(names)
     l1 = l1 * math.sqrt(np.sum(weight**2))
 
     def times(w: np.ndarray) -> np.ndarray:
-        return np.bincount(rows, weights=w[cols], minlength=n)
+        return _summed(by_row, w)
 
     def back(r: np.ndarray) -> np.ndarray:
-        return np.bincount(cols, weights=r[rows], minlength=size)
+        return _summed(by_feature, r)
 
     def cuts_of(theta: np.ndarray) -> np.ndarray:
         """Gaps keep the thresholds ordered: each is the one before plus exp(gap)."""
@@ -231,7 +248,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     y, features, counts, stands_for = _training_rows(docs, labels, label, per_class)
     if not len(y):
         return OrdinalModel({}, ())
-    return fit_cumulative_link(features, severity_grades(y, features, counts, grades), stands_for=stands_for)
+    grade = severity_grades(y, features, counts, grades)
+    del counts
+    model = fit_cumulative_link(features, grade, stands_for=stands_for)
+    # Else Arrow keeps the memory of the sample, and the driver is that much larger from here on.
+    del features
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
