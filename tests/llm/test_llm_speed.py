@@ -42,13 +42,37 @@ def test_word_numbers_of_many_texts_are_those_of_plain_words():
     assert numbers.tolist() == [vocabulary.get(w, -1) for ws in words for w in ws]
 
 
-def test_row_sums():
-    from tilewright.llm.decontaminate import row_sums
-
-    rng = np.random.default_rng(3)
-    table = rng.standard_normal((50, 20))
-    numbers = rng.integers(-1, 50, 5000)
-    numbers[100:200] = -1
-    starts = np.array([0, 10, 11, *range(30, 5000, 24)])
-    want = [table[[n for n in numbers[a:b] if n >= 0]].sum(axis=0) for a, b in zip(starts, [*starts[1:], 5000])]
-    assert np.allclose(row_sums(table, numbers, starts, together=16), want)
+def test_keys_of_many_items_find_every_link(spark):
+    """Keys of one, a few and many items; the links of a large key that the first comparisons miss join groups too."""
+    from tilewright.llm import linking
+
+    rows = [(i, i, 1) for i in range(3)]  # alone
+    rows += [(10 + i, 10, 1) for i in range(linking.FEW)] + [(100 + i, 100, 1) for i in range(60)]
+    items = spark.createDataFrame(rows, "id long, k long, weight long")
+
+    def near(a, b, key):
+        from pyspark.sql import functions as F
+
+        return (F.col(f"{a}.id") - F.col(f"{b}.id")) % 7 == 0  # no item of a large key is near the one before it
+
+    got = {r.id: r.component for r in linking.linked_groups(items, lambda df: df.withColumn("key", df.k), near, ["k"]).collect()}
+    assert got == {i: min(j for j, m, _ in rows if m == k and (i - j) % 7 == 0) for i, k, _ in rows}
+
+
+def test_line_blocks_hold_few_unrelated_lines():
+    from tilewright.llm.linededup import block_masks
+
+    for items in (10**5, 2 * 10**6, 10**8):
+        assert items / 2 ** min(m.bit_count() for m in block_masks(items)) <= 4
+
+
+def test_fit_sums_in_slices():
+    from tilewright.llm.toxicity import _slices, _summed
+
+    rng = np.random.default_rng(1)
+    at = np.sort(rng.integers(0, 40, 500).astype(np.int32))
+    of, values = rng.integers(0, 30, 500).astype(np.int32), rng.standard_normal(30)
+    for size in (40, 45):
+        slices = _slices(at, of, size, together=16)
+        assert len(slices) > 10
+        assert (_summed(slices, values) == np.bincount(at, weights=values[of], minlength=size)).all()
