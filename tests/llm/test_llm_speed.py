@@ -59,6 +59,42 @@ def test_keys_of_many_items_find_every_link(spark):
     assert got == {i: min(j for j, m, _ in rows if m == k and (i - j) % 7 == 0) for i, k, _ in rows}
 
 
+def test_a_key_of_many_unrelated_lines_is_narrowed(spark, monkeypatch):
+    """Lines that share a block by chance leave no rows for the comparison with all others; every close pair links."""
+    from pyspark.sql import functions as F
+
+    from tilewright.llm import linededup, linking
+
+    rnd = random.Random(31)
+    masks = linededup.block_masks(2 * 10**6)
+    base = rnd.getrandbits(63)
+    fps = [base & masks[0] | rnd.getrandbits(63) & ~masks[0] for _ in range(1500)]
+    fps += [f ^ sum(1 << b for b in rnd.sample(range(63), k)) for f in fps[:300] for k in (1, 2, 3)]
+    fps = sorted(set(fps))
+    items = spark.createDataFrame([(i, f, 20, 1) for i, f in enumerate(fps)], "id long, fp long, words long, weight long")
+    steps, store = [], linking.materialise
+    monkeypatch.setattr(linking, "materialise", lambda df, label: steps.append((label, store(df, label))) or steps[-1][1])
+    close, keys = linededup._near(0.8, masks), linededup.line_keys(masks, False)
+    got = linking.linked_groups(
+        items, lambda df: df.withColumn("key", F.explode(keys)), lambda a, b, key: close(F.col(a), F.col(b), key), ["fp", "words"],
+        sift=close, finer=linededup._finer(masks))
+    root = list(range(len(fps)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(fps):
+        for j in range(i):
+            if (x ^ fps[j]).bit_count() <= 3:
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    assert {r.id: r.component for r in got.collect()} == {i: top(i) for i in range(len(fps))}
+    assert [df for label, df in steps if label == "met"][-1].filter("me is not null").count() < 100
+    assert not any(label == "mixed" and df.count() > 100 for label, df in steps)
+
+
 def test_line_blocks_hold_few_unrelated_lines():
     from tilewright.llm.linededup import block_masks
 

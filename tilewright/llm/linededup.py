@@ -128,8 +128,7 @@ def _near(similarity: float, masks: list[int]):
 
     Sizes must be those of a similar pair, and a pair that agrees in several blocks is taken at the first.
     """
-    def near(a: str, b: str, key: Column) -> Column:
-        one, two = F.col(a), F.col(b)
+    def near(one: Column, two: Column, key: Column) -> Column:
         apart = F.bit_count(one["fp"].bitwiseXOR(two["fp"]))
 
         def alike(size: str) -> Column:
@@ -142,11 +141,35 @@ def _near(similarity: float, masks: list[int]):
             first = first & ((number <= BANDS + i) | (one["fp"].bitwiseXOR(two["fp"]).bitwiseAND(F.lit(_signed(m))) != 0))
         # The fingerprint of a line in chunks is that of one chunk.
         long = F.greatest(one["words"], two["words"]) > _CHUNK
-        return alike("words") & F.when(banded, (apart <= WIDE) | long).otherwise((apart <= DISTANCE) & first)
+        return F.when(banded, (apart <= WIDE) | long).otherwise((apart <= DISTANCE) & first) & alike("words")
 
     return near
 
 
+def _finer(masks: list[int]):
+    """Of the bits that a pigeonhole block leaves, fingerprints within ``DISTANCE`` agree in one of ``DISTANCE + 1`` parts."""
+    n = DISTANCE + 1
+
+    def parts(left: list[int]) -> list[list[int]]:
+        cuts = [len(left) * i // n for i in range(n + 1)]
+        return [left[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def rest(bits: list[int], taken: list[int]) -> list[int]:
+        return [k for k in bits if k not in taken]
+
+    free = [[k for k in range(64) if not m >> k & 1] for m in masks]
+    # By the number of a mask and the path: once narrowed, a path is the number of the part taken.
+    first = [[parts(f) for _ in range(n)] for f in free]
+    tables = [first, [[parts(rest(f, taken)) for taken in parts(f)] for f in free]]
+
+    def finer(key: Column, path: Column, level: int) -> list[Column]:
+        at = (key.bitwiseAND(F.lit((1 << 6) - 1)) - BANDS).cast("int") * n + path
+        flat = [[_signed(sum(1 << k for k in of_path[w])) for of_mask in tables[level] for of_path in of_mask] for w in range(n)]
+        return [F.col("me.fp").bitwiseAND(F.get(F.array(*[F.lit(v) for v in of_way]), at)) for of_way in flat]
+
+    return finer
+
+
 def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3, wide: bool = False) -> DataFrame:
     """Places of the lines to remove: ``doc_id, text_key, line_no``.
 
@@ -177,9 +200,10 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
             texts.select(F.col("a").alias("dst"), F.col("norm").alias("norm2")), "dst")
         return similar_texts(both, similarity).select("src", "dst")
 
-    nodes = items.withColumnRenamed("a", "id")
+    nodes, close = items.withColumnRenamed("a", "id"), _near(similarity, masks)
     grouped = linked_groups(
-        nodes, lambda df: df.withColumn("key", F.explode(keys)), _near(similarity, masks), ["fp", "words"], verify)
+        nodes, lambda df: df.withColumn("key", F.explode(keys)), lambda a, b, key: close(F.col(a), F.col(b), key), ["fp", "words"], verify,
+        sift=close, finer=None if wide else _finer(masks))
     named = grouped.select(F.col("id").alias("a"), "b", "first", "weight", "component")
     heads = named.groupBy("component").agg(F.min("first").alias("keep"))
     kept = named.join(heads, "component").filter("weight > 1 or keep <> first").select("a", "b", "keep")

@@ -1,11 +1,12 @@
 """Exact connected groups of keyed items without listing the pairs of a dense group.
 
 Items that share a key may be linked. Items alone with a key go at once. Where a few share one, all their
-pairs are compared. Of a larger number every item is first compared with two others of its key, the heaviest
-and the one before it, which costs one comparison each and joins most of a dense group. Then only large
-keys that still hold several groups are looked at: each item outside the largest group of its key is
-compared with all items of the other groups there. Every linked pair with a common key is thus in one
-group at the end, as if all pairs had been tested. The rows of keys are shuffled once.
+pairs are compared. A key that many share is narrowed: a linked pair must agree in one of a few further parts, so
+items are only compared with those that also agree there, and again in parts of the rest. What many still share
+is a dense group. There every item is first compared with two others, the heaviest and the one before it, which
+costs one comparison each and joins most of the group. Then only keys that still hold several groups are
+looked at: each item outside the largest group of its key is compared with all items of the other groups
+there. Every linked pair with a common key is thus in one group at the end, as if all pairs had been tested.
 """
 
 from __future__ import annotations
@@ -18,62 +19,97 @@ from tilewright.operators.components import connected_components
 from tilewright.session import materialise
 
 Near = Callable[[str, str, Column], Column]
+Sift = Callable[[Column, Column, Column], Column]
+Finer = Callable[[Column, Column, int], list[Column]]
 
 
 #: Up to so many items of a key are compared pair by pair.
-FEW = 16
+FEW = 32
+#: A key is narrowed if more share it, and a part of it again if so many share that: a narrowing takes one row to several.
+NARROWED = (FEW, 16 * FEW)
 
 
 def _of(name: str, columns: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns]).alias(name)
 
 
+def _meet(rows: DataFrame, ways: list[Column], near: Near, sift: Sift | None) -> DataFrame:
+    """Candidate links ``src, dst`` among few items, and the rows of items that share a value of a way with many.
+
+    ``rows`` are those of a key, and of a ``part`` of it, partitioned by them. The many keep their row for each such
+    way, with a ``part`` and a ``path`` of its own. Lists of the others hold ``FEW`` items at most and are sifted at once.
+    """
+    me, own = F.col("me"), ["key", "part", "path", "n", "me", "weight"]
+    found, many = [], []
+    for i, value in enumerate(ways):
+        group = W.partitionBy("key", "part", "__v") if len(ways) > 1 else W.partitionBy("key", "part")
+        rows = rows.withColumn("__v", value).withColumn("__n", F.count(F.lit(1)).over(group))
+        if len(ways) == 1:
+            rows = rows.filter("__n > 1")
+        rows = rows.withColumn("__list", F.collect_list(F.when(F.col("__n") <= FEW, me)).over(group))
+        sifted = F.filter("__list", lambda x: (x["id"] < me["id"]) & (sift(x, me, F.col("key")) if sift else F.lit(True)))
+        rows = rows.withColumns({f"__f{i}": sifted, f"__m{i}": F.col("__n"), f"__p{i}": F.xxhash64("part", F.lit(i), "__v")}).drop("__list", "__n", "__v")
+        found.append(F.transform(f"__f{i}", lambda x: F.struct(x.alias("other"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("int").alias("path"), F.lit(None).cast("long").alias("n"))))
+        many.append(F.when(F.col(f"__m{i}") > FEW, F.array(F.struct(
+            F.lit(None).cast(rows.schema["me"].dataType).alias("other"), F.col(f"__p{i}").alias("part"), F.lit(i).alias("path"), F.col(f"__m{i}").alias("n")))
+        ).otherwise(F.array()))
+    out = rows.select("key", "me", "weight", F.explode(F.concat(*found, *many)).alias("__o")).select(
+        "key", "me", "weight", F.col("__o.other").alias("other"), F.col("__o.part").alias("part"), F.col("__o.path").alias("path"), F.col("__o.n").alias("n"))
+    link = F.col("other").isNotNull()
+    return out.filter(~link | near("other", "me", F.col("key"))).select(
+        F.col("other.id").alias("src"), F.when(link, F.col("me.id")).alias("dst"), *[F.when(~link, F.col(c)).alias(c) for c in own])
+
+
 def linked_groups(
     items: DataFrame, keyed: Callable[[DataFrame], DataFrame], near: Near, payload: list[str],
     verify: Callable[[DataFrame], DataFrame] | None = None, weight: str = "weight", name: str = "component",
+    sift: Sift | None = None, finer: Finer | None = None,
 ) -> DataFrame:
     """``items`` (``id``, ``weight``, payload) with the smallest id of their group as ``name``.
 
     ``keyed`` adds a column ``key`` and may repeat rows. ``near(a, b, key)`` decides on two structs
     of ``id`` and ``payload`` whether they are candidates; ``verify``, if given, takes candidate links
-    ``src, dst`` and returns those that hold. Not lazy: the steps are stored in the shared folder.
+    ``src, dst`` and returns those that hold. ``sift`` may rule out pairs of structs sooner, ``near`` or not.
+    ``finer(key, path, level)`` gives values of the struct ``me``, one of which the candidates of a key must share;
+    ``path`` is 0 at first and then the number of the value shared before. Not lazy: the steps are stored in the shared folder.
     """
     columns = ["id", *payload]
-    whole, ordered = W.partitionBy("key"), W.partitionBy("key").orderBy(F.col(weight).desc(), "id")
-    shared = keyed(items).select("key", *columns, weight).repartition("key").withColumn("__n", F.count(F.lit(1)).over(whole)).filter("__n > 1")
-    placed = shared.select(
-        "key", F.col("__n") > FEW, "id", _of("me", columns), F.first(_of("x", columns)).over(ordered), F.lag(_of("x", columns)).over(ordered)
-    ).toDF("key", "large", "id", "me", "top", "before")
-    # One row for each item of a large key and one for all items of another.
-    groups = placed.groupBy("key", "large", F.when(F.col("large"), F.col("id")).alias("one")).agg(
-        F.collect_list("me").alias("mine"), F.first("top").alias("top"), F.first("before").alias("before"))
-    others = F.when(F.col("large"), F.array(F.element_at("mine", 1), "top", "before")).otherwise(F.col("mine"))
-    pairs = groups.select("key", "large", "mine", others.alias("others")).select("key", "large", F.explode("mine").alias("me"), "others").select(
-        "key", "large", "me", F.explode("others").alias("other")).filter("other is not null")
-    itself = F.col("other.id") == F.col("me.id")
-    close = F.when(itself, F.col("large")).otherwise(
-        (F.col("large") | (F.col("other.id") < F.col("me.id"))) & near("other", "me", F.col("key")))
-    # An item of a large key meets itself: that row is kept for the second step.
-    met = materialise(pairs.filter(close).select(
-        F.col("other.id").alias("src"), F.col("me.id").alias("dst"), F.when(itself, F.col("key")).alias("key"),
-        F.when(itself, F.col("me")).alias("me")).distinct(), "met")
-    links = met.filter("me is null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    whole, ordered = W.partitionBy("key", "part"), W.partitionBy("key", "part").orderBy(F.col("weight").desc(), "me.id")
+    rows = keyed(items).select("key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("path"), _of("me", columns), F.col(weight).cast("long").alias("weight"))
+    met = materialise(_meet(rows.repartition("key"), [F.lit(0)], near, sift), "met")
+    pairs, large = met.filter("src is not null").select("src", "dst"), met.filter("src is null").drop("src", "dst")
+    dense = large.limit(0)
+    for level, most in enumerate(NARROWED if finer else ()):
+        dense, large = dense.unionByName(large.filter(F.col("n") <= most)), large.filter(F.col("n") > most)
+        if large.isEmpty():
+            break
+        met = materialise(_meet(large.repartition("key", "part"), finer(F.col("key"), F.col("path"), level), near, sift), "met")
+        pairs = pairs.unionByName(met.filter("src is not null").select("src", "dst"))
+        large = met.filter("src is null").drop("src", "dst")
+    dense = dense.unionByName(large)
+    some = not dense.isEmpty()
+    if some:
+        large = dense.select("key", "part", "me", "weight")
+        top = large.select("key", "me", F.array(F.first("me").over(ordered), F.lag("me").over(ordered)).alias("others"))
+        star = top.select("key", "me", F.explode("others").alias("other")).filter("other is not null").filter(
+            (F.col("other.id") != F.col("me.id")) & near("other", "me", F.col("key")))
+        pairs = pairs.unionByName(star.select(F.col("other.id").alias("src"), F.col("me.id").alias("dst")))
+    links = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     first = _components(materialise(verify(links) if verify else links, "held"), "grp")
     grouped = items.join(first, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
-    large = met.filter("me is not null").select("key", "me")
-    if large.isEmpty():
+    if not some:
         return grouped.withColumnRenamed("grp", name)
 
     own = first.withColumnRenamed("id", "__id")
-    spread = large.join(own, F.col("me.id") == F.col("__id"), "left").select("key", "me", F.coalesce("grp", "me.id").alias("grp"))
-    largest = W.partitionBy("key").orderBy(F.col("n").desc(), "grp")
+    spread = large.join(own, F.col("me.id") == F.col("__id"), "left").select("key", "part", "me", F.coalesce("grp", "me.id").alias("grp"))
+    largest = W.partitionBy("key", "part").orderBy(F.col("n").desc(), "grp")
     mixed = materialise(
         spread.withColumns({"lo": F.min("grp").over(whole), "hi": F.max("grp").over(whole)}).filter("lo <> hi")
-        .withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key", "grp")))
-        .select("key", "grp", "me", (F.first("grp").over(largest) != F.col("grp")).alias("minor")), "mixed")
-    one = mixed.filter("minor").select("key", F.col("grp").alias("src_grp"), F.col("me").alias("one"))
-    two = mixed.select(F.col("key").alias("key_two"), F.col("grp").alias("dst_grp"), F.col("me").alias("two"))
-    across = one.join(two, (F.col("key") == F.col("key_two")) & (F.col("src_grp") != F.col("dst_grp")) & near("one", "two", F.col("key")))
+        .withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key", "part", "grp")))
+        .select("key", "part", "grp", "me", (F.first("grp").over(largest) != F.col("grp")).alias("minor")), "mixed")
+    one = mixed.filter("minor").select("key", "part", F.col("grp").alias("src_grp"), F.col("me").alias("one"))
+    two = mixed.select(F.col("key").alias("key_two"), F.col("part").alias("part_two"), F.col("grp").alias("dst_grp"), F.col("me").alias("two"))
+    across = one.join(two, (F.col("key") == F.col("key_two")) & (F.col("part") == F.col("part_two")) & (F.col("src_grp") != F.col("dst_grp")) & near("one", "two", F.col("key")))
     cross = across.select(F.col("one.id").alias("src"), F.col("two.id").alias("dst"))
     found = cross.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
