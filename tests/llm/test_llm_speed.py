@@ -95,6 +95,23 @@ def test_a_key_of_many_unrelated_lines_is_narrowed(spark, monkeypatch):
     assert not any(label == "mixed" and df.count() > 100 for label, df in steps)
 
 
+def test_words_that_ride_together_are_counted_bit_by_bit(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tilewright.llm import linededup
+
+    rnd = random.Random(32)
+    lines = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(n)) for n in (1, 6, 7, 8, 14, 15, 40, 100, 333)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "i int, norm string")
+    hashes = {r.i: r.h for r in frame.select("i", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h")).collect()}
+    for chunk in (32_000, 50):
+        monkeypatch.setattr(linededup, "_CHUNK", chunk)
+        wanted = sorted(
+            (i, len(part), sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in part) > len(part)))
+            for i, h in hashes.items() for part in (h[a:a + chunk] for a in range(0, len(h), chunk)))
+        assert sorted((r.i, r.words, r.fp % (1 << 64)) for r in linededup.sketched(frame, ["i"], False).collect()) == wanted
+
+
 def test_line_blocks_hold_few_unrelated_lines():
     from tilewright.llm.linededup import block_masks
 

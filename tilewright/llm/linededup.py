@@ -29,13 +29,15 @@ BANDS, ROWS = 7, 3
 LETTERS = 256
 #: Counts of four bits share one long; a group of words counted so is at most _CHUNK words.
 _CHUNK = 32_000
+#: So many words are counted together in one row.
+RIDE = 7
 _FIELDS = 0x0001000100010001
 _LANES, _ONES = 0x0000FFFF0000FFFF, 0x0000000100000001
 
 
 def normalised(line: Column) -> Column:
     """Lower case, letters and digits only, single blanks."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"[^a-z0-9\p{L}\p{N}]+", " "))
 
 
 def _signed(value: int) -> int:
@@ -61,19 +63,49 @@ def _least() -> dict[str, Column]:
     return {f"m{i}": F.min(F.col("__g").bitwiseXOR(F.lit(draw.randrange(-1 << 31, 1 << 31)))) for i in range(BANDS * ROWS)}
 
 
+def _planes(rows: DataFrame, ride: int) -> tuple[DataFrame, list[str]]:
+    """``rows`` with the sums of their ``ride`` hashes, bit by bit, as columns of weight 1, 2 and 4."""
+    if ride == 1:
+        return rows, ["__h0"]
+    assert ride == 7
+    # Each adder takes three columns of one weight and gives one of that weight and one of twice that.
+    for adders in ((("a", "h0", "h1", "h2"), ("b", "h3", "h4", "h5")), (("c", "a", "b", "h6"),), (("d", "a2", "b2", "c2"),)):
+        new = {}
+        for name, *ends in adders:
+            x, y, z = (F.col(f"__{e}") for e in ends)
+            new[f"__{name}"] = x.bitwiseXOR(y).bitwiseXOR(z)
+            new[f"__{name}2"] = x.bitwiseAND(y).bitwiseOR(z.bitwiseAND(x.bitwiseXOR(y)))
+        rows = rows.withColumns(new)
+    return rows, ["__c", "__d", "__d2"]
+
+
 def sketched(lines: DataFrame, keys: list[str], wide: bool) -> DataFrame:
     """``keys, fp, words`` and, if ``wide``, the least word hashes of lines with a normalised text ``norm``.
 
-    Words become rows and are counted by one aggregation, whose partial step leaves one row per line. ``fp``
+    Words become rows, ``RIDE`` in each, and are counted by one aggregation, whose partial step leaves one row per line. ``fp``
     is the majority of each bit over the XXH64 of the words, repeats included; a line of over ``_CHUNK`` words
     gives a row per chunk, each with the majority of its own.
     """
-    words = lines.select(*keys, F.posexplode(F.split("norm", " ")).alias("__at", "__word"))
-    hashed = words.select(
-        *keys, F.floor(F.col("__at") / _CHUNK).alias("__chunk"), F.xxhash64("__word").alias("__h"), F.hash("__word").alias("__g"))
-    sums = [F.sum(F.shiftrightunsigned("__h", k).bitwiseAND(F.lit(_FIELDS))).alias(f"__c{k}") for k in range(16)]
+    # Several words ride in one row, as the bits of their sums: planes of weight 1, 2 and 4.
+    ride = 1 if wide else RIDE
+    per = -(-_CHUNK // ride)
+    every = lines.select(*keys, F.split("norm", " ").alias("__words")).withColumn("__n", F.size("__words"))
+    rides = F.floor(F.col("__n") / _CHUNK) * per + F.ceil(F.col("__n") % _CHUNK / ride)
+    dealt = every.select(*keys, "__words", "__n", F.explode(F.sequence(F.lit(0), rides.cast("int") - 1)).alias("__i")).select(
+        *keys, "__words", "__n", F.floor(F.col("__i") / per).alias("__chunk"), (F.col("__i") % per * ride).alias("__in"))
+    dealt = dealt.withColumn("__at", (F.col("__chunk") * _CHUNK + F.col("__in")).cast("int")).withColumn(
+        "__many", F.least(F.lit(ride), F.lit(_CHUNK) - F.col("__in"), F.col("__n") - F.col("__at")))
+    word = lambda j: F.get("__words", F.col("__at") + j)
+    hashes = {f"__h{j}": F.when(F.col("__many") > j, F.xxhash64(word(j))).otherwise(F.lit(0)) for j in range(ride)}
+    hashed = dealt.select(*keys, "__chunk", "__many", *[c.alias(n) for n, c in hashes.items()], F.hash(word(0)).alias("__g"))
+    hashed, planes = _planes(hashed, ride)
+
+    def of_plane(p: str, k: int) -> Column:
+        return F.shiftrightunsigned(p, k).bitwiseAND(F.lit(_FIELDS))
+
+    sums = [F.sum(sum((of_plane(p, k) * F.lit(1 << i) for i, p in enumerate(planes[1:], 1)), of_plane(planes[0], k))).alias(f"__c{k}") for k in range(16)]
     least = _least() if wide else {}
-    counted = hashed.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("words"), *sums, *[c.alias(n) for n, c in least.items()])
+    counted = hashed.groupBy(*keys, "__chunk").agg(F.sum("__many").alias("words"), *sums, *[c.alias(n) for n, c in least.items()])
     value = F.lit(0).cast("long")
     for k in range(16):
         value = value.bitwiseOR(_majority(F.col(f"__c{k}"), F.col("words"), k))
@@ -250,7 +282,10 @@ def similar_texts(pairs: DataFrame, similarity: float) -> DataFrame:
 
     longer = F.greatest(F.length("norm"), F.length("norm2"))
     edits = F.call_function("levenshtein", F.col("norm"), F.col("norm2"), F.floor(longer * F.lit(1 - similarity) + 1e-9).cast("int"))
-    return pairs.filter(F.exists(bounded, near) | F.when(longer <= LETTERS, edits >= 0).otherwise(F.lit(False)))
+    # Each word that only one of the two has takes an edit: that settles most pairs at once.
+    x, y = F.split("norm", " "), F.split("norm2", " ")
+    shared = (F.size(F.array_except(x, y)) <= allowed) & (F.size(F.array_except(y, x)) <= allowed)
+    return pairs.filter((shared & F.exists(bounded, near)) | F.when(longer <= LETTERS, edits >= 0).otherwise(F.lit(False)))
 
 
 def _line_texts(docs: DataFrame, shown: DataFrame) -> DataFrame:
