@@ -95,6 +95,36 @@ def test_a_key_of_many_unrelated_lines_is_narrowed(spark, monkeypatch):
     assert not any(label == "mixed" and df.count() > 100 for label, df in steps)
 
 
+def test_a_key_of_some_lines_is_compared_in_its_list(spark, monkeypatch):
+    """Unrelated lines of one block leave no row each; of a dense cluster one link per line is verified at first, then hardly any."""
+    from pyspark.sql import functions as F
+
+    from tilewright.llm import linededup, linking
+
+    rnd = random.Random(33)
+    masks = linededup.block_masks(2 * 10**6)
+    base = rnd.getrandbits(63)
+    apart = [base & masks[0] | rnd.getrandbits(63) & ~masks[0] for _ in range(200)]
+    dense = [apart[0] ^ (1 << k) for k in range(63)]  # all within two bits of one another
+    fps = apart + [f for f in dense if f not in apart]
+    items = spark.createDataFrame([(i, f, 20, 1) for i, f in enumerate(fps)], "id long, fp long, words long, weight long")
+    steps, store, verified = [], linking.materialise, []
+    monkeypatch.setattr(linking, "materialise", lambda df, label: steps.append((label, store(df, label))) or steps[-1][1])
+
+    def verify(links):
+        verified.append(links.count())
+        return links
+
+    close, keys = linededup._near(0.8, masks), linededup.line_keys(masks, False)
+    got = linking.linked_groups(
+        items, lambda df: df.withColumn("key", F.explode(keys)), lambda a, b, key: close(F.col(a), F.col(b), key), ["fp", "words"], verify,
+        sift=close, finer=linededup._finer(masks), bits=("fp", linededup.DISTANCE))
+    assert {r.id: r.component for r in got.collect()} == {i: 0 if i >= 200 else i for i in range(len(fps))}
+    met = [df for label, df in steps if label == "met"]
+    assert len(met) == 1 and met[0].filter("src is null").count() == 0
+    assert verified[0] <= len(dense) and sum(verified[1:]) == 0
+
+
 def test_words_that_ride_together_are_counted_bit_by_bit(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -235,7 +235,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 3
     nodes, close = items.withColumnRenamed("a", "id"), _near(similarity, masks)
     grouped = linked_groups(
         nodes, lambda df: df.withColumn("key", F.explode(keys)), lambda a, b, key: close(F.col(a), F.col(b), key), ["fp", "words"], verify,
-        sift=close, finer=None if wide else _finer(masks))
+        sift=close, finer=None if wide else _finer(masks), bits=None if wide else ("fp", DISTANCE))
     named = grouped.select(F.col("id").alias("a"), "b", "first", "weight", "component")
     heads = named.groupBy("component").agg(F.min("first").alias("keep"))
     kept = named.join(heads, "component").filter("weight > 1 or keep <> first").select("a", "b", "keep")
@@ -283,9 +283,13 @@ def similar_texts(pairs: DataFrame, similarity: float) -> DataFrame:
     longer = F.greatest(F.length("norm"), F.length("norm2"))
     edits = F.call_function("levenshtein", F.col("norm"), F.col("norm2"), F.floor(longer * F.lit(1 - similarity) + 1e-9).cast("int"))
     # Each word that only one of the two has takes an edit: that settles most pairs at once.
-    x, y = F.split("norm", " "), F.split("norm2", " ")
-    shared = (F.size(F.array_except(x, y)) <= allowed) & (F.size(F.array_except(y, x)) <= allowed)
-    return pairs.filter((shared & F.exists(bounded, near)) | F.when(longer <= LETTERS, edits >= 0).otherwise(F.lit(False)))
+    split = F.array(F.struct(F.split("norm", " ").alias("x"), F.split("norm2", " ").alias("y")))
+
+    def shared(s: Column) -> Column:
+        most = F.floor(F.greatest(F.size(s["x"]), F.size(s["y"])) * F.lit(1 - similarity) + 1e-9)
+        return (F.size(F.array_except(s["x"], s["y"])) <= most) & (F.size(F.array_except(s["y"], s["x"])) <= most)
+
+    return pairs.filter((F.exists(split, shared) & F.exists(bounded, near)) | F.when(longer <= LETTERS, edits >= 0).otherwise(F.lit(False)))
 
 
 def _line_texts(docs: DataFrame, shown: DataFrame) -> DataFrame:
